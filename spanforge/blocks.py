@@ -1,14 +1,15 @@
 """Building blocks for timelines that may be skewed by recording.
 
-One recording can hold a third of all rows, so nothing here windows over raw
-rows of a whole recording.  Timelines are cut into fixed blocks of seconds:
-
-* ``carry``     running aggregate over a recording: windows run per block, and
-                only one summary row per block is ordered per recording;
-* ``with_halo`` neighbourhood windows: rows near a block edge are copied to the
-                adjacent block, so the window never needs the whole recording;
-* ``islands``   gaps-and-islands over distinct starts (partial aggregation runs
-                before the shuffle) built on ``carry``;
+One recording can hold a third of all rows, so no window runs over its raw rows:
+
+* ``islands``   first reduces rows to one per ``(recording, second)`` with
+                map-side combine; what is left is bounded by the length of the
+                recording (86,400 rows a day), and only that is ordered;
+* ``with_halo`` neighbourhood windows: the timeline is cut into blocks of
+                seconds and rows near an edge are copied to the next block, so
+                a long recording spreads over many tasks;
+* ``carry``     running aggregate; plain for inputs already reduced to seconds,
+                two-level (per block, then over block summaries) for raw rows;
 * ``span_join`` / ``point_join``  range joins keyed by ``(recording, block)``.
 """
 
@@ -36,7 +37,7 @@ def carry(
     t: str,
     values: dict[str, tuple[str, Column]],
     order: Sequence[Column | str] | None = None,
-    block: int = BLOCK,
+    block: int | None = None,
     reverse: bool = False,
 ) -> DataFrame:
     """Running aggregates over all *earlier* rows of the same key.
@@ -44,15 +45,23 @@ def carry(
     ``values`` maps an output column to ``(kind, expression)`` with kind one of
     ``max min sum last``; ``last`` skips nulls.  ``order`` starts with ``t``.
     With ``reverse`` the aggregate runs over all later rows instead.
+
+    Without ``block`` the input has to be bounded per key (one row per second,
+    see ``islands``).  With ``block`` rows are ordered per block of ``t`` only
+    and one summary row per block is ordered per key.
     """
     keys = list(keys)
     order = list(order or [t])
     sort = [_c(c).desc() if reverse else _c(c).asc() for c in order]
+    if block is None:
+        w = W.partitionBy(*keys).orderBy(*sort).rowsBetween(W.unboundedPreceding, -1)
+        got = {out: _running(kind, expr).over(w) for out, (kind, expr) in values.items()}
+        zero = {out for out, (kind, _) in values.items() if kind == "sum"}
+        return df.withColumns({out: F.coalesce(c, F.lit(0)) if out in zero else c for out, c in got.items()})
     blk = F.col("__blk").desc() if reverse else F.col("__blk").asc()
     base = df.withColumn("__blk", block_of(t, block))
     tmp = {f"__v{i}": (out, kind, expr) for i, (out, (kind, expr)) in enumerate(values.items())}
-    for name, (_, _, expr) in tmp.items():
-        base = base.withColumn(name, expr)
+    base = base.withColumns({name: expr for name, (_, _, expr) in tmp.items()})
 
     pos = F.struct(*[_c(c) for c in order])
     summaries = []
@@ -111,6 +120,9 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.filter("__own").drop("__blk", "__own")
 
 
+_PARTIAL = {"max": F.max, "min": F.min, "sum": F.sum, "list": F.collect_list}
+
+
 def islands(
     df: DataFrame,
     keys: Sequence[str],
@@ -118,26 +130,28 @@ def islands(
     end: str,
     gap: Column | float = 0,
     inclusive: bool = True,
-    block: int = BLOCK,
     aggs: dict[str, tuple[str, Column]] | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
-    """Distinct starts with the island they belong to.
+    """One row per distinct start, with the island it belongs to.
 
     A start joins the running island when ``start - running_end <= gap``
     (``< gap`` with ``inclusive=False``).  Returns ``keys, start, __end,
-    island`` plus the partial aggregates in ``aggs`` (``max min sum``).
+    island`` (the island's first start) plus the aggregates in ``aggs``
+    (``max min sum list``).  ``distinct`` promises one row per start already.
     """
-    partial = {"max": F.max, "min": F.min, "sum": F.sum}
-    pts = df.groupBy(*keys, start).agg(
-        F.max(end).alias("__end"),
-        *[partial[k](expr).alias(name) for name, (k, expr) in (aggs or {}).items()],
-    )
-    pts = carry(pts, keys, start, {"__prev": ("max", F.col("__end"))}, block=block)
+    if distinct:
+        pts = df.select(*keys, start, F.col(end).alias("__end"), *[x.alias(n) for n, (_, x) in (aggs or {}).items()])
+    else:
+        pts = df.groupBy(*keys, start).agg(
+            F.max(end).alias("__end"), *[_PARTIAL[k](expr).alias(name) for name, (k, expr) in (aggs or {}).items()]
+        )
+    pts = carry(pts, keys, start, {"__prev": ("max", F.col("__end"))})
     dist = F.col(start) - F.col("__prev")
     joined = (dist <= gap) if inclusive else (dist < gap)
     pts = pts.withColumn("__open", F.when(F.col("__prev").isNull() | ~joined, F.col(start)))
-    pts = carry(pts, keys, start, {"__before": ("max", F.col("__open"))}, block=block)
-    return pts.withColumn("island", F.coalesce("__open", "__before")).drop("__prev", "__open", "__before")
+    upto = W.partitionBy(*keys).orderBy(start).rowsBetween(W.unboundedPreceding, 0)
+    return pts.withColumn("island", F.max("__open").over(upto)).drop("__prev", "__open")
 
 
 def merge_spans(
@@ -147,34 +161,18 @@ def merge_spans(
     end: str,
     gap: float = 0,
     inclusive: bool = True,
-    block: int = BLOCK,
     aggs: dict[str, tuple[str, Column]] | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
     """Merge spans into islands; ``aggs`` are combined across members."""
-    final = {"max": F.max, "min": F.min, "sum": F.sum}
-    pts = islands(df, keys, start, end, gap, inclusive, block, aggs)
-    return (
-        pts.groupBy(*keys, "island")
-        .agg(
-            F.max("__end").alias(end),
-            *[final[k](F.col(name)).alias(name) for name, (k, _) in (aggs or {}).items()],
-        )
-        .withColumnRenamed("island", start)
-    )
-
-
-def label_islands(
-    df: DataFrame,
-    keys: Sequence[str],
-    start: str,
-    end: str,
-    gap: float = 0,
-    inclusive: bool = True,
-    block: int = BLOCK,
-) -> DataFrame:
-    """Rows of ``df`` with the island start attached."""
-    pts = islands(df, keys, start, end, gap, inclusive, block).select(*keys, start, "island")
-    return df.join(pts, [*keys, start])
+    pts = islands(df, keys, start, end, gap, inclusive, aggs, distinct)
+    final = []
+    for name, (kind, _) in (aggs or {}).items():
+        if kind == "list" and not distinct:
+            final.append(F.flatten(F.collect_list(name)).alias(name))
+        else:
+            final.append(_PARTIAL[kind](F.col(name)).alias(name))
+    return pts.groupBy(*keys, "island").agg(F.max("__end").alias(end), *final).withColumnRenamed("island", start)
 
 
 def span_join(

@@ -104,7 +104,7 @@ query("ser7_runs_bridged", sql("probs", SQL_ONE + """,
 h AS (SELECT *, lag(t) OVER (PARTITION BY vid ORDER BY t) AS lt FROM one WHERE p >= 0.3),
 r AS (SELECT *, sum(CASE WHEN lt IS NULL OR t - lt > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY vid ORDER BY t) AS run FROM h)
 SELECT vid, min(t) AS start_s, max(t) AS end_s, round(avg(p), 6) AS mean_conf FROM r GROUP BY vid, run"""))(
-    lambda s, d: r6(S.runs_bridged(one(s, d), 0.3, 2, BLK), "mean_conf")
+    lambda s, d: r6(S.runs_bridged(one(s, d), 0.3, 2), "mean_conf")
 )
 
 SQL_Z = """
@@ -125,7 +125,7 @@ burst AS (SELECT *, start_t + (end_t - start_t) / 2 AS mid FROM bursts WHERE end
 
 def bursts(spark, sf):
     dense = S.densify(V.sig(spark, sf).select("vid", "t", "motion"), "motion")
-    return S.bursts(S.zscore(dense, "motion"), 0.2, 1.0, 0.5, block=BLK)
+    return S.bursts(S.zscore(dense, "motion"), 0.2, 1.0, 0.5)
 
 
 query("ser8_zscore", sql("sig", SQL_Z + " SELECT vid, t, round(z, 6) AS z, z > 0.5 AS above FROM z"))(
@@ -138,7 +138,7 @@ w AS (SELECT DISTINCT vid, CAST(0 AS bigint) AS rn, CAST(-999.0 AS double) AS la
       UNION ALL
       SELECT w.vid, o.rn, CASE WHEN o.mid - w.last >= 3.0 THEN o.mid ELSE w.last END, o.mid - w.last >= 3.0
       FROM w JOIN o ON o.vid = w.vid AND o.rn = w.rn + 1)
-SELECT vid, last AS t FROM w WHERE hit"""))(lambda s, d: S.refractory(bursts(s, d), 3.0, block=BLK))
+SELECT vid, last AS t FROM w WHERE hit"""))(lambda s, d: S.refractory(bursts(s, d), 3.0))
 
 SQL_HYST = """
 o AS (SELECT vid, t, motion AS m, row_number() OVER (PARTITION BY vid ORDER BY t) AS rn FROM sig),
@@ -165,7 +165,7 @@ SQL_HYST = SQL_HYST.replace("arg_max(os, rn) FILTER (os IS NOT NULL OR true) AS
 
 
 def hyst(spark, sf):
-    return S.hysteresis(V.sig(spark, sf), "motion", 1.0, 0.5, 2, 6, BLK)
+    return S.hysteresis(V.sig(spark, sf), "motion", 1.0, 0.5, 2, 6)
 
 
 query("ser11_hysteresis", sql("sig", SQL_HYST + " SELECT vid, start_s, end_s, source FROM hyst"))(hyst)
@@ -179,7 +179,7 @@ q AS (SELECT *, i - min(i) OVER (PARTITION BY vid, run) AS pos FROM r WHERE side
 c AS (SELECT vid, run, pos // 2 AS chunk, min(t) AS a, max(t) AS b, count(*) AS n, min(side) AS celeb_side FROM q GROUP BY ALL),
 e AS (SELECT vid, max(t) + 1 AS dur FROM sig GROUP BY vid)
 SELECT vid, greatest(a - 20, 0) AS start_s, least(b + 15, dur) AS end_s, celeb_side FROM c JOIN e USING (vid) WHERE n = 2"""))(
-    lambda s, d: S.side_runs(V.sig(s, d), 2, 20, 15, block=BLK)
+    lambda s, d: S.side_runs(V.sig(s, d), 2, 20, 15)
 )
 query("ser13_trigger_windows", sql("sig", """
 e AS (SELECT vid, max(t) + 1 AS dur FROM sig GROUP BY vid)
@@ -209,11 +209,11 @@ FROM st JOIN fused f ON f.vid = st.vid AND f.t >= s AND f.t < s + 32 WHERE s + 3
 
 
 def _slice_scores(spark, sf):
-    """Stand-in model: a slice predicts half its mean plus half the input."""
+    """Stand-in model: a slice predicts a blend of its mean and the input."""
     x = S.covering_starts(fused(spark, sf), 32, 4)
     mean = x.groupBy("vid", "seq_start").agg(F.avg("p").alias("m"))
     return x.join(mean, ["vid", "seq_start"]).select(
-        "vid", "seq_start", "t", (F.col("m") * 0.5 + F.col("p") * 0.5).alias("pred")
+        "vid", "seq_start", "t", (F.col("m") / 3 + F.sqrt("p") / 7).alias("pred")
     )
 
 
@@ -223,8 +223,8 @@ st AS (SELECT vid, CAST(unnest(range(0, greatest(1, n - 31), 4)) AS int) AS s FR
        UNION SELECT vid, CAST(greatest(n - 32, 0) AS int) FROM n),
 x AS (SELECT f.vid, s, f.t, f.p FROM st JOIN fused f ON f.vid = st.vid AND f.t >= s AND f.t < s + 32),
 m AS (SELECT vid, s, avg(p) AS m FROM x GROUP BY 1, 2)
-SELECT vid, t, round(avg(m * 0.5 + p * 0.5), 4) AS p FROM x JOIN m USING (vid, s) GROUP BY 1, 2"""))(
-    lambda s, d: S.overlap_average(_slice_scores(s, d)).withColumn("p", F.round("p", 4))
+SELECT vid, t, round(avg(m / 3 + sqrt(p) / 7), 6) AS p FROM x JOIN m USING (vid, s) GROUP BY 1, 2"""))(
+    lambda s, d: r6(S.overlap_average(_slice_scores(s, d)), "p")
 )
 
 SQL_LABELS = """

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..blocks import BLOCK, carry, islands, label_islands, own_rows, with_halo
+from ..blocks import BLOCK, carry, islands, merge_spans, own_rows, with_halo
 from ..functions.timefmt import fmt_mmss
 
 KEYS = ("vid",)
@@ -138,21 +138,21 @@ def _drop_beaten(df: DataFrame, d: int, keys: Sequence[str]) -> DataFrame:
     return df.filter(~F.col("__beaten")).drop("__top", "__beaten")
 
 
-def _suppress(peaks: DataFrame, d: int, keys: Sequence[str], block: int) -> DataFrame:
+def _suppress(peaks: DataFrame, d: int, keys: Sequence[str]) -> DataFrame:
     """Greedy suppression inside chains of peaks no further apart than ``d``."""
-    chained = label_islands(peaks.withColumn("__t2", F.col("t")), keys, "t", "__t2", d, block=block)
-    best_first = F.reverse(F.array_sort(F.collect_list(F.struct("p", "t"))))
+    chains = merge_spans(
+        peaks.withColumn("__t2", F.col("t")), keys, "t", "__t2", d,
+        aggs={"__peaks": ("list", F.struct("p", "t"))}, distinct=True,
+    )
     kept = F.aggregate(
-        F.col("__peaks"),
+        F.reverse(F.array_sort("__peaks")),
         F.expr("cast(array() as array<struct<p:double,t:int>>)"),
         lambda acc, x: F.when(
             F.exists(acc, lambda k: F.abs(k["t"] - x["t"]) <= d), acc
         ).otherwise(F.array_append(acc, x)),
     )
     return (
-        chained.groupBy(*keys, "island")
-        .agg(best_first.alias("__peaks"))
-        .select(*keys, F.explode(kept).alias("__k"))
+        chains.select(*keys, F.explode(kept).alias("__k"))
         .select(*keys, F.col("__k.t").alias("t"), F.col("__k.p").alias("p"))
     )
 
@@ -164,7 +164,7 @@ def nms(df: DataFrame, d: int = 3, keys: Sequence[str] = KEYS, block: int = BLOC
     """
     df = df.select(*keys, F.col("t").cast("int").alias("t"), F.col("p").cast("double").alias("p"))
     pruned = own_rows(_drop_beaten(with_halo(df, "t", 2 * d, block), d, keys))
-    return _suppress(pruned, d, keys, block)
+    return _suppress(pruned, d, keys)
 
 
 def find_peaks(
@@ -175,7 +175,7 @@ def find_peaks(
     x = with_halo(df, "t", halo, block)
     x = _smooth(x, k, keys) if k > 1 else x
     x = own_rows(_drop_beaten(_maxima(x, thr, keys), d, keys))
-    return _suppress(x, d, keys, block)
+    return _suppress(x, d, keys)
 
 
 def candidates(
@@ -214,12 +214,13 @@ def number_runs(
     keys: Sequence[str],
     t: str,
     opens: Column,
-    block: int = BLOCK,
 ) -> DataFrame:
-    """Label each row with the start of its run; ``opens`` marks run starts."""
-    df = df.withColumn("__open", F.when(opens, F.col(t)))
-    df = carry(df, keys, t, {"__before": ("max", F.col("__open"))}, block=block)
-    return df.withColumn("run", F.coalesce("__open", "__before")).drop("__open", "__before")
+    """Label each row with the start of its run; ``opens`` marks run starts.
+
+    Expects one row per ``t``, so a recording is bounded by its length.
+    """
+    upto = W.partitionBy(*keys).orderBy(t).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn("run", F.max(F.when(opens, F.col(t))).over(upto))
 
 
 def runs_strict(df: DataFrame, thr: float = 0.5, max_gap: int = 2, block: int = BLOCK) -> DataFrame:
@@ -232,15 +233,15 @@ def runs_strict(df: DataFrame, thr: float = 0.5, max_gap: int = 2, block: int =
         "__joins", F.coalesce((F.col("t") - F.lag("t").over(w) <= max_gap) & (F.lag("p").over(w) >= thr), F.lit(False))
     )
     hot = own_rows(x).filter(F.col("p") >= thr)
-    runs = number_runs(hot, KEYS, "t", ~F.col("__joins"), block)
+    runs = number_runs(hot, KEYS, "t", ~F.col("__joins"))
     return runs.groupBy("vid", F.col("run").alias("start_s")).agg(F.max("t").alias("end_s"))
 
 
-def runs_bridged(df: DataFrame, thr: float = 0.5, gap: int = 2, block: int = BLOCK) -> DataFrame:
+def runs_bridged(df: DataFrame, thr: float = 0.5, gap: int = 2) -> DataFrame:
     """Runs of hot seconds no more than ``gap`` apart, with the mean score."""
     hot = df.filter(F.col("p") >= thr).withColumn("__t2", F.col("t"))
     pts = islands(
-        hot, KEYS, "t", "__t2", gap, block=block, aggs={"__s": ("sum", F.col("p")), "__n": ("sum", F.lit(1))}
+        hot, KEYS, "t", "__t2", gap, aggs={"__s": ("sum", F.col("p")), "__n": ("sum", F.lit(1))}
     )
     return (
         pts.groupBy("vid", F.col("island").alias("start_s"))
@@ -255,14 +256,14 @@ def zscore(df: DataFrame, col: str, out: str = "z", eps: float = 1e-8) -> DataFr
 
 
 def bursts(
-    df: DataFrame, thr: float, min_dur: float, hop: float = 1.0, z: str = "z", block: int = BLOCK
+    df: DataFrame, thr: float, min_dur: float, hop: float = 1.0, z: str = "z"
 ) -> DataFrame:
     """Sustained bursts ``z > thr`` of a dense hop series, with their midpoint.
 
     ``t`` counts hops; a burst ends at the first quiet hop or the series end.
     """
     hot = df.filter(F.col(z) > thr).withColumn("__t2", F.col("t"))
-    runs = islands(hot, KEYS, "t", "__t2", 1, block=block).groupBy("vid", "island").agg(F.max("t").alias("__last"))
+    runs = islands(hot, KEYS, "t", "__t2", 1, distinct=True).groupBy("vid", "island").agg(F.max("t").alias("__last"))
     start = F.col("island") * F.lit(hop)
     end = (F.col("__last") + 1) * F.lit(hop)
     return (
@@ -272,26 +273,24 @@ def bursts(
     )
 
 
-def refractory(df: DataFrame, r: float, t: str = "mid", block: int = BLOCK) -> DataFrame:
+def refractory(df: DataFrame, r: float, t: str = "mid") -> DataFrame:
     """Accept an event iff it comes ``r`` or more after the last accepted one.
 
     Chains break where two neighbours are ``r`` or more apart: whichever was
     accepted before, the next event is far enough away.
     """
-    pts = df.select("vid", F.col(t).cast("double").alias("t")).withColumn("__t2", F.col("t"))
-    pts = islands(pts, KEYS, "t", "__t2", r, inclusive=False, block=block)
-    times = F.array_sort(F.collect_list("t"))
+    pts = df.select("vid", F.col(t).cast("double").alias("t")).distinct().withColumn("__t2", F.col("t"))
+    chains = merge_spans(
+        pts, KEYS, "t", "__t2", r, inclusive=False, aggs={"__ts": ("list", F.col("t"))}, distinct=True
+    )
     kept = F.aggregate(
-        F.col("__ts"),
+        F.array_sort("__ts"),
         F.expr("cast(array() as array<double>)"),
         lambda acc, x: F.when(
             (F.size(acc) == 0) | (x - F.element_at(acc, -1) >= r), F.array_append(acc, x)
         ).otherwise(acc),
     )
-    return (
-        pts.groupBy("vid", "island").agg(times.alias("__ts"))
-        .select("vid", F.explode(F.when(F.size("__ts") == 1, F.col("__ts")).otherwise(kept)).alias("t"))
-    )
+    return chains.select("vid", F.explode(kept).alias("t"))
 
 
 def hysteresis(
@@ -301,7 +300,6 @@ def hysteresis(
     stop_at: float = 1.2,
     min_run: int = 8,
     max_open: int = 30,
-    block: int = BLOCK,
 ) -> DataFrame:
     """Open/close windows with two thresholds.
 
@@ -316,9 +314,9 @@ def hysteresis(
     # after a second below stop_at the machine is back in its initial state, so
     # the second after it starts an independent stretch; quiet rows at the front
     # of a stretch change nothing and only the closing one has to stay
-    x = carry(x, KEYS, "t", {"__quiet": ("last", F.col("m") < stop_at)}, block=block)
+    x = carry(x, KEYS, "t", {"__quiet": ("last", F.col("m") < stop_at)})
     x = x.filter(~((F.col("m") < stop_at) & F.coalesce("__quiet", F.lit(True))))
-    x = number_runs(x, KEYS, "t", F.coalesce("__quiet", F.lit(True)), block)
+    x = number_runs(x, KEYS, "t", F.coalesce("__quiet", F.lit(True)))
     win = "struct<start_s:int,end_s:int,source:string>"
     init = F.expr(
         "named_struct('rs', cast(null as int), 'rl', 0, 'os', cast(null as int), "
@@ -363,20 +361,18 @@ def side_runs(
     post: int = 15,
     score: str = "celeb",
     side: str = "celeb_side",
-    block: int = BLOCK,
 ) -> DataFrame:
     """A window for every ``n`` consecutive rows that favour the same side."""
     key = F.when((F.col(score) > 0) & (F.col(side) != "none"), F.col(side)).otherwise(F.lit(""))
     x = df.select("vid", "t", key.alias("__side"))
-    x = carry(x, KEYS, "t", {"__prev": ("last", F.col("__side")), "__i": ("sum", F.lit(1))}, block=block)
+    x = carry(x, KEYS, "t", {"__prev": ("last", F.col("__side")), "__i": ("sum", F.lit(1))})
     ends = df.groupBy("vid").agg((F.max("t") + 1).alias("__dur"))
     x = x.filter("__side <> ''")
     opens = F.coalesce(F.col("__prev") != F.col("__side"), F.lit(True))
-    x = x.withColumn("__oi", F.when(opens, F.col("__i")))
-    x = carry(x, KEYS, "t", {"__first": ("max", F.col("__oi"))}, block=block)
-    first = F.coalesce("__oi", "__first")
+    x = number_runs(x, KEYS, "__i", opens)
+    first = F.col("run")
     chunks = (
-        x.groupBy("vid", first.alias("__run"), F.floor((F.col("__i") - first) / n).alias("__chunk"))
+        x.groupBy("vid", "run", F.floor((F.col("__i") - first) / n).alias("__chunk"))
         .agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("c"), F.first("__side").alias("celeb_side"))
         .filter(F.col("c") == n)
     )
