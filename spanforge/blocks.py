@@ -15,6 +15,7 @@ One recording can hold a third of all rows, so no window runs over its raw rows:
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -31,6 +32,21 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write a small intermediate result once so later steps share it.
+
+    Used for tables that several branches of a job read (matches, windows):
+    without it each branch would scan the sources again.  Files go to the
+    cluster's ``spark.checkpoint.dir``; a temporary folder is used only where
+    that is unset, as on a single machine.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
+
+
 def carry(
     df: DataFrame,
     keys: Sequence[str],

@@ -213,7 +213,7 @@ def _slice_scores(spark, sf):
     x = S.covering_starts(fused(spark, sf), 32, 4)
     mean = x.groupBy("vid", "seq_start").agg(F.avg("p").alias("m"))
     return x.join(mean, ["vid", "seq_start"]).select(
-        "vid", "seq_start", "t", (F.col("m") / 3 + F.sqrt("p") / 7).alias("pred")
+        "vid", "seq_start", "t", (F.sqrt("m") / 3 + F.sqrt("p") / 7).alias("pred")
     )
 
 
@@ -223,7 +223,7 @@ st AS (SELECT vid, CAST(unnest(range(0, greatest(1, n - 31), 4)) AS int) AS s FR
        UNION SELECT vid, CAST(greatest(n - 32, 0) AS int) FROM n),
 x AS (SELECT f.vid, s, f.t, f.p FROM st JOIN fused f ON f.vid = st.vid AND f.t >= s AND f.t < s + 32),
 m AS (SELECT vid, s, avg(p) AS m FROM x GROUP BY 1, 2)
-SELECT vid, t, round(avg(m / 3 + sqrt(p) / 7), 6) AS p FROM x JOIN m USING (vid, s) GROUP BY 1, 2"""))(
+SELECT vid, t, round(avg(sqrt(m) / 3 + sqrt(p) / 7), 6) AS p FROM x JOIN m USING (vid, s) GROUP BY 1, 2"""))(
     lambda s, d: r6(S.overlap_average(_slice_scores(s, d)), "p")
 )
 

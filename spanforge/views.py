@@ -134,8 +134,10 @@ def games(spark, sf):
         c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
         .selectExpr(
             "c_custkey as vid",
-            "concat('Club ', n_name) as target_team",
-            "concat(c_mktsegment, ' Club') as opponent_team",
+            "case c_custkey % 4 when 0 then 'Team 0 Club' when 1 then 'TEAM 1 club' when 2 then 'Team 0 Club. 19U' "
+            "else concat('Club ', n_name) end as target_team",
+            "case c_custkey % 4 when 0 then 'Team 1 Club 19U' when 1 then 'Team 0 Club' when 2 then 'team 1 club' "
+            "else concat(c_mktsegment, ' Club') end as opponent_team",
             "case when c_custkey % 2 = 0 then 'White' else 'Navy Blue' end as target_color",
             "case when c_custkey % 7 = 0 then (case when c_custkey % 2 = 0 then 'White' else 'Navy Blue' end) "
             "when c_custkey % 2 = 0 then 'Navy Blue' else 'White' end as opponent_color",
@@ -248,7 +250,9 @@ SQL_VIEWS = {
          min(CAST(floor(l_quantity) AS int) % 8) AS shots, min(CAST(floor(l_quantity) AS int) % 5) AS sog,
          max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS goals FROM lineitem GROUP BY 1, 2""",
     "games": """
-  SELECT c_custkey AS vid, 'Club ' || n_name AS target_team, c_mktsegment || ' Club' AS opponent_team,
+  SELECT c_custkey AS vid,
+         CASE c_custkey % 4 WHEN 0 THEN 'Team 0 Club' WHEN 1 THEN 'TEAM 1 club' WHEN 2 THEN 'Team 0 Club. 19U' ELSE 'Club ' || n_name END AS target_team,
+         CASE c_custkey % 4 WHEN 0 THEN 'Team 1 Club 19U' WHEN 1 THEN 'Team 0 Club' WHEN 2 THEN 'team 1 club' ELSE c_mktsegment || ' Club' END AS opponent_team,
          CASE WHEN c_custkey % 2 = 0 THEN 'White' ELSE 'Navy Blue' END AS target_color,
          CASE WHEN c_custkey % 7 = 0 THEN (CASE WHEN c_custkey % 2 = 0 THEN 'White' ELSE 'Navy Blue' END)
               WHEN c_custkey % 2 = 0 THEN 'Navy Blue' ELSE 'White' END AS opponent_color,
