@@ -104,7 +104,7 @@ def det(spark, sf):
     return table(spark, sf, "lineitem").selectExpr(
         "l_suppkey % 10 as vid",
         "cast(l_orderkey as int) as t",
-        "l_linenumber as box_no",
+        "l_linenumber * 10000000L + l_partkey as box_no",
         "case l_linenumber % 4 when 0 then 'puck' when 1 then 'goal' when 2 then 'goalie' else 'player' end as cls",
         "l_discount * 10 as conf",
         "l_quantity * 10 as x1",
@@ -241,7 +241,7 @@ SQL_VIEWS = {
     "whistles": """
   SELECT DISTINCT vid, CAST(t + 0.5 AS double) AS t FROM ev WHERE event_type = 'signup' AND value > 20""",
     "det": """
-  SELECT l_suppkey % 10 AS vid, CAST(l_orderkey AS int) AS t, l_linenumber AS box_no,
+  SELECT l_suppkey % 10 AS vid, CAST(l_orderkey AS int) AS t, l_linenumber::bigint * 10000000 + l_partkey AS box_no,
          CASE l_linenumber % 4 WHEN 0 THEN 'puck' WHEN 1 THEN 'goal' WHEN 2 THEN 'goalie' ELSE 'player' END AS cls,
          l_discount * 10 AS conf, l_quantity * 10 AS x1, l_tax * 1000 AS y1,
          l_quantity * 10 + 20 + l_linenumber AS x2, l_tax * 1000 + 30 AS y2 FROM lineitem""",
