@@ -47,6 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add a column whose costly expression is evaluated once per row.
+
+    Later projections would otherwise each get a copy of it (decoding a JSON
+    text once per extracted field); a generator step is never merged.
+    """
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
 def carry(
     df: DataFrame,
     keys: Sequence[str],
