@@ -38,4 +38,4 @@ def expand_box(x1, y1, x2, y2, factor: float) -> tuple[Column, Column, Column, C
 
 
 def clamp01(c: Column) -> Column:
-    return F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
+    return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0)))

@@ -195,15 +195,20 @@ def clips(spark, sf):
             "sog_raw as sog",
             "sog_raw - goals as saves",
             "goals",
-            "element_at(array('Needs Work', 'Average', 'Good', 'Elite'), cast(o_orderkey % 4 + 1 as int)) as depth_rank",
-            "element_at(array('Needs Work', 'Average', 'Good', 'Elite'), cast(o_orderkey div 4 % 4 + 1 as int)) as angle_rank",
-            "element_at(array('Elite', 'Good', 'Average', 'Needs Work'), cast(o_orderkey div 3 % 4 + 1 as int)) as rebound_rank",
-            "element_at(array('Good', 'Elite', 'Needs Work', 'Average'), cast(o_orderkey div 5 % 4 + 1 as int)) as recovery_rank",
-            "cast(1 + o_orderkey % 5 as int) as conf_feedback",
-            "if(o_orderkey % 6 = 5, null, cast(1 + o_orderkey div 2 % 5 as int)) as conf_positioning",
-            "if(o_orderkey % 9 = 0, array('obstructed view'), cast(array() as array<string>)) as caveats",
-            "case when o_orderkey % 2 = 0 then 'left' else 'right' end as side",
-            "element_at(array('five_hole', 'glove_high', 'blocker_low', 'unknown', 'glove_low', 'blocker_high', 'body'), cast(o_orderkey % 7 + 1 as int)) as beaten_location",
+            "year(o_orderdate) as season",
+            "year(o_orderdate) * 1000 + month(o_orderdate) * 10 + if(day(o_orderdate) > 15, 1, 0) as game",
+            "year(o_orderdate) * 100 + month(o_orderdate) as month",
+            "o_orderkey % 3 as rebounds",
+            "element_at(array('Base (B)', 'Aggressive (A)', 'Conservative (C)', 'Defensive (D)'), cast(o_orderkey % 4 + 1 as int)) as depth_rank",
+            "element_at(array('Excellent', 'Good', 'Average', 'Poor'), cast(o_orderkey div 4 % 4 + 1 as int)) as cover_angle_rank",
+            "element_at(array('Poor', 'Good', 'Excellent', 'Average'), cast(o_orderkey div 3 % 4 + 1 as int)) as squareness_rank",
+            "element_at(array('Killed (Elite)', 'Goal Allowed', 'Steered to Low-Danger Zone', 'Not Applicable', 'Uncontrolled into High-Danger Zone'), cast(o_orderkey div 5 % 5 + 1 as int)) as rebound_control_rank",
+            "cast(1 + o_orderkey % 5 as int) as coaching_confidence",
+            "if(o_orderkey % 6 = 5, null, cast(1 + o_orderkey div 2 % 5 as int)) as position_confidence",
+            "if(o_orderkey % 4 = 1, null, (o_orderkey % 11) / 10D) as beaten_confidence",
+            "if(o_orderkey % 9 = 0, 1, 0) as n_caveats",
+            "case o_orderkey % 5 when 0 then 'unknown' when 1 then 'left' when 2 then 'right' when 3 then 'left' else 'right' end as side",
+            "element_at(array('five_hole', 'glove_high', 'blocker_low', 'unknown', 'glove_low', 'blocker_high', 'body_other'), cast(o_orderkey % 7 + 1 as int)) as beaten_location",
             "element_at(array('slot', 'point', 'left circle', 'right circle', 'crease'), cast(max_line % 5 + 1 as int)) as shot_location",
             "element_at(array('wrist', 'slap', 'deflection', 'one-timer'), cast(o_orderkey % 4 + 1 as int)) as release",
             "concat('Shot from ', o_orderpriority, if(o_orderkey % 8 = 0, ' on a breakaway', ''), if(o_orderkey % 11 = 0, ' with rebound', '')) as cue_text",
@@ -211,6 +216,18 @@ def clips(spark, sf):
     )
 
 
+def shots(spark, sf):
+    """Shots inside clips: one per line item."""
+    return table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey as clip_no", "l_orderkey % 50 as vid", "l_linenumber * 10000000L + l_partkey as shot_no",
+        "element_at(array('slot', 'in close', 'left circle', 'point', 'behind net', 'right wing', 'neutral zone'), cast(l_partkey % 7 + 1 as int)) as location",
+        "element_at(array('wrist', 'one-timer', 'slap', 'redirect-tip', 'backhand'), cast(l_suppkey % 5 + 1 as int)) as release",
+        "case l_returnflag when 'R' then 'goal' when 'A' then 'save' else 'miss' end as outcome", "l_orderkey % 3 as rebounds",
+        "if(l_orderkey % 8 = 0, 'Odd-man RUSH against', 'set play') as text",
+        "if(l_orderkey % 2 = 0, 'left', 'right') as side", "cast(l_orderkey % 3600 as int) as start_s",
+    )
+
+
 # The same views for the SQL engine that checks results.
 SQL_VIEWS = {
     "ev": """
@@ -274,15 +291,18 @@ SQL_VIEWS = {
   SELECT o_custkey % 50 AS vid, o_orderkey AS clip_no, o_orderdate AS game_ts, CAST(o_orderdate AS date) AS game_date,
          CAST(o_orderkey % 3600 AS int) AS start_s, CAST(o_orderkey % 3600 + 8 + o_orderkey % 23 AS int) AS end_s,
          shots, sog_raw AS sog, sog_raw - goals AS saves, goals,
-         (['Needs Work','Average','Good','Elite'])[o_orderkey % 4 + 1] AS depth_rank,
-         (['Needs Work','Average','Good','Elite'])[o_orderkey // 4 % 4 + 1] AS angle_rank,
-         (['Elite','Good','Average','Needs Work'])[o_orderkey // 3 % 4 + 1] AS rebound_rank,
-         (['Good','Elite','Needs Work','Average'])[o_orderkey // 5 % 4 + 1] AS recovery_rank,
-         CAST(1 + o_orderkey % 5 AS int) AS conf_feedback,
-         CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE CAST(1 + o_orderkey // 2 % 5 AS int) END AS conf_positioning,
-         o_orderkey % 9 = 0 AS has_caveat,
-         CASE WHEN o_orderkey % 2 = 0 THEN 'left' ELSE 'right' END AS side,
-         (['five_hole','glove_high','blocker_low','unknown','glove_low','blocker_high','body'])[o_orderkey % 7 + 1] AS beaten_location,
+         CAST(year(o_orderdate) AS int) AS season, CAST(year(o_orderdate) * 1000 + month(o_orderdate) * 10 + CASE WHEN day(o_orderdate) > 15 THEN 1 ELSE 0 END AS int) AS game,
+         CAST(year(o_orderdate) * 100 + month(o_orderdate) AS int) AS month, o_orderkey % 3 AS rebounds,
+         (['Base (B)','Aggressive (A)','Conservative (C)','Defensive (D)'])[o_orderkey % 4 + 1] AS depth_rank,
+         (['Excellent','Good','Average','Poor'])[o_orderkey // 4 % 4 + 1] AS cover_angle_rank,
+         (['Poor','Good','Excellent','Average'])[o_orderkey // 3 % 4 + 1] AS squareness_rank,
+         (['Killed (Elite)','Goal Allowed','Steered to Low-Danger Zone','Not Applicable','Uncontrolled into High-Danger Zone'])[o_orderkey // 5 % 5 + 1] AS rebound_control_rank,
+         CAST(1 + o_orderkey % 5 AS int) AS coaching_confidence,
+         CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE CAST(1 + o_orderkey // 2 % 5 AS int) END AS position_confidence,
+         CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE (o_orderkey % 11) / 10::double END AS beaten_confidence,
+         CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS n_caveats,
+         CASE o_orderkey % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'left' WHEN 2 THEN 'right' WHEN 3 THEN 'left' ELSE 'right' END AS side,
+         (['five_hole','glove_high','blocker_low','unknown','glove_low','blocker_high','body_other'])[o_orderkey % 7 + 1] AS beaten_location,
          (['slot','point','left circle','right circle','crease'])[max_line % 5 + 1] AS shot_location,
          (['wrist','slap','deflection','one-timer'])[o_orderkey % 4 + 1] AS release,
          'Shot from ' || o_orderpriority || CASE WHEN o_orderkey % 8 = 0 THEN ' on a breakaway' ELSE '' END
@@ -292,6 +312,13 @@ SQL_VIEWS = {
            CAST(sum(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 1 ELSE 0 END) AS bigint) AS goals,
            max(l_linenumber) AS max_line FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""",
 }
+SQL_VIEWS["shots"] = """
+  SELECT l_orderkey AS clip_no, l_orderkey % 50 AS vid, l_linenumber * 10000000::bigint + l_partkey AS shot_no,
+         (['slot','in close','left circle','point','behind net','right wing','neutral zone'])[l_partkey % 7 + 1] AS location,
+         (['wrist','one-timer','slap','redirect-tip','backhand'])[l_suppkey % 5 + 1] AS release,
+         CASE l_returnflag WHEN 'R' THEN 'goal' WHEN 'A' THEN 'save' ELSE 'miss' END AS outcome, l_orderkey % 3 AS rebounds,
+         CASE WHEN l_orderkey % 8 = 0 THEN 'Odd-man RUSH against' ELSE 'set play' END AS text,
+         CASE WHEN l_orderkey % 2 = 0 THEN 'left' ELSE 'right' END AS side, CAST(l_orderkey % 3600 AS int) AS start_s FROM lineitem"""
 
 _NEEDS = {
     "probs": ["ev"], "gt": ["ev"], "win": ["ev"], "sig": ["ev"], "whistles": ["ev"],
