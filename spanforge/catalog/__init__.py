@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLE, QUERIES
 
-MODULES = ["series", "intervals", "matching", "assembly", "records", "season"]
+MODULES = ["series", "intervals", "matching", "assembly", "records", "season", "reports", "sources"]
 
 for _m in MODULES:
     import_module(f"{__name__}.{_m}")

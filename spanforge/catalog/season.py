@@ -19,8 +19,8 @@ SQL_CONF = """
 cn AS (SELECT *, (position_confidence - 1) / 4::double AS a, (coaching_confidence - 1) / 4::double AS b, CASE WHEN goals > 0 THEN beaten_confidence END AS c FROM clips),
 cf AS (SELECT *, coalesce((coalesce(a * 0.45::double, 0) + coalesce(b * 0.35::double, 0) + coalesce(c * 0.2::double, 0)) / nullif(CASE WHEN a IS NOT NULL THEN 0.45::double ELSE 0 END + CASE WHEN b IS NOT NULL THEN 0.35::double ELSE 0 END + CASE WHEN c IS NOT NULL THEN 0.2::double ELSE 0 END, 0), 0.5) * CASE WHEN n_caveats > 0 THEN 0.85::double ELSE 1 END AS confidence FROM cn)"""
 query("sea1_clip_confidence", sql("clips", SQL_CONF + """
-SELECT clip_no, round(confidence, 5) AS confidence, CASE WHEN round(confidence, 9) >= 0.7 THEN 'high' WHEN round(confidence, 9) >= 0.45 THEN 'medium' ELSE 'low' END AS band, round(confidence, 9) < 0.45 AS needs_review FROM cf"""))(
-    lambda s, d: S.clip_confidence(C(s, d)).select("clip_no", F.round("confidence", 5).alias("confidence"), "band", "needs_review")
+SELECT clip_no, round(confidence, 8) AS confidence, CASE WHEN round(confidence, 9) >= 0.7 THEN 'high' WHEN round(confidence, 9) >= 0.45 THEN 'medium' ELSE 'low' END AS band, round(confidence, 9) < 0.45 AS needs_review FROM cf"""))(
+    lambda s, d: S.clip_confidence(C(s, d)).select("clip_no", F.round("confidence", 8).alias("confidence"), "band", "needs_review")
 )
 
 SQL_LEAKS = """

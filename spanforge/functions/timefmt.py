@@ -42,7 +42,7 @@ def fmt_duration(t: Column) -> Column:
 def parse_mmss(c: Column) -> Column:
     """``MM:SS`` to seconds; null when malformed, negative or ``SS >= 60``."""
     parts = F.split(F.trim(c), ":")
-    m, s = parts[0].try_cast("int"), parts[1].try_cast("int")
+    m, s = F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")
     ok = (F.size(parts) == 2) & (m >= 0) & (s >= 0) & (s < 60)
     return F.when(ok, m * 60 + s)
 

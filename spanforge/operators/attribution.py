@@ -38,7 +38,7 @@ def period_sides(games: DataFrame) -> DataFrame:
     first = F.struct(
         F.lit(0).alias("start_t"), F.lit(0).alias("num"), F.col("__ts").alias("target_side"), F.col("__os").alias("opponent_side")
     )
-    both = F.when(F.element_at("__s", 1) > 0, F.concat(F.array(first), entries)).otherwise(entries)
+    both = F.when(F.get("__s", F.lit(0)) > 0, F.concat(F.array(first), entries)).otherwise(entries)
     return x.select("vid", F.explode(both).alias("p")).select("vid", "p.*")
 
 
