@@ -114,7 +114,7 @@ def parse_segments(docs: DataFrame) -> DataFrame:
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """One document per file, ``gt_seg_<vid>.json``."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("_metadata.file_path", r"gt_seg_([^/]+?)\.json$", 1).alias("vid"), F.col("value").alias("doc"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"gt_seg_([^/]+?)\.json$", 1).alias("vid"), F.col("value").alias("doc"))
     return parse_segments(raw)
 
 
@@ -130,7 +130,7 @@ def parse_games(docs: DataFrame) -> DataFrame:
 
 
 def read_games(spark: SparkSession, path: str) -> DataFrame:
-    return parse_games(spark.read.option("wholetext", True).text(path).select(F.col("value").alias("doc")))
+    return parse_games(spark.read.text(path, wholetext=True).select(F.col("value").alias("doc")))
 
 
 def with_sidecar(df: DataFrame, side: DataFrame, key: str = "vid") -> DataFrame:
@@ -171,7 +171,7 @@ def parse_boxes(lines: DataFrame) -> DataFrame:
 
 
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file_name"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
     return parse_boxes(raw)
 
 
@@ -223,7 +223,7 @@ def latest_report(reports: DataFrame, vids: DataFrame) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), "value"
     )
 
