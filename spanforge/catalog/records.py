@@ -269,6 +269,8 @@ def feedback(spark, sf):
         """concat('{"technical_reasoning":"saw it","goalie_positioning":{"depth_rank":"', d, '","cover_angle_rank":"', a, '","squareness_rank":"', q,
         '","goalie_position_confidence_score":', c1, '},"coaching_feedback":{"rebound_control_rank":"', r, '","coaching_confidence_score":', c2, '}}')"""
     )
+    # the table is one file, so one task: spread the text work first
+    o = o.repartition(spark.sparkContext.defaultParallelism)
     return o.withColumn("t", text).selectExpr("k", "if(k % 9 = 0, substr(t, 1, length(t) - 2), t) as raw")
 
 

@@ -241,7 +241,7 @@ def labels(spark, sf):
 
 query("ser16_derive_labels", sql("ev gt", SQL_LABELS + " SELECT vid, t, label FROM lab"))(labels)
 query("ser17_class_weight", sql("ev gt", SQL_LABELS + """
-SELECT count(*) AS n, sum(label) AS pos, greatest(1.0, (count(*) - sum(label)) / greatest(1, sum(label))) AS pos_weight FROM lab"""))(
+SELECT count(*) AS n, CAST(sum(label) AS bigint) AS pos, greatest(1.0, (count(*) - sum(label)) / greatest(1, sum(label))) AS pos_weight FROM lab"""))(
     lambda s, d: S.class_weight(labels(s, d))
 )
 

@@ -195,9 +195,9 @@ def statuses(spark, sf):
     e = V.ev(spark, sf)
     last = WD.latest_status(e.selectExpr("user_id as vid", "ts as updated", "if(event_type in ('error', 'view'), 'Processing (40%)', 'Done') as status"))
     now = e.agg(F.max("ts").alias("now")).withColumn("__one", F.lit(1))
-    return WD.stale_status(last.withColumn("__one", F.lit(1)).join(F.broadcast(now), "__one").drop("__one"), F.col("now")).drop("now")
+    return WD.stale_status(last.withColumn("__one", F.lit(1)).join(F.broadcast(now), "__one").drop("__one"), F.col("now")).drop("now").withColumn("updated", F.unix_micros("updated"))
 
 
 query("str1_stale_status", sql("ev", SQL_STATUS + """
-SELECT vid, updated, status LIKE 'Processing%' AND epoch(date_trunc('second', now)) - epoch(date_trunc('second', updated)) > 2700 AS stalled,
+SELECT vid, epoch_us(updated) AS updated, status LIKE 'Processing%' AND epoch(date_trunc('second', now)) - epoch(date_trunc('second', updated)) > 2700 AS stalled,
   CASE WHEN status LIKE 'Processing%' AND epoch(date_trunc('second', now)) - epoch(date_trunc('second', updated)) > 2700 THEN 'Failed: stalled (no update for ' || CAST(floor((epoch(date_trunc('second', now)) - epoch(date_trunc('second', updated))) / 60) AS bigint) || ' min)' ELSE status END AS status FROM st, nw"""))(statuses)

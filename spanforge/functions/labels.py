@@ -54,18 +54,15 @@ def normalize_enum(c: Column, kind: str) -> Column:
 def rescue_enum(c: Column, kind: str) -> Column:
     """Label of the earliest accepted spelling inside prose, else null.
 
-    Whole words only; of spellings starting together the longest wins; single
-    letters are ignored.
+    Whole words only, single letters ignored.  One pattern lists the longest
+    spellings first, so the leftmost match is also the longest starting there.
     """
-    low = F.lower(c)
-    hits = []
-    for alias, label in aliases(kind).items():
-        if len(alias) < 2:
-            continue
-        pos = F.regexp_instr(low, F.lit(r"(?U)\b" + re.escape(alias) + r"\b"))
-        hits.append(F.when(pos > 0, F.struct(pos.alias("pos"), F.lit(-len(alias)).alias("len"), F.lit(label).alias("label"))))
-    best = F.array_min(F.array_compact(F.array(*hits)))
-    return F.when(F.length(c) >= 3, best["label"])
+    known = aliases(kind)
+    words = sorted((a for a in known if len(a) >= 2), key=len, reverse=True)
+    pattern = r"(?U)\b(" + "|".join(re.escape(a) for a in words) + r")\b"
+    pairs = [F.lit(x) for kv in known.items() for x in kv]
+    hit = F.regexp_extract(F.lower(c), pattern, 1)
+    return F.when(F.length(c) >= 3, F.try_element_at(F.create_map(*pairs), hit))
 
 
 def clean_enum(c: Column, kind: str) -> Column:

@@ -134,10 +134,8 @@ def trace_lookup(pred: DataFrame, trace: DataFrame, tol: float = 0.5, block: int
 def _greedy(pairs: DataFrame, order: Sequence[Column], lo: Column, hi: Column) -> DataFrame:
     """Take pairs in ``order``, each side at most once.
 
-    Two rounds keep the pairs that are best for both of their members - any
-    greedy run takes those - and drop what they rule out.  What is left is
-    folded inside chains of pairs whose hulls ``[lo, hi]`` overlap; pairs in
-    different chains share no member.
+    Pairs are folded inside chains whose hulls ``[lo, hi]`` overlap; pairs in
+    different chains share no member.  ``_mutual_best`` shortens chains first.
     """
     pairs = pairs.withColumn("__o", F.struct(*order)).withColumn("__lo", lo).withColumn("__hi", hi)
     chains = merge_spans(
@@ -158,7 +156,11 @@ def _greedy(pairs: DataFrame, order: Sequence[Column], lo: Column, hi: Column) -
 
 
 def _mutual_best(pairs: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Drop pairs beaten by a pair that is the best of both its members."""
+    """Drop pairs beaten by a pair that is the best of both its members.
+
+    Any greedy run takes such a pair, so what shares a member with it can go.
+    Runs on balanced keys (one member each), whatever the recording's size.
+    """
     o = F.struct(*order)
     by_g, by_p = W.partitionBy("vid", "gt_id"), W.partitionBy("vid", "pred_id")
     x = pairs.withColumn("__o", o)
@@ -290,6 +292,8 @@ def window_counts(seg: DataFrame, ev: DataFrame, actions: Sequence[str] = ("Shot
     keys = ["vid", "start_s", "end_s"] + (["target_team"] if has_team else [])
     wins = seg.select(*keys).distinct()
     hits = span_join(wins, spans, KEYS, ("start_s", "end_s"), ("e_s", "e_e"), block).filter("e_e > start_s and e_s < end_s")
+    # sum per team before names are compared: a window sees few distinct teams
+    hits = hits.groupBy(*keys, "team", "action").agg(F.sum("__n").alias("__n"))
     mine = (F.col("target_team").isNull() | teams_match(F.col("team"), F.col("target_team"))) if has_team else F.lit(True)
     aggs = [F.sum("__n").alias("n_overlapping")]
     for a in actions:

@@ -194,7 +194,7 @@ def beaten_map(clips: DataFrame) -> DataFrame:
     zones = clips.sparkSession.createDataFrame([(z,) for z in ZONES], "zone string")
     x = F.broadcast(zones).join(g, "zone", "left").na.fill(0)
     tot = x.agg(F.sum("goals").alias("__all"), F.sum(F.when(F.col("zone") != "unknown", F.col("goals"))).alias("__loc"), F.max_by("zone", F.when(F.col("zone") != "unknown", F.struct("goals", "zone"))).alias("__top"))
-    x = x.join(F.broadcast(tot))
+    x = x.withColumn("__one", F.lit(1)).join(F.broadcast(tot.withColumn("__one", F.lit(1))), "__one")
     return x.select(
         "zone", "goals", "clips", ratio(F.col("goals"), F.col("__all"), None).alias("pct_all"),
         F.when(F.col("zone") != "unknown", ratio(F.col("goals"), F.col("__loc"), None)).alias("pct_located"), (F.col("zone") == F.col("__top")).alias("dominant"),
