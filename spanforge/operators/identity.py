@@ -35,10 +35,14 @@ def _teams_of(tmap: DataFrame) -> DataFrame:
 
 
 def target_team(win: DataFrame, tmap: DataFrame, color: str = "color") -> DataFrame:
-    """The one team threatening a window's colour; null when none or several."""
-    x = win.join(_teams_of(tmap), "vid", "left")
+    """The one team threatening a window's colour; null when none or several.
+
+    Colours are compared once per distinct ``(recording, colour)``.
+    """
+    x = win.filter(F.col(color).isNotNull()).select("vid", color).distinct().join(_teams_of(tmap), "vid")
     hits = F.filter("__teams", lambda m: colors_match(m["threatened_color"], F.col(color)))
-    return x.withColumn("target_team", F.when(F.size(hits) == 1, F.element_at(hits, 1)["team"])).drop("__teams", "__collision")
+    found = x.select("vid", color, F.when(F.size(hits) == 1, F.get(hits, F.lit(0))["team"]).alias("target_team"))
+    return win.join(found, ["vid", color], "left")
 
 
 def _tokens(c: Column) -> Column:
@@ -70,8 +74,10 @@ def expected_color(team: Column, teams: Column) -> Column:
 
 
 def team_color(ev: DataFrame, tmap: DataFrame, team: str = "team", out: str = "expected_color") -> DataFrame:
-    x = ev.join(_teams_of(tmap), "vid", "left")
-    return x.withColumn(out, expected_color(F.col(team), F.col("__teams"))).withColumnRenamed("__collision", "collision").drop("__teams")
+    """Colour each event's team threatens, resolved once per distinct team."""
+    x = ev.filter(F.col(team).isNotNull()).select("vid", team).distinct().join(_teams_of(tmap), "vid")
+    found = x.select("vid", team, expected_color(F.col(team), F.col("__teams")).alias(out), F.col("__collision").alias("collision"))
+    return ev.join(found, ["vid", team], "left")
 
 
 def restrict_gt(gt: DataFrame, games: DataFrame, meta: DataFrame) -> DataFrame:
