@@ -292,9 +292,13 @@ def window_counts(seg: DataFrame, ev: DataFrame, actions: Sequence[str] = ("Shot
     keys = ["vid", "start_s", "end_s"] + (["target_team"] if has_team else [])
     wins = seg.select(*keys).distinct()
     hits = span_join(wins, spans, KEYS, ("start_s", "end_s"), ("e_s", "e_e"), block).filter("e_e > start_s and e_s < end_s")
-    # sum per team before names are compared: a window sees few distinct teams
-    hits = hits.groupBy(*keys, "team", "action").agg(F.sum("__n").alias("__n"))
-    mine = (F.col("target_team").isNull() | teams_match(F.col("team"), F.col("target_team"))) if has_team else F.lit(True)
+    mine = F.lit(True)
+    if has_team:
+        # names are compared once per game: a few teams against a few targets
+        teams, targets = ev.select("vid", "team").distinct(), seg.filter("target_team is not null").select("vid", "target_team").distinct()
+        same = teams.join(targets, "vid").filter(teams_match(F.col("team"), F.col("target_team"))).withColumn("__same", F.lit(True))
+        hits = hits.join(same, ["vid", "team", "target_team"], "left")
+        mine = F.col("target_team").isNull() | F.coalesce("__same", F.lit(False))
     aggs = [F.sum("__n").alias("n_overlapping")]
     for a in actions:
         name = a.lower().replace(" ", "_")
