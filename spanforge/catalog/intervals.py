@@ -9,7 +9,7 @@ from ..functions.spans import iou, midpoint
 from ..operators import intervals as I, series as S
 from ..views import BLK, sql
 from .registry import query
-from .series import SQL_FUSE, SQL_ONE, cands, fused, one, peaks, r6  # noqa: F401
+from .series import SQL_FUSE, SQL_ONE, fused, one, peaks, r6
 from .series import SQL_NMS
 
 SQL_WINDOWS = SQL_NMS + """,

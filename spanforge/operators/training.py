@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..blocks import BLOCK, carry, point_join
-from ..functions.spans import clamp01  # noqa: F401
 
 
 def hard_negatives(feat: DataFrame, gt: DataFrame, n: int, buffer: int = 5, min_conf: float = 0.30) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.stats import ratio  # noqa: F401
 
 
 def _stem(path: Column, pattern: str = r"([^/]+?)(\.[A-Za-z0-9]+)+$") -> Column:
