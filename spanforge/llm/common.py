@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: a word is a run of characters other than the six ASCII white-space characters
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,3 +46,25 @@ def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def scan(df: DataFrame, make, out_ddl: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Run Python once over a text column; the other columns travel along as struct ``row``.
+
+    ``make()`` is called once per task and returns a function from a list of texts
+    (bytes in UTF-8, or None) to one list per output column.  ``carry`` names the
+    columns to keep (default: all).
+    """
+    keep = [F.struct("*")] if carry is None else [F.struct(*[F.col(f"`{c}`") for c in carry])]
+    src = df.select(keep[0].alias("row"), F.col(f"`{text}`").cast("string").cast("binary").alias("_text"))
+    out = T.StructType([src.schema["row"], *T.StructType.fromDDL(out_ddl).fields])
+    types = [to_arrow_type(f.dataType) for f in out.fields[1:]]
+    names = [f.name for f in out.fields]
+
+    def run(batches):
+        work = make()
+        for b in batches:
+            cols = work(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names)
+
+    return src.mapInArrow(run, out)

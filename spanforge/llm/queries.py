@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import decontaminate, mixing, quality_rules, url_filter
 
-QUERIES = {"op1_mix_sources": mixing.op1_mix_sources, "op8_url_filter": url_filter.op8_url_filter}
-ORACLE = {"op1_mix_sources": mixing.SQL, "op8_url_filter": url_filter.SQL}
+QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op8_url_filter": url_filter.op8_url_filter,
+}
+ORACLE = {"op1_mix_sources": mixing.SQL, "op4_decontaminate": decontaminate.SQL, "op5_quality_rules": quality_rules.SQL, "op8_url_filter": url_filter.SQL}
