@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality_rules, url_filter
+from . import decontaminate, html_extract, mixing, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_html_extract": html_extract.op7_html_extract,
     "op8_url_filter": url_filter.op8_url_filter,
 }
 ORACLE = {"op1_mix_sources": mixing.SQL, "op4_decontaminate": decontaminate.SQL, "op5_quality_rules": quality_rules.SQL, "op8_url_filter": url_filter.SQL}
