@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, mixing, quality_rules, toxicity, url_filter
+from . import decontaminate, html_extract, jaccard_join, mixing, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_toxicity": toxicity.op6_toxicity,
