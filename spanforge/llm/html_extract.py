@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read, scan
+from .common import read, saved, scan
 
 SAMPLE = 2000
 
@@ -121,7 +121,9 @@ def learn_weights(pages: DataFrame, html: str = "html", ident: str = "page_id",
 
         return work
 
-    few = pages.select(F.col(f"`{html}`").alias("html"), F.xxhash64(F.col(f"`{ident}`").cast("string")).alias("h")).where("html is not null").orderBy("h", "html").limit(sample)
+    key = F.xxhash64(F.col(f"`{ident}`").cast("string"))
+    first = saved(pages.where(F.col(f"`{html}`").isNotNull()).select(key.alias("h")).distinct().orderBy("h").limit(sample))
+    few = pages.select(F.col(f"`{html}`").alias("html"), key.alias("h")).join(F.broadcast(first), "h")  # at most `sample` keys
     seen = scan(few, make, "kinds array<struct<kind:string,inside:long,outside:long>>", "html", ["h"]).select(F.explode("kinds").alias("k"))
     rows = seen.groupBy("k.kind").agg(F.sum("k.inside").alias("inside"), F.sum("k.outside").alias("outside")).collect()
     weights = dict(DEFAULT)
