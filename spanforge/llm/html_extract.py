@@ -81,7 +81,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             else:
                 if name in ("article", "main", "body") and any(x[1] == 1 for x in stack):
                     stack = [(n, 0 if u == 1 else u) for n, u in stack]
-                marks = " ".join(next(v for v in a[1:] if v or v is a[-1]) for a in ATTRIBUTE.findall(piece)) if "=" in piece else ""
+                marks = " ".join("".join(a[1:]) for a in ATTRIBUTE.findall(piece)) if "=" in piece else ""
                 inside = any(n in ("article", "main") for n, _ in stack)
                 unwanted = 1 if name in UNWANTED or (name == "header" and not inside) else 0
                 if name not in ("body", "main") and marks and MARKS.search(marks):
