@@ -2,17 +2,15 @@
 
 Each document is tokenised, closed by an end token and cut into sequences of
 ``SEQUENCE`` ids, the last one padded with end tokens, so every sequence is a
-record of the same number of bytes.  Sequences are numbered 0 to N-1 in input
-order: a first scan counts them per partition, a second one adds the partition's
-offset.  A keyed Feistel network over the next even power of two, walked until it
-falls below N, permutes the numbers; the image is the global slot.  Slots are dealt
-to contiguous ranges, a range partition each, and sorted, so a partition holds
-whole shards of ``SHARD`` records in training order.  Record ``slot`` starts at byte
+record of the same number of bytes.  The ids are written once to the shared folder,
+which fixes their partitions.  Sequences are numbered 0 to N-1 in that order: they
+are counted per partition, and numbering adds the partition's offset.  A keyed
+Feistel network over the next even power of two, walked until it falls below N,
+permutes the numbers; the image is the global slot.  Slots are dealt to contiguous
+ranges, a range partition each, and sorted, so a partition holds whole shards of
+``SHARD`` records in training order.  Record ``slot`` starts at byte
 ``slot % SHARD * stride`` of shard ``slot // SHARD``: a reader resumes at any slot.
-
-The ids are encoded twice but moved once.  Both scans digest what they number;
-should a partition differ (inputs changed, or split anew after executors were
-lost), the task fails and the job has to be started again: no slot is ever doubled.
+A lost executor's partitions are numbered again from the same written ids.
 
 The vocabulary file is read by the driver and sent to the tasks (its size is fixed).
 
@@ -24,10 +22,10 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -103,28 +101,27 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.n
     return out.astype(np.int64)
 
 
-def _sequences(batch, vocab, length: int) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(row, number of tokens, fixed-size records) of the texts of a batch."""
+def _pieces(vocab) -> Pieces:
     ranks, pattern = vocab.value
     name = (len(ranks), pattern, hash(frozenset(list(ranks.items())[-200:])))
     if name not in _LOADED:  # kept by the Python worker for its next tasks
         _LOADED.clear()
         _LOADED[name] = Pieces(ranks, pattern)
-    pieces = _LOADED[name]
-    end = np.array([pieces.end], pieces.kind).tobytes()
-    stride = length * len(end)
-    for k, t in enumerate(batch.column(1).to_pylist()):
-        if t:
-            ids = pieces.encode(t) + end
-            n = len(ids) // len(end)
-            ids += end * (-n % length)
-            yield k, n, [ids[i : i + stride] for i in range(0, len(ids), stride)]
+    return _LOADED[name]
+
 
+def encoded(src: DataFrame, vocab) -> DataFrame:
+    """``doc_id, ids`` of the documents with text; the ids are bytes, closed by the end token."""
+    out = T.StructType([src.schema["doc_id"], T.StructField("ids", T.BinaryType())])
 
-def _digest(seed: int, n: int, first: bytes) -> int:
-    from xxhash import xxh3_64_intdigest
+    def run(batches):
+        pieces = _pieces(vocab)
+        end = np.array([pieces.end], pieces.kind).tobytes()
+        for b in batches:
+            b = b.filter(pc.fill_null(pc.greater(pc.binary_length(b.column(1)), 0), False))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces.encode(t) + end for t in b.column(1).to_pylist()], pa.binary())], out.names)
 
-    return xxh3_64_intdigest(first, seed=(seed + n) % 2**64)
+    return src.mapInArrow(run, out)
 
 
 def training_order(docs: DataFrame, ident: str = "doc_id", text: str = "text", vocab: tuple[dict[bytes, int], str] | None = None, length: int = SEQUENCE, shard: int = SHARD, key: int = KEY) -> DataFrame:
@@ -134,46 +131,39 @@ def training_order(docs: DataFrame, ident: str = "doc_id", text: str = "text", v
     """
     sc = docs.sparkSession.sparkContext
     src = docs.select(F.col(f"`{ident}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    shared = sc.broadcast(vocabulary() if vocab is None else vocab)
-
-    def count(batches):
-        total, digest = 0, 0
-        for b in batches:
-            for _, n, records in _sequences(b, shared, length):
-                total += len(records)
-                digest = _digest(digest, n, records[0])
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([total], pa.int64()), "digest": pa.array([digest - (1 << 63)], pa.int64())})
-
-    rows = {r["part"]: r for r in saved(src.mapInArrow(count, "part int, n long, digest long")).collect()}  # one row per partition
+    vocab = vocabulary() if vocab is None else vocab
+    kind = np.uint16 if len(vocab[0]) < 1 << 16 else np.uint32
+    width = np.dtype(kind).itemsize
+    end, stride = np.array([len(vocab[0])], kind).tobytes(), length * width
+    kept = saved(encoded(src, sc.broadcast(vocab)))
+    counts = kept.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.ceil(F.octet_length("ids") / F.lit(stride))).alias("n")).collect()  # one row per partition
     start, total = {}, 0
-    for p in sorted(rows):
-        start[p], total = total, total + rows[p]["n"]
-    plan = sc.broadcast({p: (start[p], rows[p]["n"], rows[p]["digest"]) for p in rows})
+    for r in sorted(counts):
+        start[r["part"]], total = total, total + r["n"]
+    plan = sc.broadcast(start)
     out = T.StructType([T.StructField("slot", T.LongType()), src.schema["doc_id"], *T.StructType.fromDDL("part int, n_tokens int, tokens binary").fields])
     kinds = [to_arrow_type(f.dataType) for f in out.fields]
 
     def number(batches):
-        here = TaskContext.get().partitionId()
-        at, planned, wanted = plan.value.get(here, (0, 0, -(1 << 63)))
-        first, digest = at, 0
+        at = plan.value.get(TaskContext.get().partitionId(), 0)
         for b in batches:
             who, part, size, data = [], [], [], []
-            for k, n, records in _sequences(b, shared, length):
-                digest = _digest(digest, n, records[0])
-                who += [k] * len(records)
-                part += range(len(records))
-                size += [length] * (len(records) - 1) + [n - length * (len(records) - 1)]
-                data += records
+            for k, ids in enumerate(b.column(1).to_pylist()):
+                n = len(ids) // width
+                records = -(-n // length)
+                ids += end * (records * length - n)
+                who += [k] * records
+                part += range(records)
+                size += [length] * (records - 1) + [n - length * (records - 1)]
+                data += [ids[i : i + stride] for i in range(0, len(ids), stride)]
             slots = feistel(np.arange(at, at + len(who)), total, key) if who else np.zeros(0, np.int64)
             at += len(who)
             yield pa.RecordBatch.from_arrays([pa.array(slots), b.column(0).take(pa.array(who, pa.int64())), pa.array(part, kinds[2]), pa.array(size, kinds[3]), pa.array(data, kinds[4])], out.names)
-        if (at - first, digest - (1 << 63)) != (planned, wanted):
-            raise RuntimeError(f"partition {here} is not the one that was counted; start the job again")
 
     shards = -(-total // shard)
     ranges = max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     each = -(-max(shards, 1) // ranges)
-    numbered = src.mapInArrow(number, out).withColumn("shard", F.floor(F.col("slot") / F.lit(shard)).cast("int"))
+    numbered = kept.mapInArrow(number, out).withColumn("shard", F.floor(F.col("slot") / F.lit(shard)).cast("int"))
     dealt = numbered.repartitionById(-(-max(shards, 1) // each), F.floor(F.col("shard") / F.lit(each)).cast("int")).sortWithinPartitions("slot")
     return dealt.select("slot", "shard", ((F.col("slot") % shard) * F.octet_length("tokens")).alias("offset"), "doc_id", "part", "n_tokens", "tokens")
 
