@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import bounded, read, saved
+from .common import bounded, read, saved, written
 
 #: tool, argument, type, required
 SCHEMAS = [
@@ -32,16 +32,16 @@ SCHEMAS = [
 
 def depths(calls: DataFrame, limit: int = 64) -> DataFrame:
     """``conv, call, depth, cyclic`` of each (conv, call) with its ``parent``: steps to the first call of its chain."""
-    node = saved(calls.where("call is not null").groupBy("conv", "call").agg(F.min("parent").alias("up")))
+    node = written(calls.where("call is not null").groupBy("conv", "call").agg(F.min("parent").alias("up")))
     known = node.select(F.col("conv").alias("k_conv"), F.col("call").alias("k_call"))
     at = node.join(known, (F.col("conv").eqNullSafe(F.col("k_conv"))) & (F.col("up") == F.col("k_call")), "left")
-    at = saved(at.select("conv", "call", F.col("k_call").alias("up"), F.when(F.col("k_call").isNotNull(), 1).otherwise(0).cast("long").alias("depth")))
+    at = written(at.select("conv", "call", F.col("k_call").alias("up"), F.when(F.col("k_call").isNotNull(), 1).otherwise(0).cast("long").alias("depth")))
     for _ in range(limit):  # a chain without a cycle ends after log2 of its length rounds
         if at.where("up is not null").isEmpty():
             break
         far = at.select(F.col("conv").alias("k_conv"), F.col("call").alias("k_call"), F.col("up").alias("k_up"), F.col("depth").alias("k_depth"))
         new = at.join(far, F.col("conv").eqNullSafe(F.col("k_conv")) & (F.col("up") == F.col("k_call")), "left")
-        new = saved(new.select("conv", "call", F.col("k_up").alias("up"), (F.col("depth") + F.coalesce("k_depth", F.lit(0))).alias("depth")))
+        new = written(new.select("conv", "call", F.col("k_up").alias("up"), (F.col("depth") + F.coalesce("k_depth", F.lit(0))).alias("depth")))
         if new.where("up is not null").count() == at.where("up is not null").count():  # only cycles are left
             at = new
             break

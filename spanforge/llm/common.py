@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -39,6 +40,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``saved``, as a Parquet table of the shared folder.
+
+    For steps that repeat: a checkpointed plan hands its constraints on, and they
+    multiply with every join of a loop until they fill the driver.
+    """
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """Hint a broadcast only if the saved table is counted to have at most so many rows; otherwise adaptive execution chooses the join."""
     return F.broadcast(df) if df.count() <= rows else df
