@@ -36,10 +36,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from .common import read, saved
 
-HEAD, MEMBERS, FORMS = 2048, 64, 64
-TABLE = 1 << 19
-HIDDEN, STEPS, LANES = 24, 32, 128
+HEAD, MEMBERS, FORMS = 1024, 32, 32
+TABLE = 1 << 18
+HIDDEN, STEPS, LANES = 16, 32, 256
 RATE = 0.08
+#: words packed together
+FULL = 4_000_000
 PILOT = 2000
 END = 0
 LN10 = math.log(10)
@@ -112,8 +114,14 @@ class Vocabulary:
     """Counts of frequent words, head words with their classes, and totals of the form classes."""
 
     def __init__(self, counts: DataFrame):
-        top = counts.orderBy(F.desc("c"), "key").limit(TABLE).toPandas()  # TABLE rows at most
-        head = top[top["key"] != END].head(HEAD - 1)
+        sizes = sorted(map(tuple, counts.groupBy("c").count().collect()), reverse=True)  # one row per different count
+        least, room = None, TABLE
+        for c, n in sizes:
+            if n > room:
+                break
+            least, room = c, room - n
+        top = counts.where(F.col("c") >= (sizes[0][0] + 1 if sizes and least is None else least or 0)).toArrow().to_pandas()  # TABLE rows at most
+        head = top[top["key"] != END].sort_values(["c", "key"], ascending=[False, True]).head(HEAD - 1)
         self.order = np.argsort(top["key"].to_numpy())
         self.keys, self.c = top["key"].to_numpy()[self.order], top["c"].to_numpy()[self.order]
         total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("key") == END, F.col("c"))).alias("e")).first()
@@ -185,7 +193,7 @@ def pack(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _sigmoid(a: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(a, -20, 20)))
+    return np.float32(0.5) * np.tanh(np.float32(0.5) * a) + np.float32(0.5)
 
 
 def forward(m: dict, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -206,20 +214,27 @@ def forward(m: dict, x: np.ndarray, h: np.ndarray, keep: list | None = None) ->
     return out, h
 
 
-def _softmax(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    a = a - a.max(1, keepdims=True)
-    e = np.exp(a)
-    s = e.sum(1, keepdims=True)
-    return a - np.log(s), e / s
+def _exp(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(a) in place and its row sums; rows are shifted only if values are large."""
+    shift = a.max(1, keepdims=True) if a.size and a.max() > 60 else None
+    if shift is not None:
+        a -= shift
+    np.exp(a, out=a)
+    total = a @ np.ones(a.shape[1], a.dtype)
+    return total, np.log(total) if shift is None else np.log(total) + shift[:, 0]
 
 
 def output(m: dict, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of class and head word for each state; with ``grads`` also the gradient by state."""
     cls = np.where(y < HEAD, y // MEMBERS, y - HEAD + CLASSES)
-    logp, p = _softmax(h @ m["wc"] + m["bc"])
+    p = h @ m["wc"]
+    p += m["bc"]
     row = np.arange(len(y))
-    lp, dh = logp[row, cls], None
+    lp, dh = p[row, cls], None
+    total, logs = _exp(p)
+    lp -= logs
     if grads is not None:
+        p /= total[:, None]
         p[row, cls] -= 1
         grads["wc"], grads["bc"], dh = h.T @ p, p.sum(0), p @ m["wc"].T
         grads["ww"], grads["bw"] = np.zeros_like(m["ww"]), np.zeros_like(m["bw"])
@@ -228,11 +243,14 @@ def output(m: dict, h: np.ndarray, y: np.ndarray, grads: dict | None = None) ->
     for c in range(CLASSES):
         at = order[bounds[c] : bounds[c + 1]]
         if len(at):
-            hc, w = h[at], y[at] % MEMBERS
-            logq, q = _softmax(hc @ m["ww"][c] + m["bw"][c])
-            k = np.arange(len(at))
-            lp[at] += logq[k, w]
+            hc, w, k = h[at], y[at] % MEMBERS, row[: len(at)]
+            q = hc @ m["ww"][c]
+            q += m["bw"][c]
+            lq = q[k, w]
+            total, logs = _exp(q)
+            lp[at] += lq - logs
             if grads is not None:
+                q /= total[:, None]
                 q[k, w] -= 1
                 grads["ww"][c], grads["bw"][c] = hc.T @ q, q.sum(0)
                 dh[at] += q @ m["ww"][c].T
@@ -297,11 +315,16 @@ def _trainer(shared, size: int):
     def run(batches):
         vocab, start = shared.value
         m, n = {k: v.copy() for k, v in start.items()}, 0
-        square = _fresh_squares(m)
+        square, held, size_held = _fresh_squares(m), [], 0
         for b in batches:
             for docs in _docs(b.column(0).to_pylist(), vocab):
-                train_on(m, square, docs)
-                n += sum(map(len, docs))
+                held, size_held = held + docs, size_held + sum(map(len, docs))
+                if size_held >= FULL:  # enough to keep the lanes busy beside a very long text
+                    train_on(m, square, held)
+                    n, held, size_held = n + size_held, [], 0
+        if held:
+            train_on(m, square, held)
+            n += size_held
         flat = np.concatenate([m[k].ravel() for k in NAMES])
         pieces = np.array_split(flat, size) if n else []
         yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([n] * len(pieces), pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["chunk", "n", "w"])
@@ -367,6 +390,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: di
         end_count = int(v.head_counts[0])
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
+            packed: list[np.ndarray] = []
             for words, codes, ends in parts(b.column(1).to_pylist()):
                 keys, forms = word_keys(words), word_forms(words)
                 c, ids = v.count(keys), v.ids(keys, forms)
@@ -374,18 +398,19 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: di
                 gain = np.where(c > 0, np.log10(c + 1.0), 0.0)
                 within = np.where(tail, gain - v.form_share[forms], 0.0)
                 rows = [np.r_[ids[codes[a:e]], np.int32(END)] for a, e in zip([0, *ends[:-1]], ends)]
-                lm = log_probabilities(m, rows) / LN10
-                for k, (a, e) in enumerate(zip([0, *ends[:-1]], ends)):
+                packed += rows
+                for a, e in zip([0, *ends[:-1]], ends):
                     own = codes[a:e]
                     far, times = np.unique(own[c[own] == 0], return_counts=True)
                     cols[0].append(len(own) + 1)
                     cols[1].append(int((c[own] > 0).sum()) + (end_count > 0))
                     cols[2].append(float(gain[own].sum()) + math.log10(end_count + 1))
-                    cols[3].append(float(lm[k] + within[own].sum()))
+                    cols[3].append(float(within[own].sum()))
                     cols[4].append(keys[far])
                     cols[5].append(times)
             n = len(cols[0])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(at, at + n)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.list_(pa.int64()))], out.names)
+            lm = log_probabilities(m, packed) / LN10 if n else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(at, at + n)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(np.array(cols[3], np.float64) + lm), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.list_(pa.int64()))], out.names)
             at += n
 
     rows = saved(docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, out))
