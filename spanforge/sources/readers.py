@@ -11,7 +11,29 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def _stem(path: Column, pattern: str = r"([^/]+?)(\.[A-Za-z0-9]+)+$") -> Column:
-    return F.regexp_extract(path, pattern, 1)
+    """Recording id: from a folder ``vid=<id>``, as the writers make them, else from the file name."""
+    folder = F.regexp_extract(path, r"/vid=([^/]+)/[^/]*$", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_extract(path, pattern, 1))
+
+
+def _by_header(spark: SparkSession, path: str, sep: str, mark: str, cols: list[str], strict: bool = False) -> DataFrame:
+    """Named text columns of delimited files, each read by its own header line.
+
+    A header line has a field ``mark``, which no data line has.  Lines are split once
+    and joined to the header of their file, so files may order columns differently.
+    Columns a file lacks are null; ``strict`` drops lines of another width.
+    """
+    wide = ", ".join(f"c{k} string" for k in range(64))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").filter("trim(value) <> ''")
+    x = lines.select("path", F.size(F.split("value", sep)).alias("__w"), F.from_csv("value", wide, {"sep": sep}).alias("__r"))
+    x = x.select("path", "__w", F.transform(F.array("__r.*"), lambda c: F.trim(c)).alias("__f"))
+    is_head = F.coalesce(F.array_contains("__f", mark), F.lit(False))
+    heads = x.filter(is_head).groupBy("path").agg(F.first("__f").alias("__h"), F.first("__w").alias("__hw"))
+    rows = x.filter(~is_head).join(heads, "path")
+    if strict:
+        rows = rows.filter("__w = __hw")
+    at = lambda c: F.array_position("__h", c)
+    return rows.select("path", *[F.when(at(c) > 0, F.get("__f", (at(c) - 1).cast("int"))).alias(c) for c in cols])
 
 
 def _seconds(c: Column) -> Column:
@@ -41,8 +63,8 @@ def parse_features(rows: DataFrame, cols: list[str], sentinel: float = 0.0) -> D
 
 def read_features(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
     """Feature TSV addressed by header names; rows of wrong width dropped."""
-    raw = spark.read.option("sep", "\t").option("header", True).option("mode", "DROPMALFORMED").csv(path)
-    return parse_features(raw.withColumn("vid", _stem(F.col("_metadata.file_path"))), cols)
+    raw = _by_header(spark, path, "\t", "t", ["t", *cols], strict=True)
+    return parse_features(raw.withColumn("vid", _stem(F.col("path"))), cols)
 
 
 # -- events and predictions ----------------------------------------------------
@@ -60,10 +82,8 @@ def parse_events(rows: DataFrame) -> DataFrame:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Files ``gt_<id>.csv`` with ``start,end,team,action,half``."""
-    raw = spark.read.option("header", True).csv(path)
-    if "half" not in raw.columns:
-        raw = raw.withColumn("half", F.lit(None).cast("string"))
-    return parse_events(raw.withColumn("vid", F.regexp_extract("_metadata.file_path", r"gt_([^/]+?)\.csv$", 1)))
+    raw = _by_header(spark, path, ",", "start", ["start", "end", "team", "action", "half"])
+    return parse_events(raw.withColumn("vid", F.regexp_extract("path", r"gt_([^/]+?)\.csv$", 1)).drop("path"))
 
 
 def parse_predictions(rows: DataFrame) -> DataFrame:
@@ -77,7 +97,7 @@ def parse_predictions(rows: DataFrame) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return parse_predictions(spark.read.option("header", True).csv(path))
+    return parse_predictions(_by_header(spark, path, ",", "vID", ["vID", "start_s", "end_s", "confidence", "team"]))
 
 
 # -- JSON documents ------------------------------------------------------------
@@ -101,8 +121,9 @@ def _list_or(doc: Column, item: str, wrapped: Column) -> Column:
 
 
 def parse_segments(docs: DataFrame) -> DataFrame:
-    """``(vid, doc)``: a flat list or ``{"segments": [...]}``; bad text gives none."""
-    inner = F.from_json("doc", f"segments array<{SEGMENT}>")["segments"]
+    """``(vid, doc)``: a flat list, ``{"segments": [...]}`` or a segment per line; bad text gives none."""
+    lines = F.filter(F.transform(F.split("doc", "\n"), lambda x: F.from_json(x, SEGMENT)), lambda s: s["segment_start"].isNotNull())
+    inner = F.coalesce(F.from_json("doc", f"segments array<{SEGMENT}>")["segments"], lines)
     x = docs.select("vid", F.posexplode(_list_or(F.col("doc"), SEGMENT, inner)).alias("ord", "s")).filter("s is not null")
     return x.select(
         "vid", "ord", F.col("s.segment_start").alias("start_s"), F.col("s.segment_end").alias("end_s"), F.coalesce("s.segmentHasThreat", F.lit(False)).alias("threat"),
@@ -112,8 +133,8 @@ def parse_segments(docs: DataFrame) -> DataFrame:
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """One document per file, ``gt_seg_<vid>.json``."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"gt_seg_([^/]+?)\.json$", 1).alias("vid"), F.col("value").alias("doc"))
+    """One document per file ``gt_seg_<vid>.json``, or the folders ``vid=<vid>`` of ``write_segments``."""
+    raw = spark.read.text(path, wholetext=True).select(_stem(F.col("_metadata.file_path"), r"gt_seg_([^/]+?)\.json$").alias("vid"), F.col("value").alias("doc"))
     return parse_segments(raw)
 
 
@@ -213,10 +234,13 @@ def parse_reports(docs: DataFrame, text: str = "value") -> DataFrame:
 def latest_report(reports: DataFrame, vids: DataFrame) -> DataFrame:
     """Newest report naming each recording.
 
-    ``reports``: ``(path, mtime, value)``.  Reports are cut into words once and
-    joined on the id, so ids are not searched for one by one.
+    ``reports``: ``(path, mtime, value)``.  Reports are cut into words once, with and
+    without ``_`` and ``-`` as part of a word, and joined on the id, so ids are not
+    searched for one by one and are found inside file names.  An id that is part of a
+    longer run of letters and digits is not found.
     """
-    words = reports.select("path", "mtime", F.explode(F.array_distinct(F.split("value", r"[^A-Za-z0-9_-]+"))).alias("vid")).filter("vid <> ''")
+    cuts = F.concat(*[F.split("value", p) for p in (r"[^A-Za-z0-9_-]+", r"[^A-Za-z0-9-]+", r"[^A-Za-z0-9_]+", r"[^A-Za-z0-9]+")])
+    words = reports.select("path", "mtime", F.explode(F.array_distinct(cuts)).alias("vid")).filter("vid <> ''")
     hit = words.join(vids.select(F.col("vid").cast("string").alias("vid")).distinct(), "vid", "left_semi")
     return hit.groupBy("vid").agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
 

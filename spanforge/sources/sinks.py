@@ -7,9 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import clip_id
 
 
+def _by_recording(df: DataFrame, parts: int = 8) -> DataFrame:
+    """Few files per recording: its rows meet in at most ``parts`` tasks, so a large one is not one task."""
+    return df.repartition("vid", F.spark_partition_id() % parts)
+
+
 def write_candidates(df: DataFrame, path: str) -> None:
     """Ranked candidates as CSV with a header, one folder per recording."""
-    df.select("vid", "rank", "t_seconds", "t_mmss", "confidence").write.mode("overwrite").partitionBy("vid").option("header", True).csv(path)
+    _by_recording(df.select("vid", "rank", "t_seconds", "t_mmss", "confidence")).write.mode("overwrite").partitionBy("vid").option("header", True).csv(path)
 
 
 def segment_meta(df: DataFrame, method: str) -> DataFrame:
@@ -17,17 +22,35 @@ def segment_meta(df: DataFrame, method: str) -> DataFrame:
     return df.groupBy("vid").agg(F.count("*").alias("n_segments"), F.lit(method).alias("method"), F.max(F.current_timestamp()).alias("processed_at"))
 
 
+#: fields of a segment document and the columns they come from (fixed names)
+SEGMENT_FIELDS = {
+    "segmentHasThreat": "threat", "threat_goalie_color": "color", "threat_goalie_side": "side", "segment_start": "start_s", "segment_end": "end_s",
+    "source_signals": "source_signals", "n_overlapping_raw": "n_overlapping_raw",
+}
+
+
+def segment_rows(df: DataFrame) -> DataFrame:
+    """One JSON text per segment, in the fields ``read_segments`` reads."""
+    fields = [F.col(c).alias(k) for k, c in SEGMENT_FIELDS.items() if c in df.columns]
+    return df.select("vid", F.to_json(F.struct(*fields)).alias("value"))
+
+
 def write_segments(df: DataFrame, path: str, method: str = "fusion") -> None:
     """Segments as JSON lines per recording under ``segments``, sidecars under ``meta``."""
-    df.write.mode("overwrite").partitionBy("vid").json(f"{path}/segments")
+    _by_recording(segment_rows(df)).write.mode("overwrite").partitionBy("vid").text(f"{path}/segments")
     segment_meta(df, method).write.mode("overwrite").partitionBy("vid").json(f"{path}/meta")
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
-    """Prediction CSV ``vID,start_s,end_s,confidence`` with four decimals."""
-    df.select(F.col("vid").alias("vID"), "start_s", "end_s", F.format_string("%.4f", "confidence").alias("confidence")).write.mode("overwrite").option(
-        "header", True
-    ).csv(path)
+    """Prediction CSV ``vID,start_s,end_s,confidence[,team]`` with four decimals.
+
+    Points ``(vid, t, confidence)`` become windows of no length.
+    """
+    if "t" in df.columns and "start_s" not in df.columns:
+        df = df.withColumn("start_s", F.col("t")).withColumn("end_s", F.col("t"))
+    team = ["team"] if "team" in df.columns else []
+    out = df.select(F.col("vid").alias("vID"), "start_s", "end_s", F.format_string("%.4f", "confidence").alias("confidence"), *team)
+    out.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -42,7 +65,7 @@ def prob_rows(df: DataFrame) -> DataFrame:
 
 
 def write_probs(df: DataFrame, path: str) -> None:
-    prob_rows(df).write.mode("overwrite").partitionBy("vid").option("header", True).option("sep", "\t").csv(path)
+    _by_recording(prob_rows(df)).write.mode("overwrite").partitionBy("vid").option("header", True).option("sep", "\t").csv(path)
 
 
 def run_log_rows(pred: DataFrame, truth: DataFrame) -> DataFrame:

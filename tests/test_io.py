@@ -99,3 +99,37 @@ def test_pending_and_purge(spark):
     refs = spark.createDataFrame([(1, "v_1_0_9"), (2, "v_10_0_9"), (3, "v_1"), (4, "w_3_4")], "id int, clip string")
     kept, gone = K.purge_refs(refs, spark.createDataFrame([("v_1",)], "vid string"), "clip", "id")
     assert sorted(r.id for r in kept.collect()) == [2, 4] and gone.count() == 2
+
+
+def test_files_of_one_folder_may_order_columns_differently(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("t\trms\tzcr\n0\t1\t2\n1\t3\n")
+    (tmp_path / "b.tsv").write_text("zcr\tt\trms\n2\t0\t1\n")
+    got = sorted((r.vid, r.t, r.rms, r.zcr) for r in RD.read_features(spark, str(tmp_path), ["rms", "zcr", "none"]).collect())
+    assert got == [("a", 0, 1.0, 2.0), ("b", 0, 1.0, 2.0)]
+    p = tmp_path / "p"
+    p.mkdir()
+    (p / "x.csv").write_text('vID,start_s,end_s,confidence,team\n7,1,2,0.5,"A, B"\n')
+    (p / "y.csv").write_text("team,end_s,start_s,vID\nC,4,3,8\n")
+    got = sorted((r.vid, r.start_s, r.end_s, r.confidence, r.team) for r in RD.read_predictions(spark, str(p)).collect())
+    assert got == [("7", 1.0, 2.0, 0.5, "A, B"), ("8", 3.0, 4.0, None, "C")]
+
+
+def test_writers_are_read_back(spark, tmp_path):
+    d = str(tmp_path)
+    seg = spark.createDataFrame([("v1", 0, 9, True, "Red", ["a"]), ("v1", 9, 12, False, None, None), ("v2", 3, 5, True, "Blue", ["b"])], "vid string, start_s int, end_s int, threat boolean, color string, source_signals array<string>")
+    K.write_segments(seg, d + "/seg")
+    got = sorted((r.vid, r.start_s, r.end_s, r.threat, r.color) for r in RD.read_segments(spark, d + "/seg/segments").collect())
+    assert got == [("v1", 0.0, 9.0, True, "Red"), ("v1", 9.0, 12.0, False, None), ("v2", 3.0, 5.0, True, "Blue")]
+    probs = spark.createDataFrame([("v1", 0, 0.5), ("v1", 1, 0.25), ("v2", 0, 0.125)], "vid string, t int, p double")
+    K.write_probs(probs, d + "/probs")
+    assert sorted((r.vid, r.t, r.p) for r in RD.read_probs(spark, d + "/probs").collect()) == [("v1", 0, 0.5), ("v1", 1, 0.25), ("v2", 0, 0.125)]
+    points = spark.createDataFrame([("v1", 7.5, 0.9, "A")], "vid string, t double, confidence double, team string")
+    K.write_predictions(points, d + "/points")
+    r = RD.read_predictions(spark, d + "/points").first()
+    assert (r.vid, r.start_s, r.end_s, r.confidence, r.team) == ("v1", 7.5, 7.5, 0.9, "A")
+
+
+def test_report_names_an_id_inside_a_file_name(spark):
+    rep = spark.createDataFrame([("old", 1, "video SX5x"), ("new", 2, "from gt_metrics_SX5x.json"), ("other", 3, "SX5xy")], "path string, mtime int, value string")
+    ids = spark.createDataFrame([("SX5x",)], "vid string")
+    assert [tuple(r) for r in RD.latest_report(rep, ids).collect()] == [("SX5x", "new")]
