@@ -37,16 +37,34 @@ def cut(df: DataFrame) -> DataFrame:
 
     Used for tables that several branches of a job read (matches, windows):
     without it each branch would scan the sources again.  Files go to the
-    cluster's ``spark.checkpoint.dir``; a temporary folder is used only where
-    that is unset, as on a single machine.
+    cluster's ``spark.checkpoint.dir``, which has to be set; a temporary folder
+    stands in only in local mode, where one machine runs everything.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
+def positions(df: DataFrame, order: Sequence[Column | str], weight: Column | None = None, out: str = "__i") -> DataFrame:
+    """Zero-based position of each row in one order of all rows, of any type.
+
+    Rows are dealt to ranges of the order and written (``cut``), ordered within a
+    range, and ranges are added up from one row each.  With ``weight`` the position
+    is the sum of the weights of all earlier rows.
+    """
+    w = F.lit(1) if weight is None else weight
+    x = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).withColumn("__w", w))
+    sizes = x.groupBy("__part").agg(F.sum("__w").alias("__s"))
+    before = sizes.select("__part", (F.sum("__s").over(W.orderBy("__part")) - F.col("__s")).alias("__before"))
+    inside = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = x.withColumn("__own", F.sum("__w").over(inside) - F.col("__w")).join(before, "__part")
+    return x.withColumn(out, F.col("__own") + F.col("__before")).drop("__part", "__w", "__own", "__before")
+
+
 def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
     """Add a column whose costly expression is evaluated once per row.
 

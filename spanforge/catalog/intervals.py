@@ -61,7 +61,7 @@ query("int4_pad", sql("gt", SQL_GT + " SELECT vid, gt_id, greatest(start_s - 2,
 
 SQL_CLASS = """
 cs AS (SELECT vid, start_s, end_s, color, win_id AS ord, row_number() OVER (PARTITION BY vid ORDER BY start_s, end_s, win_id) AS rn
-       FROM win WHERE source <> 'motion_auto_close'),
+       FROM win),
 mc AS (
   SELECT vid, CAST(0 AS bigint) AS rn, CAST([] AS struct(s int, e int, th boolean, c varchar)[]) AS done,
          CAST(NULL AS struct(s int, e int, th boolean, c varchar)) AS cur FROM (SELECT DISTINCT vid FROM cs)
@@ -82,9 +82,8 @@ mcl AS (SELECT vid, u.s AS start_s, u.e AS end_s, u.th AS threat, u.c AS color F
 
 
 def classified(spark, sf):
-    """Raw windows as classified threats, auto-closed ones left out."""
-    w = V.win(spark, sf).filter("source <> 'motion_auto_close'")
-    return w.selectExpr("vid", "start_s", "end_s", "true as threat", "color", "win_id as ord")
+    """All raw windows as classified threats."""
+    return V.win(spark, sf).selectExpr("vid", "start_s", "end_s", "true as threat", "color", "win_id as ord")
 
 
 def merged(spark, sf):
@@ -101,7 +100,7 @@ def lengths(spark, sf):
 
 
 SQL_COVER_RAW = SQL_DUR + """,
-raw AS (SELECT vid, start_s, end_s, true AS threat, color, win_id AS ord FROM win WHERE source = 'faceoff' AND start_s > 3),
+raw AS (SELECT vid, start_s + 4 AS start_s, end_s + 4 AS end_s, true AS threat, color, win_id AS ord FROM win),
 k AS (SELECT vid, start_s AS raw_s, greatest(least(start_s, dur), 0) AS s, greatest(least(end_s, dur), 0) AS e, color, ord, dur FROM raw JOIN lengths USING (vid)),
 kk AS (SELECT *, lag(e) OVER (PARTITION BY vid ORDER BY raw_s, ord) AS pe, row_number() OVER (PARTITION BY vid ORDER BY raw_s, ord) AS rn FROM k WHERE e > s),
 first_s AS (SELECT vid, min(start_s) AS a FROM raw GROUP BY vid),
@@ -116,8 +115,10 @@ cov AS (
   UNION ALL SELECT vid, last, dur, false, NULL FROM st WHERE last < dur)"""
 query("int6_cover", sql("ev win", SQL_COVER_RAW + " SELECT * FROM cov"))(
     lambda s, d: I.cover(
-        V.win(s, d).filter("source = 'faceoff' and start_s > 3").selectExpr("vid", "start_s", "end_s", "true as threat", "color", "win_id as ord"),
+        # 4 s later, so that there is a gap in front
+        V.win(s, d).selectExpr("vid", "start_s + 4 as start_s", "end_s + 4 as end_s", "true as threat", "color", "win_id as ord"),
         lengths(s, d),
+        BLK,
     )
 )
 

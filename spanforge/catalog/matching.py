@@ -78,7 +78,7 @@ def tol_matches(spark, sf):
 query("jon7_match_tolerance", sql("probs gt", SQL_MID + " SELECT vid, gt_id, pred_id, score FROM mt"))(tol_matches)
 
 SQL_SHOTS = """
-seg AS (SELECT * FROM win WHERE source <> 'motion_auto_close'),
+seg AS (SELECT * FROM win),
 ps AS (SELECT vid, win_id AS pred_id, CAST(least(start_s + win_id % 5, end_s) AS double) AS t FROM seg),
 gs0 AS (SELECT vid, idx AS gt_id, start_s, end_s, 0.5::double * (start_s + end_s) AS mid FROM gt WHERE action = 'Shots'),
 gs AS (SELECT *, EXISTS (SELECT 1 FROM seg WHERE seg.vid = gs0.vid AND mid BETWEEN seg.start_s AND seg.end_s) AS covered FROM gs0),
@@ -99,7 +99,7 @@ sm AS (SELECT vid, pred_id, gt_id, match_class FROM sw WHERE rn > 0)"""
 
 def shot_inputs(spark, sf):
     """Shot predictions inside threat windows, and covered ground-truth shots."""
-    seg = V.win(spark, sf).filter("source <> 'motion_auto_close'")
+    seg = V.win(spark, sf)
     p = seg.selectExpr("vid", "win_id as pred_id", "cast(least(start_s + win_id % 5, end_s) as double) as t")
     g = V.gt(spark, sf).filter("action = 'Shots'").withColumnRenamed("idx", "gt_id")
     return p, M.coverage(g, seg)
@@ -306,7 +306,7 @@ def sql_prf(tp="tp", fp="fp", fn="fn"):
 
 SQL_POOL = """,
 pv AS (SELECT g.vid, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) - coalesce(tp, 0) AS fp, n_gt - coalesce(tp, 0) AS fn, n_gt, coalesce(n_pred, 0) AS n_pred
-  FROM (SELECT vid, count(*) AS n_gt FROM gtm GROUP BY 1) g LEFT JOIN (SELECT vid, count(*) AS n_pred FROM pr GROUP BY 1) p USING (vid)
+  FROM (SELECT v.vid, count(gtm.vid) AS n_gt FROM (SELECT DISTINCT vid FROM gt) v LEFT JOIN gtm ON gtm.vid = v.vid GROUP BY 1) g LEFT JOIN (SELECT vid, count(*) AS n_pred FROM pr GROUP BY 1) p USING (vid)
   LEFT JOIN (SELECT vid, count(*) AS tp FROM mt GROUP BY 1) m USING (vid)),
 ps AS (SELECT vid, CAST(sum(tp) AS bigint) AS tp, CAST(sum(fp) AS bigint) AS fp, CAST(sum(fn) AS bigint) AS fn, CAST(sum(n_gt) AS bigint) AS n_gt, CAST(sum(n_pred) AS bigint) AS n_pred FROM pv GROUP BY ROLLUP (vid))
 SELECT *, """ + sql_prf() + " FROM ps"
@@ -318,7 +318,7 @@ query("agg4_eval_spotting", sql("probs gt", SQL_MID + SQL_POOL))(
 )
 query("agg1_prf", sql("probs gt", SQL_M + SQL_POOL + " WHERE vid IS NOT NULL"))(
     lambda s, d: E.pooled(
-        E._counts(padded(s, d), preds(s, d), M.match_iou(padded(s, d), preds(s, d), THR, BLK))
+        E.counts(V.gt(s, d), padded(s, d), p := preds(s, d), M.match_iou(padded(s, d), p, THR, BLK))
     ).filter("vid is not null")
 )
 SQL_RECALL = SQL_CAND + "," + SQL_GT + """,

@@ -198,7 +198,7 @@ SELECT vid, count(*) AS n_samples, count(*) FILTER (n_goal > 0) AS frames_with_g
 query("top3_hard_negatives", sql("det gt", SQL_FEAT + """,
 nr AS (SELECT DISTINCT vid, unnest(range(start_s - 5, end_s + 6)) AS t FROM gt WHERE lower(action) = 'shots'),
 c AS (SELECT vid, t, round(goal_conf_max * CASE WHEN n_player >= 5 THEN 1.0::double ELSE 0.5 END * CASE WHEN n_goalie >= 1 THEN 1.0::double ELSE 0.7 END, 9) AS score FROM ft f
-  WHERE n_goal >= 1 AND round(goal_conf_max, 6) >= 0.3 AND NOT EXISTS (SELECT 1 FROM nr WHERE nr.vid = f.vid AND nr.t = f.t))
+  WHERE vid IN (SELECT vid FROM gt) AND n_goal >= 1 AND round(goal_conf_max, 6) >= 0.3 AND NOT EXISTS (SELECT 1 FROM nr WHERE nr.vid = f.vid AND nr.t = f.t))
 SELECT * FROM c ORDER BY score DESC, CAST(vid AS varchar) DESC, t DESC LIMIT 500"""))(
     lambda s, d: T.hard_negatives(
         features(s, d).withColumn("goal_conf_max", F.round("goal_conf_max", 6)), V.gt(s, d), 500
@@ -218,7 +218,7 @@ sp AS (SELECT c.vid, c.n, CASE WHEN te.vid IS NOT NULL THEN 'test' ELSE 'train'
 
 
 def splits(spark, sf):
-    return T.stratified_split(V.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("vid")).agg(F.count("*").alias("n")), block=256)
+    return T.stratified_split(V.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("vid")).agg(F.count("*").alias("n")))
 
 
 query("top5_stratified_split", sql("", SQL_SPLIT + " SELECT * FROM sp"))(splits)

@@ -142,7 +142,7 @@ SQL_INS = f"""
 ins0 AS (SELECT *, least(coaching_confidence, coalesce(position_confidence, 3)) / 5::double AS conf FROM clips),
 ins AS (SELECT *, (4.0::double * CASE WHEN goals > 0 THEN 1.0 ELSE 0.0 END + 2.0::double * least(saves, 3) / 3 + 1.0::double * least(sog, 3) / 3 + 2.5::double * coalesce(abs({REBO} - 1.5) / 1.5, 0) + 1.5::double * ((abs({QA} - 1.5) + abs({QS} - 1.5)) / 3))
     * conf * CASE WHEN n_caveats > 0 THEN 0.85::double ELSE 1.0 END AS score,
-  CASE WHEN goals > 0 THEN 'goal' WHEN rebound_control_rank = 'Killed (Elite)' OR (saves > 0 AND (cover_angle_rank = 'Excellent' OR squareness_rank = 'Excellent')) THEN 'elite_save' ELSE 'other' END AS kind FROM ins0 WHERE conf >= 0.4)"""
+  CASE WHEN goals > 0 THEN 'goal' WHEN rebound_control_rank = 'Killed (Elite)' OR (saves > 0 AND (cover_angle_rank = 'Excellent' OR squareness_rank = 'Excellent')) THEN 'elite_save' ELSE 'other' END AS kind FROM (SELECT *, max(conf) OVER (PARTITION BY vid, season) AS best FROM ins0) WHERE conf >= 0.4 OR best < 0.4)"""
 
 
 def scored(spark, sf):
@@ -155,9 +155,9 @@ i2 AS (SELECT * REPLACE (round(score, 6) AS score) FROM ins),
 k AS (SELECT *, row_number() OVER (PARTITION BY vid, season, kind ORDER BY score DESC, clip_no) AS r FROM i2),
 p AS (SELECT *, row_number() OVER (PARTITION BY vid, season ORDER BY (kind <> 'other' AND r <= 2) DESC, score DESC, clip_no) AS p FROM k),
 q AS (SELECT *, row_number() OVER (PARTITION BY vid, season ORDER BY score DESC, clip_no) AS rn FROM p WHERE p <= 5),
-w AS (SELECT DISTINCT vid, season, CAST(0 AS bigint) AS rn, CAST([] AS int[]) AS st, CAST(NULL AS bigint) AS clip_no FROM q
-  UNION ALL SELECT w.vid, w.season, q.rn, CASE WHEN len(list_filter(w.st, lambda s: abs(s - q.start_s) <= 2)) > 0 THEN w.st ELSE list_append(w.st, q.start_s) END,
-    CASE WHEN len(list_filter(w.st, lambda s: abs(s - q.start_s) <= 2)) > 0 THEN NULL ELSE q.clip_no END FROM w JOIN q ON q.vid = w.vid AND q.season = w.season AND q.rn = w.rn + 1)
+w AS (SELECT DISTINCT vid, season, CAST(0 AS bigint) AS rn, CAST([] AS struct(g varchar, s int)[]) AS st, CAST(NULL AS bigint) AS clip_no FROM q
+  UNION ALL SELECT w.vid, w.season, q.rn, CASE WHEN len(list_filter(w.st, lambda s: s.g = q.game::varchar AND abs(s.s - q.start_s) <= 2)) > 0 THEN w.st ELSE list_append(w.st, {'g': q.game::varchar, 's': q.start_s}) END,
+    CASE WHEN len(list_filter(w.st, lambda s: s.g = q.game::varchar AND abs(s.s - q.start_s) <= 2)) > 0 THEN NULL ELSE q.clip_no END FROM w JOIN q ON q.vid = w.vid AND q.season = w.season AND q.rn = w.rn + 1)
 SELECT q.vid, q.season, q.clip_no, q.kind, q.start_s, q.score, CAST(row_number() OVER (PARTITION BY q.vid, q.season ORDER BY CASE q.kind WHEN 'elite_save' THEN 0 WHEN 'goal' THEN 1 ELSE 2 END, q.score DESC, q.clip_no) AS int) AS pos
 FROM w JOIN q USING (vid, season, clip_no)"""))(lambda s, d: S.agenda(scored(s, d)))
 

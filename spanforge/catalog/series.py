@@ -169,6 +169,9 @@ def hyst(spark, sf):
 
 
 query("ser11_hysteresis", sql("sig", SQL_HYST + " SELECT vid, start_s, end_s, source FROM hyst"))(hyst)
+query("ser11_hysteresis_high_stop", sql("sig", SQL_HYST.replace("m < 0.5", "m < 1.3").replace("m >= 0.5", "m >= 1.3") + " SELECT vid, start_s, end_s, source FROM hyst"))(
+    lambda s, d: S.hysteresis(V.sig(s, d), "motion", 1.0, 1.3, 2, 6)
+)
 
 query("ser12_side_runs", sql("sig", """
 k AS (SELECT vid, t, CASE WHEN celeb > 0 AND celeb_side <> 'none' THEN celeb_side ELSE '' END AS side,

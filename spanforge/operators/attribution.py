@@ -101,9 +101,12 @@ def attribute(
 
     Confident detection, clear motion, any edge in motion, the previous
     window's colour (in arrival order ``win_id``), the first colour.
-    ``net`` may carry ``(vid, win_id, net_side, net_label)``.
+    ``net`` may carry ``(vid, win_id, net_side, net_label)``.  Windows end with the
+    last second of the recording; those that start after it are dropped.
     """
-    win = win.select("vid", "win_id", "start_s", "end_s", "source").filter("end_s > start_s")
+    length = sig.groupBy("vid").agg((F.max("t") + 1).cast("int").alias("__dur"))
+    win = win.select("vid", "win_id", "start_s", "end_s", "source").join(length, "vid", "left")
+    win = win.withColumn("end_s", F.least("end_s", "__dur")).drop("__dur").filter("end_s > start_s")
     x = _with_map(motion_side(win, sig, block=block), games)
     if net is not None:
         x = x.join(net.select("vid", "win_id", "net_side", "net_label"), ["vid", "win_id"], "left")
@@ -131,8 +134,8 @@ def attribute(
     first = F.col("__n") == 0
     return x.select(
         "vid", "win_id", "start_s", "end_s", "source", color.alias("color"), side2.alias("side"),
-        F.bround("mean_left", 3).alias("motion_left"), F.bround("mean_right", 3).alias("motion_right"),
-        F.bround("motion_ratio", 2).alias("motion_ratio"),
+        F.bround(F.round("mean_left", 8), 3).alias("motion_left"), F.bround(F.round("mean_right", 8), 3).alias("motion_right"),
+        F.bround(F.round("motion_ratio", 6), 2).alias("motion_ratio"),
         F.coalesce("__src", F.when(first, "fallback_default_a").otherwise("fallback_inherit_prev")).alias("attribution_src"),
     )
 

@@ -136,19 +136,26 @@ def merge_classified(df: DataFrame) -> DataFrame:
 
     Same class: union.  Different class: the later segment cuts the earlier one
     (or replaces it when both start together) and nothing restores the tail.
-    Gaps become no-threat segments.  Folding runs inside overlap islands; a
-    segment starting exactly where an island ends begins a new one.
+    Gaps become no-threat segments.  Of the segments with one start only the last
+    in order counts, and whether all are of its class, so they are summed up first,
+    with map-side combine.  Folding runs inside overlap islands of these sums; a
+    segment starting exactly where an island ends begins a new one.  Segments have a
+    positive length; ties in (start, end) go by ``ord``.
     """
     df = df.select("vid", F.col("start_s").cast("int").alias("start_s"), F.col("end_s").cast("int").alias("end_s"), "threat", "color", "ord")
+    cls = F.struct("threat", F.coalesce("color", F.lit("")), F.col("color").isNull())
+    starts = df.groupBy("vid", "start_s").agg(
+        F.max_by(F.struct("end_s", "threat", "color"), F.struct("end_s", "ord")).alias("__last"), (F.min(cls) == F.max(cls)).alias("__one")
+    ).select("vid", "start_s", "__last.*", "__one")
     groups = merge_spans(
-        df, KEYS, "start_s", "end_s", 0, inclusive=False,
-        aggs={"__segs": ("list", F.struct("start_s", "end_s", "ord", "threat", "color"))},
+        starts, KEYS, "start_s", "end_s", 0, inclusive=False, distinct=True,
+        aggs={"__segs": ("list", F.struct("start_s", "end_s", "threat", "color", F.col("__one").alias("one")))},
     ).select("vid", F.col("start_s").alias("island"), F.array_sort("__segs").alias("__segs"))
 
     def step(acc, x):
         cur, done = acc["cur"], acc["done"]
         me = _seg(x["start_s"], x["end_s"], x["threat"], x["color"])
-        same = (cur["threat"] == x["threat"]) & cur["color"].eqNullSafe(x["color"])
+        same = x["one"] & (cur["threat"] == x["threat"]) & cur["color"].eqNullSafe(x["color"])
         cut = _seg(cur["start_s"], x["start_s"], cur["threat"], cur["color"])
         joined = _seg(cur["start_s"], F.greatest(cur["end_s"], x["end_s"]), cur["threat"], cur["color"])
         return (
@@ -159,8 +166,7 @@ def merge_classified(df: DataFrame) -> DataFrame:
             )
             .when(x["start_s"] == cur["end_s"], _state(F.array_append(done, cur), me))
             .when(same, _state(done, joined))
-            .when(x["start_s"] > cur["start_s"], _state(F.array_append(done, cut), me))
-            .otherwise(_state(done, me))
+            .otherwise(_state(F.array_append(done, cut), me))
         )
 
     folded = groups.select("vid", "island", _fold_segments(groups, step).alias("segs"))
@@ -173,11 +179,12 @@ def merge_classified(df: DataFrame) -> DataFrame:
     return folded.select("vid", F.explode(with_gap).alias("s")).select("vid", "s.*")
 
 
-def cover(df: DataFrame, lengths: DataFrame) -> DataFrame:
+def cover(df: DataFrame, lengths: DataFrame, block: int | None = None) -> DataFrame:
     """Clamp to ``[0, dur]`` and fill leading, inner and trailing gaps.
 
     ``lengths`` holds ``(vid, dur)``; a recording without segments becomes one
-    no-threat segment.
+    no-threat segment.  Give ``block`` for raw rows: they are then ordered per
+    block of time instead of per recording.
     """
     x = df.join(lengths, "vid")
     clamp = lambda c: F.greatest(F.least(F.col(c), F.col("dur")), F.lit(0)).cast("int")
@@ -185,7 +192,7 @@ def cover(df: DataFrame, lengths: DataFrame) -> DataFrame:
     kept = kept.filter("end_s > start_s")
     if "ord" not in kept.columns:
         kept = kept.withColumn("ord", F.lit(0))
-    kept = carry(kept, KEYS, "__raw", {"__prev": ("last", F.col("end_s"))}, ["__raw", "ord"])
+    kept = carry(kept, KEYS, "__raw", {"__prev": ("last", F.col("end_s"))}, ["__raw", "ord"], block)
     me = _seg(F.col("start_s"), F.col("end_s"), F.col("threat"), F.col("color"))
     body = kept.select(
         "vid",

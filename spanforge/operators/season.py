@@ -281,8 +281,11 @@ def _conf(c: str, default: int = 3) -> Column:
     return F.coalesce(F.col(c), F.lit(default))
 
 
-def instruction_score(clips: DataFrame, week_latest: Column | None = None, date: str = "game_date") -> DataFrame:
-    """How much a clip teaches: events and extremes, scaled by confidence."""
+def instruction_score(clips: DataFrame, week_latest: Column | None = None, date: str = "game_date", by: Sequence[str] = ("vid", "season")) -> DataFrame:
+    """How much a clip teaches: events and extremes, scaled by confidence.
+
+    Clips of low confidence are left out, unless a scope ``by`` has no other.
+    """
     conf = F.least(_conf("coaching_confidence"), _conf("position_confidence")) / 5.0
     rb = scale("rebound_control_rank", REBOUND)
     rebound = F.coalesce(F.abs(rb - 1.5) / 1.5, F.lit(0.0))
@@ -298,7 +301,9 @@ def instruction_score(clips: DataFrame, week_latest: Column | None = None, date:
         (F.col("saves") > 0) & ((F.col("cover_angle_rank") == "Excellent") | (F.col("squareness_rank") == "Excellent"))
     )
     kind = F.when(F.col("goals") > 0, "goal").when(elite, "elite_save").otherwise("other")
-    return x.withColumn("kind", kind).filter(conf >= 0.4)
+    x = x.withColumn("kind", kind).withColumn("__conf", conf)
+    best = x.groupBy(*by).agg(F.max("__conf").alias("__best"))
+    return x.join(best, list(by)).filter("__conf >= 0.4 or __best < 0.4").drop("__conf", "__best")
 
 
 def _spread(ordered: Column, item: str, gap: int, limit: Column | None = None) -> Column:
@@ -309,9 +314,11 @@ def _spread(ordered: Column, item: str, gap: int, limit: Column | None = None) -
     )
 
 
-def agenda(scored: DataFrame, n: int = 5, by: Sequence[str] = ("vid", "season"), gap: int = 2) -> DataFrame:
+def agenda(scored: DataFrame, n: int = 5, by: Sequence[str] = ("vid", "season"), gap: int = 2, game: str = "game") -> DataFrame:
     """Up to ``n`` clips per scope: two goals, two elite saves, then by score.
 
+    Clips of one ``game`` that start within ``gap`` show the same play; the better is kept.
+
     Only the best ``n`` of each kind can be picked, so each scope is cut to
     those before its few candidates are gathered.
     """
@@ -322,10 +329,10 @@ def agenda(scored: DataFrame, n: int = 5, by: Sequence[str] = ("vid", "season"),
     w2 = W.partitionBy(*by).orderBy(F.desc("__first"), F.desc("score"), "clip_no")
     picks = top.withColumn("__first", first.cast("int")).withColumn("__p", F.row_number().over(w2)).filter(F.col("__p") <= n)
     item = F.struct(
-        (-F.col("score")).alias("neg"), F.col("clip_no").alias("clip_no"), F.lit(0).alias("grp"), F.col("start_s").alias("start_s"), F.col("kind").alias("kind")
+        (-F.col("score")).alias("neg"), F.col("clip_no").alias("clip_no"), F.col(game).cast("string").alias("grp"), F.col("start_s").alias("start_s"), F.col("kind").alias("kind")
     )
     g = picks.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("__l"))
-    ty = "struct<neg:double,clip_no:bigint,grp:int,start_s:int,kind:string>"
+    ty = "struct<neg:double,clip_no:bigint,grp:string,start_s:int,kind:string>"
     kept = g.select(*by, F.explode(_spread(F.col("__l"), ty, gap)).alias("k"))
     order = F.when(F.col("kind") == "elite_save", 0).when(F.col("kind") == "goal", 1).otherwise(2)
     x = kept.select(*by, "k.clip_no", "k.kind", "k.start_s", (-F.col("k.neg")).alias("score"))

@@ -307,15 +307,14 @@ def hysteresis(
     below ``stop_at``, is closed by force after ``max_open`` seconds (which also
     resets the run) and at the end of the recording.
     """
-    if stop_at > open_at:
-        raise ValueError("stop_at must not exceed open_at: runs could outlive a close")
+    reset = min(stop_at, open_at)
     x = df.select("vid", F.col("t").cast("int").alias("t"), F.col(col).cast("double").alias("m"))
     ends = x.groupBy("vid").agg((F.max("t") + 1).alias("__dur"))
-    # after a second below stop_at the machine is back in its initial state, so
-    # the second after it starts an independent stretch; quiet rows at the front
+    # after a second below both thresholds the machine is back in its initial state
+    # (above open_at a run outlives a close), so the next one starts an independent stretch; quiet rows at the front
     # of a stretch change nothing and only the closing one has to stay
-    x = carry(x, KEYS, "t", {"__quiet": ("last", F.col("m") < stop_at)})
-    x = x.filter(~((F.col("m") < stop_at) & F.coalesce("__quiet", F.lit(True))))
+    x = carry(x, KEYS, "t", {"__quiet": ("last", F.col("m") < reset)})
+    x = x.filter(~((F.col("m") < reset) & F.coalesce("__quiet", F.lit(True))))
     x = number_runs(x, KEYS, "t", F.coalesce("__quiet", F.lit(True)))
     win = "struct<start_s:int,end_s:int,source:string>"
     init = F.expr(

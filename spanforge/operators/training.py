@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..blocks import BLOCK, carry, point_join
+from ..blocks import BLOCK, point_join, positions
+from ..functions.text import teams_match
 
 
-def hard_negatives(feat: DataFrame, gt: DataFrame, n: int, buffer: int = 5, min_conf: float = 0.30) -> DataFrame:
-    """The ``n`` most goal-like seconds away from any shot, over all recordings."""
+def hard_negatives(
+    feat: DataFrame, gt: DataFrame, n: int, buffer: int = 5, min_conf: float = 0.30, opponents: DataFrame | None = None
+) -> DataFrame:
+    """The ``n`` most goal-like seconds away from any shot, over all recordings with truth.
+
+    ``opponents`` (vid, opponent) limits the shots to those of that team; recordings
+    without an opponent there keep all.
+    """
+    feat = feat.join(gt.select("vid").distinct(), "vid", "left_semi")
     shots = gt.filter(F.lower(F.trim("action")) == "shots")
+    if opponents is not None:
+        shots = shots.join(opponents.select("vid", "opponent"), "vid", "left")
+        shots = shots.filter((F.coalesce("opponent", F.lit("")) == "") | teams_match(F.col("team"), F.col("opponent")))
     near = shots.select(
         "vid", F.explode(F.sequence((F.floor("start_s") - buffer).cast("int"), (F.floor("end_s") + buffer).cast("int"))).alias("t")
     ).distinct()
@@ -35,24 +46,18 @@ def best_second(gt: DataFrame, series: DataFrame, keep: float = 0.25, block: int
     )
 
 
-def _ranked(df: DataFrame, t: str, order, block: int) -> DataFrame:
-    """Zero-based position in the order of all rows, counted per block of ``t``."""
-    x = carry(df.withColumn("__one", F.lit(1)), ["__one"], t, {"__i": ("sum", F.lit(1))}, order, block)
-    return x
-
-
-def stratified_split(counts: DataFrame, frac: float = 0.25, min_test: int = 3, block: int = 4096) -> DataFrame:
+def stratified_split(counts: DataFrame, frac: float = 0.25, min_test: int = 3) -> DataFrame:
     """Hold-out spanning the count range: every k-th game by count.
 
     The picked ids are cut to the wanted number after sorting them by id.
-    ``counts`` has ``(vid, n)``.
+    ``counts`` has ``(vid, n)``; ids may be of any type that sorts.
     """
-    size = counts.agg(F.count("*").alias("__n")).withColumn("__one", F.lit(1))
+    size = counts.agg(F.count("*").alias("__n"))
     want = F.least(F.greatest(F.lit(min_test), F.bround(F.col("__n") * F.lit(frac), 0)), F.col("__n") - 1).cast("long")
     size = size.withColumn("__want", want).withColumn("__step", F.greatest(F.floor(F.col("__n") / F.col("__want")), F.lit(1)))
-    x = _ranked(counts, "n", ["n", "vid"], 1).join(F.broadcast(size), "__one")
-    picked = x.filter(F.col("__i") % F.col("__step") == 0).drop("__i", "__one")
-    test = _ranked(picked, "vid", ["vid"], block).filter(F.col("__i") < F.col("__want")).select("vid", F.lit("test").alias("__s"))
+    x = positions(counts, ["n", "vid"]).crossJoin(size)  # one row
+    picked = x.filter(F.col("__i") % F.col("__step") == 0).drop("__i")
+    test = positions(picked, ["vid"]).filter(F.col("__i") < F.col("__want")).select("vid", F.lit("test").alias("__s"))
     return counts.join(test, "vid", "left").withColumn("split", F.coalesce("__s", F.lit("train"))).drop("__s")
 
 

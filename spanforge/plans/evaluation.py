@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..blocks import BLOCK, cut
+from ..blocks import BLOCK, cut, positions
 from ..functions.spans import iou, midpoint
 from ..functions.stats import f1, prf, ratio
 from ..functions.text import colors_match
 from ..operators import identity, intervals as I, matching as M
 
 
-def _counts(gt: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
+def counts(gt_rows: DataFrame, gt: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
+    """Counts of every recording with ground-truth rows, whatever their action.
+
+    A recording whose truth holds no threat keeps its predictions as false positives.
+    """
+    v = gt_rows.select("vid").distinct()
     g = gt.groupBy("vid").agg(F.count("*").alias("n_gt"))
     p = pred.groupBy("vid").agg(F.count("*").alias("n_pred"))
     m = matches.groupBy("vid").agg(F.count("*").alias("tp"))
-    x = g.join(p, "vid", "left").join(m, "vid", "left").na.fill(0, ["n_pred", "tp"])
+    x = v.join(g, "vid", "left").join(p, "vid", "left").join(m, "vid", "left").na.fill(0, ["n_gt", "n_pred", "tp"])
     return x.withColumn("fp", F.col("n_pred") - F.col("tp")).withColumn("fn", F.col("n_gt") - F.col("tp"))
 
 
@@ -31,7 +36,7 @@ def eval_strict(
 ) -> DataFrame:
     """Window evaluation: merge truth, pad, match by IoU, pooled P/R/F1."""
     gt = cut(I.pad(I.merge_events(gt_rows, gap), pad))
-    return pooled(_counts(gt, pred, M.match_iou(gt, pred, thr, block)))
+    return pooled(counts(gt_rows, gt, pred, M.match_iou(gt, pred, thr, block)))
 
 
 def eval_spotting(gt_rows: DataFrame, pred: DataFrame, tol: float = 5.0, gap: float = 8, block: int = BLOCK) -> DataFrame:
@@ -39,7 +44,7 @@ def eval_spotting(gt_rows: DataFrame, pred: DataFrame, tol: float = 5.0, gap: fl
     mid = midpoint(F.col("start_s"), F.col("end_s")).alias("t")
     gt = cut(I.merge_events(gt_rows, gap).select("vid", "gt_id", mid))
     p = pred.select("vid", "pred_id", mid)
-    return pooled(_counts(gt, p, M.match_tolerance(gt, p, tol, block)))
+    return pooled(counts(gt_rows, gt, p, M.match_tolerance(gt, p, tol, block)))
 
 
 def recall_at(cand: DataFrame, gt: DataFrame, tols=(5.0, 10.0)) -> DataFrame:
@@ -195,12 +200,17 @@ def diagnose_summary(rows: DataFrame) -> DataFrame:
 def index_quantiles(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     """Order statistics by position ``n div 4, n div 2, 3n div 4``.
 
-    Equal values are counted first, so only distinct values are ordered.
+    Equal values are counted first, so only distinct values are ordered: in ranges
+    over the whole table, or per group of ``by``.
     """
     keys = [by] if by else []
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("__v")).agg(F.count("*").alias("__n"))
-    run = W.partitionBy(*keys).orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
-    x = counts.withColumn("__hi", F.sum("__n").over(run)).withColumn("__all", F.sum("__n").over(W.partitionBy(*keys)))
+    distinct = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("__v")).agg(F.count("*").alias("__n"))
+    if by is None:
+        x = positions(distinct, ["__v"], F.col("__n")).withColumn("__hi", F.col("__i") + F.col("__n"))
+        x = x.crossJoin(distinct.agg(F.sum("__n").alias("__all")))  # one row
+    else:
+        run = W.partitionBy(by).orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+        x = distinct.withColumn("__hi", F.sum("__n").over(run)).withColumn("__all", F.sum("__n").over(W.partitionBy(by)))
     at = lambda pos: F.min(F.when(F.col("__hi") > pos, F.col("__v")))
     n = F.col("__all")
     out = [

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..blocks import cut, positions
 from ..functions.stats import f1, ratio
 
 
@@ -108,11 +109,7 @@ def _draws(df: DataFrame, values: Sequence[str], reps: int, seed: int, order: st
     Draw ``(rep, k)`` picks a position from a hash, so a run is repeatable and
     every executor computes its own draws.  Samples are one per recording.
     """
-    from ..blocks import carry
-
-    x = carry(df.withColumn("__one", F.lit(1)), ["__one"], order, {"__i": ("sum", F.lit(1))}, block=4096)
-    n = df.agg(F.count("*").alias("__n")).withColumn("__one", F.lit(1))
-    ids = x.join(F.broadcast(n), "__one").drop("__one")
+    ids = cut(positions(df, [order]).crossJoin(df.agg(F.count("*").alias("__n"))))  # one row
     draw = ids.select("__n", F.col("__i").alias("__k")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "rep", "__k")), 1, 8), 16, 10).cast("long")
     picked = draw.select("rep", F.pmod(h, F.col("__n")).alias("__i"))
@@ -127,9 +124,7 @@ def _bounds(means: DataFrame, v: str, reps: int, alpha: float) -> DataFrame:
 
 def bootstrap_ci(df: DataFrame, value: str, reps: int = 2000, alpha: float = 0.05, seed: int = 42, order: str = "vid") -> DataFrame:
     """Percentile interval of the mean; only the ``reps`` means are ordered."""
-    mean = df.agg(F.avg(value).alias("mean")).withColumn("__one", F.lit(1))
-    ci = _bounds(_draws(df, [value], reps, seed, order), value, reps, alpha).withColumn("__one", F.lit(1))
-    return mean.join(ci, "__one").drop("__one")
+    return df.agg(F.avg(value).alias("mean")).crossJoin(_bounds(_draws(df, [value], reps, seed, order), value, reps, alpha))  # one row each
 
 
 def paired_ci(df: DataFrame, a: str, b: str, reps: int = 2000, alpha: float = 0.05, seed: int = 42, order: str = "vid", higher_better: bool = True) -> DataFrame:
