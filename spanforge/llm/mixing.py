@@ -12,8 +12,8 @@ only the one range that holds a source's border is ordered.  The border is one
 key per source, so the decision about a row needs no shuffle of rows.
 
 Defined results: null or empty texts have size 0 and are taken by epochs only;
-sources are ordered by code point, null last; identical rows share a key and are
-taken or left together; no rows or only empty texts give targets of 0.
+sources are ordered by code point, null last; identical rows share a key, and where
+the border runs through them as many are taken as fit; no rows or only empty texts give targets of 0.
 """
 
 from __future__ import annotations
@@ -79,8 +79,9 @@ def plan_mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     inside = rows.join(bounded(border), rows.source.eqNullSafe(F.col("b_source")) & (rows.bucket == F.col("b_bucket")))
     order = W.partitionBy("source").orderBy("key", "ident", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = inside.withColumn("start", F.col("before") + F.sum("size").over(order) - F.col("size"))
-    inside = inside.where((F.col("start") < F.col("rest")) & (F.lit(2) * (F.col("rest") - F.col("start")) >= F.col("size")))
-    last = inside.groupBy("b_source", "b_bucket").agg(F.max(F.struct("key", "ident", "size")).alias("last"))
+    fits = (F.col("start") < F.col("rest")) & (F.lit(2) * (F.col("rest") - F.col("start")) >= F.col("size"))
+    alike = inside.groupBy("b_source", "b_bucket", "key", "ident", "size").agg(F.count_if(fits).alias("k"), F.count("*").alias("t")).where("k > 0")
+    last = alike.groupBy("b_source", "b_bucket").agg(F.max(F.struct("key", "ident", "size", "k", "t")).alias("last"))
     out = plan.alias("p").join(border.select(F.col("b_source").alias("c_source"), F.col("b_bucket").alias("border")), F.col("source").eqNullSafe(F.col("c_source")), "left")
     out = out.join(last, F.col("source").eqNullSafe(F.col("b_source")), "left")
     return saved(out.select(F.col("source").alias("m_source"), "source_size", "target", "epochs", "border", "last"))
@@ -89,8 +90,17 @@ def plan_mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 def taken_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with the plan of their source and ``copies``, how often the mix takes them."""
     out = rows.join(bounded(plan), F.col("source").eqNullSafe(F.col("m_source")))
-    chosen = F.coalesce((F.col("bucket") < F.col("border")) | ((F.col("bucket") == F.col("border")) & (F.struct("key", "ident", "size") <= F.col("last"))), F.lit(False))
-    return out.withColumn("copies", F.col("epochs") + chosen.cast("int"))
+    own, last = F.struct("key", "ident", "size"), F.struct("last.key", "last.ident", "last.size")
+    here = F.coalesce(F.col("bucket") == F.col("border"), F.lit(False))
+    chosen = F.coalesce((F.col("bucket") < F.col("border")) | (here & (own <= last)), F.lit(False))
+    done = out.withColumn("copies", F.col("epochs") + chosen.cast("int"))
+    if plan.where("last.k < last.t").isEmpty():
+        return done
+    # the border runs through identical rows: as many of them as fit
+    split = F.coalesce(here & (own == last) & (F.col("last.k") < F.col("last.t")), F.lit(False))
+    nth = F.row_number().over(W.partitionBy("source", "key").orderBy(F.lit(0)))
+    some = done.where(split).withColumn("copies", F.col("epochs") + (nth <= F.col("last.k")).cast("int"))
+    return done.where(~split).unionByName(some)
 
 
 def _light(rows: DataFrame) -> DataFrame:
