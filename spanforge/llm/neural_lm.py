@@ -81,29 +81,23 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(key, form, c) of all words and of the end token (key 0) in ``text`` of the training documents."""
 
     def run(batches):
-        total: dict[int, list[int]] = {}
-        texts_seen = 0
+        held, size, texts_seen = [], 0, 0
 
         def out():
-            keys = np.fromiter(total, np.int64, len(total))
-            rest = np.array(list(total.values()), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rest[:, 0].astype(np.int32)), pa.array(rest[:, 1])], ["key", "form", "c"])
+            keys, forms, n = (np.concatenate([h[k] for h in held]) for k in range(3))
+            keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(forms[first]), pa.array(np.bincount(at, weights=n).astype(np.int64))], ["key", "form", "c"])
 
         for b in batches:
             texts = b.column(0).to_pylist()
             texts_seen += len(texts)
             for words, codes, _ in parts(texts):
-                c = np.bincount(codes, minlength=len(words))
-                for key, form, n in zip(word_keys(words).tolist(), word_forms(words).tolist(), c.tolist()):
-                    have = total.get(key)
-                    if have is None:
-                        total[key] = [form, n]
-                    else:
-                        have[1] += n
-                if len(total) > 1_000_000:
+                held.append((word_keys(words), word_forms(words), np.bincount(codes, minlength=len(words))))
+                size += len(words)
+                if size > 2_000_000:
                     yield out()
-                    total.clear()
-        total[END] = [-1, texts_seen]
+                    held, size = [], 0
+        held.append((np.array([END]), np.array([-1], np.int32), np.array([texts_seen])))
         yield out()
 
     got = train.select("text").mapInArrow(run, "key long, form int, c long")
