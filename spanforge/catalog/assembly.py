@@ -59,6 +59,12 @@ query("jon2_side_at", sql("win games periods", SQL_CLASS + "," + SQL_SIDES + ","
 SELECT vid, start_s, end_s, threat, color, CASE WHEN threat AND color IS NOT NULL THEN CASE WHEN color = oc THEN oside WHEN color = tc THEN tside END END AS side FROM sa"""))(
     lambda s, d: A.apply_sides(merged(s, d), V.games(s, d))
 )
+def sql_half_even(c, digits, keep):
+    """Non-negative ``c``, read to ``digits`` decimals, to ``keep`` of them, half to even, in whole numbers."""
+    i, u = f"CAST(round({c} * 1e{digits}) AS bigint)", 10 ** (digits - keep)
+    return f"({i} // {u} + CASE WHEN {i} % {u} > {u // 2} OR ({i} % {u} = {u // 2} AND {i} // {u} % 2 = 1) THEN 1 ELSE 0 END) / 1e{keep}"
+
+
 SQL_ATTR = SQL_MS + "," + SQL_SIDES + ",\nmp AS (SELECT * REPLACE (least(end_s, dur)::int AS end_s) FROM ms LEFT JOIN (SELECT vid, max(t) + 1 AS dur FROM sig GROUP BY vid) USING (vid) WHERE least(end_s, dur) > start_s)," + sql_side_at("mp", "sa") + """,
 dec AS (SELECT *, CASE WHEN aside <> 'ambiguous' THEN aside WHEN mr > ml THEN 'right' WHEN ml > mr THEN 'left' END AS dside,
    CASE WHEN aside <> 'ambiguous' THEN 'motion' WHEN mr <> ml THEN 'fallback_motion_edge' END AS dsrc FROM sa),
@@ -68,7 +74,7 @@ pv AS (SELECT *, last_value(dcol IGNORE NULLS) OVER w AS pc, last_value(dside IG
    WINDOW w AS (PARTITION BY vid ORDER BY win_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 fc AS (SELECT *, coalesce(dcol, pc, ca) AS col FROM pv),
 att AS (SELECT vid, win_id, start_s, end_s, source, col AS color, coalesce(dside, CASE WHEN col = oc THEN oside WHEN col = tc THEN tside END, psd_, 'left') AS side,
-   round_even(round(ml, 8), 3) AS motion_left, round_even(round(mr, 8), 3) AS motion_right, round_even(round(ratio, 6), 2) AS motion_ratio,
+   """ + sql_half_even("ml", 8, 3) + " AS motion_left, " + sql_half_even("mr", 8, 3) + " AS motion_right, " + sql_half_even("ratio", 6, 2) + """ AS motion_ratio,
    coalesce(dsrc, CASE WHEN n = 0 THEN 'fallback_default_a' ELSE 'fallback_inherit_prev' END) AS attribution_src FROM fc)"""
 query("jon4_attribute", sql("win sig games periods", SQL_ATTR + " SELECT * FROM att"))(
     lambda s, d: A.attribute(V.win(s, d), V.sig(s, d), V.games(s, d), block=BLK).select(
