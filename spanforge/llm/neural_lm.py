@@ -36,9 +36,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from .common import read, saved
 
-HEAD, MEMBERS, FORMS = 1024, 32, 32
-TABLE = 1 << 18
-HIDDEN, STEPS, LANES = 16, 32, 256
+HEAD, MEMBERS, FORMS = 2048, 64, 64
+TABLE = 1 << 19
+HIDDEN, STEPS, LANES = 24, 32, 128
 RATE = 0.08
 #: words packed together
 FULL = 4_000_000

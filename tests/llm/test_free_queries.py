@@ -222,6 +222,18 @@ def test_likelihood_sums_to_one_and_gradients():
         assert abs((loss(up) - loss(down)) / 2e-3 - g.ravel()[at]) < 2e-2 * abs(g.ravel()[at])
 
 
+def test_likelihood_tells_head_words_apart_in_short_steps(spark, monkeypatch):
+    rows = [(0, -1, 9000)] + [(k, 3, 9000 - k) for k in range(1, 2301)]
+    vocab = neural_lm.Vocabulary(spark.createDataFrame(rows, "key long, form int, c long"))
+    keys = np.arange(1, 2048, dtype=np.int64)
+    assert len(set(vocab.ids(keys, np.full(2047, 3, np.int32)).tolist())) == 2047  # one suffix, still a word each
+    updates, real = [], neural_lm.output
+    monkeypatch.setattr(neural_lm, "output", lambda *a: updates.append(len(a[1])) or real(*a))
+    m = neural_lm.start_model(vocab)
+    neural_lm.train_on(m, {k: np.full_like(a, 0.1) for k, a in m.items()}, [np.ones(128, np.int32)] * 512)
+    assert updates == [128 * 32] * 16
+
+
 def test_pipeline(spark, corpus):
     import corpus_pipeline as p
 
