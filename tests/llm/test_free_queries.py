@@ -88,6 +88,18 @@ def test_jaccard_join(spark, corpus):
     assert entry.queries()["op2_jaccard_join"](spark, none).count() == 0
 
 
+@pytest.mark.parametrize("block", [jaccard_join.BLOCK, 3])
+def test_jaccard_join_finds_all_links(spark, corpus, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    folder, none, rows = corpus
+    sets = [shingles(r[1]) for r in rows]
+    like = lambda a, b: a != b and 100 * len(a & b) >= 75 * len(a | b)
+    want = collections.Counter((r[0], sum(like(s, o) for o in sets)) for r, s in zip(rows, sets))
+    assert max(n for _, n in want) > 5
+    got = entry.queries()["op2_jaccard_join"](spark, folder).select("doc_id", "n_links").collect()
+    assert collections.Counter(map(tuple, got)) == want
+
+
 @pytest.mark.parametrize("percent", [50, 90])
 def test_jaccard_join_other_settings(spark, corpus, percent):
     rows = [(r[0], r[1]) for r in corpus[2][:160] if r[0] is not None and r[1]]
