@@ -264,3 +264,15 @@ def test_pipeline(spark, corpus):
     assert p.run(spark, none).count() == 0
     out = p.run(spark, folder).select("slot", F.sha2("tokens", 256).alias("s")).collect()
     assert sorted(r.slot for r in out) == list(range(len(out))) and len(hashlib.sha256().hexdigest()) == len(out[0].s)
+
+
+def test_pipeline_decides_near_duplicates_by_row(spark, corpus):
+    import corpus_pipeline as p
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = text(3).rsplit(" ", 1)[0] + " other"
+    rows = [(5, near), (3, text(3)), (5, text(5)), (None, text(3)), (None, text(8)), (None, text(8)), (None, None), (9, text(8)), (None, text(1)), (None, text(1)), (7, text(7)), (7, text(7))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    once = p.without_near_duplicates(spark, docs, "")
+    assert once.columns == docs.columns
+    assert collections.Counter(map(tuple, once.collect())) == collections.Counter([(3, text(3)), (5, text(5)), (None, None), (9, text(8)), (None, text(1)), (7, text(7))])
