@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, mixing, neural_lm, quality_rules, suffix_dedup, token_alignment, token_shards, toxicity, url_filter
+from . import chat_format, decontaminate, html_extract, jaccard_join, mixing, neural_lm, prefix_trie, quality_rules, suffix_dedup, token_alignment, token_shards, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_neural_lm": neural_lm.op9_neural_lm,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
-ORACLE = {"op1_mix_sources": mixing.SQL, "op4_decontaminate": decontaminate.SQL, "op5_quality_rules": quality_rules.SQL, "op8_url_filter": url_filter.SQL, "op10_chat_format": chat_format.SQL}
+ORACLE = {"op1_mix_sources": mixing.SQL, "op4_decontaminate": decontaminate.SQL, "op5_quality_rules": quality_rules.SQL, "op8_url_filter": url_filter.SQL, "op10_chat_format": chat_format.SQL, "op11_prefix_trie": prefix_trie.SQL}
