@@ -77,57 +77,6 @@ def tol_matches(spark, sf):
 
 query("jon7_match_tolerance", sql("probs gt", SQL_MID + " SELECT vid, gt_id, pred_id, score FROM mt"))(tol_matches)
 
-SQL_SHOTS = """
-seg AS (SELECT * FROM win),
-ps AS (SELECT vid, win_id AS pred_id, CAST(least(start_s + win_id % 5, end_s) AS double) AS t FROM seg),
-gs0 AS (SELECT vid, idx AS gt_id, start_s, end_s, 0.5::double * (start_s + end_s) AS mid FROM gt WHERE action = 'Shots'),
-gs AS (SELECT *, EXISTS (SELECT 1 FROM seg WHERE seg.vid = gs0.vid AND mid BETWEEN seg.start_s AND seg.end_s) AS covered FROM gs0),
-cd AS (SELECT p.vid, p.pred_id, p.t, list({'gt_id': g.gt_id, 'cls': CASE WHEN p.t BETWEEN g.start_s AND g.end_s THEN 'inside' ELSE 'tolerance' END, 'd': abs(p.t - g.mid)}
-          ORDER BY g.start_s, g.gt_id) FILTER (g.gt_id IS NOT NULL) AS c
-       FROM ps p LEFT JOIN gs g ON g.vid = p.vid AND g.covered AND p.t BETWEEN g.start_s - 3 AND g.end_s + 3 GROUP BY 1, 2, 3),
-po AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY t, pred_id) AS rn FROM cd),
-sw AS (
-  SELECT DISTINCT vid, CAST(0 AS bigint) AS rn, CAST([] AS bigint[]) AS used, CAST(NULL AS bigint) AS pred_id, CAST(NULL AS bigint) AS gt_id, CAST(NULL AS varchar) AS match_class FROM po
-  UNION ALL
-  SELECT vid, rn, CASE WHEN b.gt_id >= 0 THEN list_append(used, b.gt_id) ELSE used END, pred_id, nullif(b.gt_id, -1), nullif(b.cls, '')
-  FROM (SELECT w.vid, p.rn, w.used, p.pred_id, list_reduce(list_concat([{'gt_id': CAST(-1 AS bigint), 'cls': '', 'd': CAST(1e9 AS double)}],
-            list_filter(coalesce(p.c, []), lambda x: NOT list_contains(w.used, x.gt_id))),
-          lambda a, x: CASE WHEN x.d < a.d AND (x.cls = 'inside' OR a.cls <> 'inside') THEN x ELSE a END) AS b
-        FROM sw w JOIN po p ON p.vid = w.vid AND p.rn = w.rn + 1)),
-sm AS (SELECT vid, pred_id, gt_id, match_class FROM sw WHERE rn > 0)"""
-
-
-def shot_inputs(spark, sf):
-    """Shot predictions inside threat windows, and covered ground-truth shots."""
-    seg = V.win(spark, sf)
-    p = seg.selectExpr("vid", "win_id as pred_id", "cast(least(start_s + win_id % 5, end_s) as double) as t")
-    g = V.gt(spark, sf).filter("action = 'Shots'").withColumnRenamed("idx", "gt_id")
-    return p, M.coverage(g, seg)
-
-
-def shot_matches(spark, sf):
-    p, g = shot_inputs(spark, sf)
-    return M.match_shots(p, g.filter("covered"), 3.0)
-
-
-query("jon8_match_shots", sql("win gt", SQL_SHOTS + " SELECT vid, pred_id, gt_id, match_class FROM sm"))(
-    lambda s, d: shot_matches(s, d).select("vid", "pred_id", "gt_id", "match_class")
-)
-SQL_SHOT_COUNTS = SQL_SHOTS + """,
-sc AS (SELECT vid, n_pred, n_gt, n_covered, tp_strict, tp_lenient, n_pred - tp_strict AS fp, n_covered - tp_lenient AS fn, n_gt - n_covered AS fn_uncovered
-  FROM (SELECT vid, count(*) AS n_pred, count(*) FILTER (match_class = 'inside') AS tp_strict, count(match_class) AS tp_lenient FROM sm GROUP BY vid)
-  JOIN (SELECT vid, count(*) AS n_gt, count(*) FILTER (covered) AS n_covered FROM gs GROUP BY vid) USING (vid))"""
-
-
-def shot_eval(spark, sf):
-    _, g = shot_inputs(spark, sf)
-    return M.shot_counts(shot_matches(spark, sf), g)
-
-
-query("jon8_shot_counts", sql("win gt", SQL_SHOT_COUNTS + " SELECT * FROM sc"))(shot_eval)
-query("jon9_coverage", sql("win gt", SQL_SHOTS.split("cd AS")[0].rstrip().rstrip(",") + " SELECT vid, gt_id, covered FROM gs"))(
-    lambda s, d: shot_inputs(s, d)[1].select("vid", "gt_id", "covered")
-)
 SQL_HITS = """
 hg AS (SELECT g.vid, count(*) AS gt_total, count(*) FILTER (EXISTS (SELECT 1 FROM pr p WHERE p.vid = g.vid AND 0.5::double * (g.start_s + g.end_s) BETWEEN p.start_s AND p.end_s)) AS gt_hits FROM {gt} g GROUP BY 1),
 hp AS (SELECT p.vid, count(*) AS pred_total, count(*) FILTER (EXISTS (SELECT 1 FROM {gt} g WHERE p.vid = g.vid AND 0.5::double * (p.start_s + p.end_s) BETWEEN g.start_s AND g.end_s)) AS pred_hits FROM pr p GROUP BY 1),
@@ -238,6 +187,74 @@ def sql_match(a, b):
     )
 
 
+SQL_SHOTS = SQL_MAP + f""",
+seg AS (SELECT * FROM win WHERE source <> 'faceoff'),
+fc AS (SELECT vid, arg_min(color, win_id) AS color FROM seg GROUP BY vid),
+ft AS (SELECT f.vid, CASE WHEN count(t.team) = 1 THEN min(t.team) END AS team FROM fc f
+  LEFT JOIN tm t ON t.vid = f.vid AND NOT t.collision AND len(list_intersect({sql_tok('t.threatened_color')}, {sql_tok('f.color')})) > 0 GROUP BY f.vid),
+ps AS (SELECT vid, win_id * 2 + pos AS pred_id, CAST(least(start_s + off, end_s) AS double) AS t
+  FROM (SELECT *, 0 AS pos, win_id % 5 AS off FROM seg UNION ALL SELECT *, 1, 7 FROM seg WHERE win_id % 3 = 0)),
+gs0 AS (SELECT gt.vid, idx AS gt_id, start_s, end_s, 0.5::double * (start_s + end_s) AS mid FROM gt LEFT JOIN ft ON ft.vid = gt.vid
+  WHERE action = 'Shots' AND (ft.team IS NULL OR {sql_match('gt.team', 'ft.team')})),
+gs AS (SELECT *, EXISTS (SELECT 1 FROM seg WHERE seg.vid = gs0.vid AND mid BETWEEN seg.start_s AND seg.end_s) AS covered FROM gs0),
+cd AS (SELECT p.vid, p.pred_id, p.t, list({{'gt_id': g.gt_id, 'cls': CASE WHEN p.t BETWEEN g.start_s AND g.end_s THEN 'inside' ELSE 'tolerance' END, 'd': abs(p.t - g.mid)}}
+          ORDER BY g.start_s, g.gt_id) FILTER (g.gt_id IS NOT NULL) AS c
+       FROM ps p LEFT JOIN gs g ON g.vid = p.vid AND g.covered AND p.t BETWEEN g.start_s - 3 AND g.end_s + 3 GROUP BY 1, 2, 3),
+po AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY t, pred_id) AS rn FROM cd),
+sw AS (
+  SELECT DISTINCT vid, CAST(0 AS bigint) AS rn, CAST([] AS bigint[]) AS used, CAST(NULL AS bigint) AS pred_id, CAST(NULL AS bigint) AS gt_id, CAST(NULL AS varchar) AS match_class FROM po
+  UNION ALL
+  SELECT vid, rn, CASE WHEN b.gt_id >= 0 THEN list_append(used, b.gt_id) ELSE used END, pred_id, nullif(b.gt_id, -1), nullif(b.cls, '')
+  FROM (SELECT w.vid, p.rn, w.used, p.pred_id, list_reduce(list_concat([{{'gt_id': CAST(-1 AS bigint), 'cls': '', 'd': CAST(1e9 AS double)}}],
+            list_filter(coalesce(p.c, []), lambda x: NOT list_contains(w.used, x.gt_id))),
+          lambda a, x: CASE WHEN x.d < a.d AND (x.cls = 'inside' OR a.cls <> 'inside') THEN x ELSE a END) AS b
+        FROM sw w JOIN po p ON p.vid = w.vid AND p.rn = w.rn + 1)),
+sm AS (SELECT vid, pred_id, gt_id, match_class FROM sw WHERE rn > 0)"""
+
+
+def shot_segments(spark, sf):
+    """Segments with lists of shot times, some malformed, some beyond the end."""
+    second = "case win_id % 3 when 0 then '0:7' when 1 then '00:75' else 'soon' end"
+    shot = "named_struct('timestamp', {}, 'location', 'slot', 'release', 'wrist', 'outcome', cast(null as string))"
+    return V.win(spark, sf).selectExpr(
+        "vid", "win_id as ord", "start_s", "end_s", "source <> 'faceoff' as threat", "color",
+        f"array({shot.format("concat('00:0', win_id % 5)")}, {shot.format(second)}) as shot_timestamps",
+    )
+
+
+def shot_inputs(spark, sf):
+    """Shot predictions out of the lists, and ground-truth shots of the threatening team."""
+    seg = shot_segments(spark, sf)
+    g = M.shots_against(V.gt(spark, sf), seg, tmap(spark, sf)).withColumnRenamed("idx", "gt_id")
+    return M.shot_list(seg), M.coverage(g, seg.filter("threat"))
+
+
+def shot_matches(p, g):
+    return M.match_shots(p, g.filter("covered"), 3.0)
+
+
+query("jon8_match_shots", sql("win gt games", SQL_SHOTS + " SELECT vid, pred_id // 2 AS win_id, CAST(pred_id % 2 AS int) AS pos, gt_id, match_class FROM sm"))(
+    lambda s, d: shot_matches(*shot_inputs(s, d)).select("vid", F.col("pred_id.ord").alias("win_id"), "pred_id.pos", "gt_id", "match_class")
+)
+SQL_SHOT_COUNTS = SQL_SHOTS + """,
+sc AS (SELECT vid, coalesce(n_pred, 0) AS n_pred, coalesce(n_gt, 0) AS n_gt, coalesce(n_covered, 0) AS n_covered, coalesce(tp_strict, 0) AS tp_strict, coalesce(tp_lenient, 0) AS tp_lenient,
+    coalesce(n_pred - tp_strict, 0) AS fp, coalesce(n_covered, 0) - coalesce(tp_lenient, 0) AS fn, coalesce(n_gt - n_covered, 0) AS fn_uncovered
+  FROM (SELECT vid, count(*) AS n_pred, count(*) FILTER (match_class = 'inside') AS tp_strict, count(match_class) AS tp_lenient FROM sm GROUP BY vid)
+  FULL JOIN (SELECT vid, count(*) AS n_gt, count(*) FILTER (covered) AS n_covered FROM gs GROUP BY vid) USING (vid))"""
+
+
+def shot_eval(spark, sf):
+    p, g = shot_inputs(spark, sf)
+    g = cut(g)
+    return M.shot_counts(shot_matches(p, g), g)
+
+
+query("jon8_shot_counts", sql("win gt games", SQL_SHOT_COUNTS + " SELECT * FROM sc"))(shot_eval)
+query("jon9_coverage", sql("win gt games", SQL_SHOTS.split("cd AS")[0].rstrip().rstrip(",") + " SELECT vid, gt_id, covered FROM gs"))(
+    lambda s, d: shot_inputs(s, d)[1].select("vid", "gt_id", "covered")
+)
+
+
 SQL_RG = f"""
 rg AS (SELECT g.* FROM gtm g LEFT JOIN games m ON m.vid = g.vid WHERE g.vid % 2 <> 0 OR m.vid IS NULL OR {sql_match('g.team', 'm.opponent_team')})"""
 

@@ -206,12 +206,12 @@ query("int14_refine_sources", sql("", SQL_REFINE + " SELECT vid, refinement_sour
 
 # -- logged goals ------------------------------------------------------------------------
 SQL_REC = """
-sg AS (SELECT vid, win_id AS seg_id, start_s, end_s, source <> 'faceoff' AS threat, CAST(CASE WHEN win_id % 11 = 0 THEN 1 ELSE 0 END AS int) AS goals FROM win),
-lg AS (SELECT vid, idx AS goal_no, CASE WHEN idx % 13 = 0 THEN NULL ELSE start_s - 0.5::double END AS st, end_s + 0.25::double AS et FROM gt WHERE action = 'Goals' AND vid % 4 <> 3),
+sg AS (SELECT vid, win_id AS seg_id, start_s, end_s, source <> 'faceoff' AS threat, win_id % 17 <> 5 AS has_metrics, CAST(CASE WHEN win_id % 11 = 0 THEN 1 ELSE 0 END AS int) AS goals FROM win),
+lg AS (SELECT vid, idx AS goal_no, CASE WHEN idx % 13 = 0 THEN NULL ELSE start_s - 0.5::double END AS st, end_s + 0.25::double AS et FROM gt WHERE action = 'Goals'),
 lt AS (SELECT * FROM lg WHERE st IS NOT NULL),
 lo AS (SELECT l.vid, l.goal_no, l.st, l.et, row_number() OVER (PARTITION BY l.vid ORDER BY l.goal_no) AS rn FROM lt l),
 lc AS (SELECT o.vid, o.rn, o.goal_no, list({'seg_id': s.seg_id, 'ov': least(o.et, s.end_s) - greatest(o.st, s.start_s)} ORDER BY s.seg_id) FILTER (s.seg_id IS NOT NULL) AS c
-       FROM lo o LEFT JOIN sg s ON s.vid = o.vid AND s.threat AND o.st <= s.end_s AND o.et >= s.start_s GROUP BY 1, 2, 3),
+       FROM lo o LEFT JOIN sg s ON s.vid = o.vid AND s.threat AND s.has_metrics AND o.st <= s.end_s AND o.et >= s.start_s GROUP BY 1, 2, 3),
 gw AS (SELECT DISTINCT vid, CAST(0 AS bigint) AS rn, CAST([] AS bigint[]) AS used, CAST(NULL AS bigint) AS goal_no, CAST(NULL AS bigint) AS seg_id FROM lc
   UNION ALL
   SELECT vid, rn, CASE WHEN b.seg_id >= 0 THEN list_append(used, b.seg_id) ELSE used END, goal_no, nullif(b.seg_id, -1) FROM (
@@ -221,19 +221,23 @@ cm AS (SELECT vid, goal_no, seg_id FROM gw WHERE rn > 0)"""
 
 
 def rec_inputs(spark, sf):
-    seg = V.win(spark, sf).selectExpr("vid", "win_id as seg_id", "start_s", "end_s", "source <> 'faceoff' as threat", "if(win_id % 11 = 0, 1, 0) as goals")
-    goals = V.gt(spark, sf).filter("action = 'Goals' and vid % 4 <> 3").selectExpr(
+    seg = V.win(spark, sf).selectExpr("vid", "win_id as seg_id", "start_s", "end_s", "source <> 'faceoff' as threat", "win_id % 17 <> 5 as has_metrics", "if(win_id % 11 = 0, 1, 0) as goals")
+    goals = V.gt(spark, sf).filter("action = 'Goals'").selectExpr(
         "vid", "idx as goal_no", "if(idx % 13 = 0, null, start_s - 0.5D) as start_time", "end_s + 0.25D as end_time"
     )
     return seg, goals
 
 
-query("jon13_reconcile_segments", sql("win gt", SQL_REC + """
+query("jon13_reconcile_segments", sql("win gt games", SQL_REC + """
 SELECT s.vid, s.seg_id, s.start_s, s.end_s, CASE WHEN c.seg_id IS NOT NULL THEN greatest(goals, 1) ELSE goals END AS goals, true AS was_ai_detected, c.seg_id IS NOT NULL AS manually_verified,
-  s.vid IN (SELECT vid FROM lg) AND threat AND goals > 0 AND c.seg_id IS NULL AS goal_unconfirmed
+  s.vid IN (SELECT vid FROM lg) AND threat AND has_metrics AND goals > 0 AND c.seg_id IS NULL AS goal_unconfirmed, NULL AS threat_goalie_side, NULL AS metrics
 FROM sg s LEFT JOIN cm c ON c.vid = s.vid AND c.seg_id = s.seg_id
-UNION ALL SELECT c.vid, NULL, CAST(floor(st) AS int), CAST(ceil(et) AS int), 1, false, true, false FROM cm c JOIN lt USING (vid, goal_no) WHERE c.seg_id IS NULL"""))(
-    lambda s, d: R.reconcile(*rec_inputs(s, d))[0].select("vid", "seg_id", "start_s", "end_s", "goals", "was_ai_detected", "manually_verified", "goal_unconfirmed")
+UNION ALL SELECT c.vid, NULL, CAST(floor(st) AS int), CAST(ceil(et) AS int), 1, false, true, false, coalesce(m.target_side, 'unknown'),
+  '{"shots":1,"shotsOnNet":1,"saves":0,"goals":1,"rebounds":0,"observed_goalie_side":"' || coalesce(m.target_side, 'unknown') || '","goal_criteria":{},"shot_timestamps":[]}'
+FROM cm c JOIN lt USING (vid, goal_no) LEFT JOIN games m ON m.vid = c.vid WHERE c.seg_id IS NULL"""))(
+    lambda s, d: R.reconcile(*rec_inputs(s, d), V.games(s, d).select("vid", F.col("target_side").alias("goalie_side")))[0].select(
+        "vid", "seg_id", "start_s", "end_s", "goals", "was_ai_detected", "manually_verified", "goal_unconfirmed", "threat_goalie_side", F.to_json("metrics").alias("metrics")
+    )
 )
 query("jon13_reconcile_goals", sql("win gt", SQL_REC + " SELECT l.vid, l.goal_no, c.seg_id IS NOT NULL AS was_ai_detected FROM lt l JOIN cm c USING (vid, goal_no) UNION ALL SELECT vid, goal_no, NULL FROM lg WHERE st IS NULL"))(
     lambda s, d: R.reconcile(*rec_inputs(s, d))[1].select("vid", "goal_no", "was_ai_detected")

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..blocks import BLOCK, carry, merge_spans, point_join, span_join
+from ..blocks import BLOCK, carry, cut, point_join, span_join
 from ..functions.spans import iou, midpoint
-from ..functions.timefmt import fmt_mmss
+from ..functions.text import teams_match
+from ..functions.timefmt import fmt_mmss, parse_mmss
 from .intervals import as_of
 
 KEYS = ["vid"]
+#: rounds of parallel choices before an ordered scan takes over
+ROUNDS = 12
 
 
 # -- nearest and covering ---------------------------------------------------
@@ -131,44 +136,60 @@ def trace_lookup(pred: DataFrame, trace: DataFrame, tol: float = 0.5, block: int
 # -- greedy one-to-one matching ----------------------------------------------
 
 
-def _greedy(pairs: DataFrame, order: Sequence[Column], lo: Column, hi: Column) -> DataFrame:
-    """Take pairs in ``order``, each side at most once.
+def _settle(pairs: DataFrame) -> DataFrame:
+    """Mark pairs that are the best of both their members (``__top``), and drop the others that share a member with one.
 
-    Pairs are folded inside chains whose hulls ``[lo, hi]`` overlap; pairs in
-    different chains share no member.  ``_mutual_best`` shortens chains first.
+    Windows run over the pairs of one member, whatever the recording's size.
     """
-    pairs = pairs.withColumn("__o", F.struct(*order)).withColumn("__lo", lo).withColumn("__hi", hi)
-    chains = merge_spans(
-        pairs, KEYS, "__lo", "__hi", 0,
-        aggs={"__pairs": ("list", F.struct("__o", "gt_id", "pred_id", "score"))},
-    )
-    item = "struct<gt_id:{g},pred_id:{p},score:double>".format(
-        g=dict(pairs.dtypes)["gt_id"], p=dict(pairs.dtypes)["pred_id"]
-    )
-    taken = F.aggregate(
-        F.array_sort("__pairs"),
-        F.expr(f"cast(array() as array<{item}>)"),
-        lambda acc, x: F.when(
-            F.exists(acc, lambda m: (m["gt_id"] == x["gt_id"]) | (m["pred_id"] == x["pred_id"])), acc
-        ).otherwise(F.array_append(acc, F.struct(x["gt_id"].alias("gt_id"), x["pred_id"].alias("pred_id"), x["score"].alias("score")))),
-    )
-    return chains.select("vid", F.explode(taken).alias("m")).select("vid", "m.gt_id", "m.pred_id", "m.score")
-
-
-def _mutual_best(pairs: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Drop pairs beaten by a pair that is the best of both its members.
-
-    Any greedy run takes such a pair, so what shares a member with it can go.
-    Runs on balanced keys (one member each), whatever the recording's size.
-    """
-    o = F.struct(*order)
     by_g, by_p = W.partitionBy("vid", "gt_id"), W.partitionBy("vid", "pred_id")
-    x = pairs.withColumn("__o", o)
-    x = x.withColumn("__bg", F.min("__o").over(by_g) == F.col("__o"))
+    x = pairs.withColumn("__bg", F.min("__o").over(by_g) == F.col("__o"))
     x = x.withColumn("__top", F.col("__bg") & (F.min("__o").over(by_p) == F.col("__o")))
     x = x.withColumn("__tp", F.max("__top").over(by_p))
     x = x.withColumn("__tg", F.max("__top").over(by_g))
-    return x.filter(F.col("__top") | ~(F.col("__tp") | F.col("__tg"))).drop("__o", "__bg", "__top", "__tp", "__tg")
+    return x.filter(F.col("__top") | ~(F.col("__tp") | F.col("__tg"))).drop("__bg", "__tp", "__tg")
+
+
+def ordered_scan(pairs: DataFrame, a: str, b: str, order: str = "__o") -> DataFrame:
+    """Take the pairs of each recording in order, each side at most once, in one pass.
+
+    Rows are dealt by recording, sorted and streamed; what is held are the ids taken so
+    far.  For what rounds leave over: chains in which each choice waits for the one before.
+    """
+    rows = pairs.repartition("vid").sortWithinPartitions("vid", order).select(*[c for c in pairs.columns if c != order])
+    at_v, at_a, at_b = (rows.columns.index(c) for c in ("vid", a, b))
+
+    def run(batches):
+        vid, used_a, used_b = None, set(), set()
+        for batch in batches:
+            keep = []
+            for k, (v, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in (at_v, at_a, at_b)), strict=True)):
+                if v != vid:
+                    vid, used_a, used_b = v, set(), set()
+                if x not in used_a and y not in used_b:
+                    used_a.add(x), used_b.add(y), keep.append(k)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _dominant(pairs: DataFrame, order: Sequence[Column], rounds: int = ROUNDS) -> DataFrame:
+    """Take pairs in ``order``, each side at most once: ``(vid, gt_id, pred_id, score)``.
+
+    A pair that is the best of both its members is taken by any greedy run, and what
+    shares a member with it is not.  Each round of that rule is written once.  A round
+    settles a fixed share of the open pairs on average; scores that improve steadily
+    along a chain settle one by one, so after ``rounds`` what is left is scanned in order.
+    """
+    rest, taken = pairs.select("vid", "gt_id", "pred_id", "score", F.struct(*order).alias("__o")), None
+    for _ in range(rounds):
+        x = cut(_settle(rest))
+        top = x.filter("__top").drop("__top", "__o")
+        taken = top if taken is None else taken.unionByName(top)
+        rest = x.filter("not __top").drop("__top")
+        if rest.isEmpty():
+            return taken
+    left = ordered_scan(rest, "gt_id", "pred_id")
+    return left if taken is None else taken.unionByName(left)
 
 
 def match_iou(gt: DataFrame, pred: DataFrame, thr: float = 0.30, block: int = BLOCK) -> DataFrame:
@@ -183,7 +204,7 @@ def match_iou(gt: DataFrame, pred: DataFrame, thr: float = 0.30, block: int = BL
     score = iou(F.col("g_s"), F.col("g_e"), F.col("p_s"), F.col("p_e"))
     pairs = span_join(g, p, KEYS, ("g_s", "g_e"), ("p_s", "p_e"), block).withColumn("score", score).filter(F.col("score") >= thr)
     order = [-F.col("score"), -F.col("gt_id"), -F.col("pred_id")]
-    return _greedy(_mutual_best(pairs, order), order, F.least("g_s", "p_s"), F.greatest("g_e", "p_e"))
+    return _dominant(pairs, order)
 
 
 def match_tolerance(gt: DataFrame, pred: DataFrame, tol: float = 5.0, block: int = BLOCK) -> DataFrame:
@@ -192,66 +213,116 @@ def match_tolerance(gt: DataFrame, pred: DataFrame, tol: float = 5.0, block: int
     p = pred.select("vid", "pred_id", F.col("t").alias("p_t"))
     pairs = point_join(g, p, KEYS, ("__lo", "__hi"), "p_t", block).withColumn("score", F.abs(F.col("g_t") - F.col("p_t")))
     order = [F.col("score"), F.col("gt_id"), F.col("pred_id")]
-    return _greedy(_mutual_best(pairs.drop("__lo", "__hi"), order), order, F.least("g_t", "p_t"), F.greatest("g_t", "p_t"))
+    return _dominant(pairs, order)
 
 
 def unmatched(side: DataFrame, matches: DataFrame, id_col: str) -> DataFrame:
     return side.join(matches.select("vid", id_col), ["vid", id_col], "left_anti")
 
 
+def shot_list(seg: DataFrame) -> DataFrame:
+    """Shot predictions ``(vid, pred_id, t, timestamp, location, release, outcome)`` of threat segments.
+
+    ``seg``: ``vid, ord`` (place in the list), ``start_s, end_s, threat, shot_timestamps``
+    (clip-relative ``MM:SS``).  Malformed times are left out, times beyond the segment
+    count as its end.  ``pred_id`` is (place of the segment, place in its list).
+    """
+    shots = seg.filter("threat").select("vid", "ord", "start_s", "end_s", F.posexplode("shot_timestamps").alias("pos", "x"))
+    start, end = (F.coalesce(F.col(c), F.lit(0)).cast("double") for c in ("start_s", "end_s"))
+    text = F.coalesce("x.timestamp", F.lit(""))
+    x = shots.withColumn("__at", parse_mmss(text)).filter("__at is not null")
+    words = [F.coalesce(f"x.{c}", F.lit("")).alias(c) for c in ("location", "release", "outcome")]
+    return x.select("vid", F.struct("ord", "pos").alias("pred_id"), F.least(start + F.col("__at"), end).alias("t"), text.alias("timestamp"), *words)
+
+
+def shots_against(gt: DataFrame, seg: DataFrame, tmap: DataFrame, color: str = "color") -> DataFrame:
+    """Ground-truth shots of the team that threatens a recording's goalie.
+
+    The goalie's colour is that of the first threat segment that names one (by ``ord``);
+    where it points to no single team, or the two teams share a colour, all shots count.
+    """
+    from .identity import target_team
+
+    named = seg.filter(F.col("threat") & (F.coalesce(F.col(color), F.lit("")) != ""))
+    first = named.groupBy("vid").agg(F.min_by(color, "ord").alias(color))
+    team = target_team(first, tmap.filter("not collision"), color).select("vid", F.col("target_team").alias("__team"))
+    x = gt.filter("action = 'Shots'").join(team, "vid", "left")
+    return x.filter(F.col("__team").isNull() | teams_match(F.col("team"), F.col("__team"))).drop("__team")
+
+
+def _zones(pred: DataFrame, shots: DataFrame) -> DataFrame:
+    """``(vid, __t, __side, zone)`` of each time of a prediction (1) and each opening of a shot (0).
+
+    Predictions next to each other share a zone if some shot is open at both; a shot
+    belongs to the zone of the first prediction in its reach, if there is one.
+    """
+    opened = shots.groupBy("vid", F.col("lo").alias("__t")).agg(F.max("hi").alias("__hi")).withColumn("__side", F.lit(0))
+    times = pred.select("vid", F.col("t").alias("__t")).distinct().withColumn("__side", F.lit(1))
+    x = opened.unionByName(times, allowMissingColumns=True)
+    order, is_pred = ["__t", "__side"], F.col("__side") == 1
+    x = carry(x, KEYS, "__t", {"__reach": ("max", F.col("__hi"))}, order)
+    x = carry(x, KEYS, "__t", {"__before": ("max", F.when(is_pred, F.col("__reach")))}, order)
+    x = x.withColumn("__head", F.when(is_pred & (F.col("__before").isNull() | (F.col("__before") < F.col("__t"))), F.col("__t")))
+    x = carry(x, KEYS, "__t", {"__zone": ("max", F.col("__head"))}, order)
+    x = x.withColumn("__zone", F.when(is_pred, F.coalesce("__head", "__zone")))
+    x = carry(x, KEYS, "__t", {"__next": ("last", F.when(is_pred, F.struct("__zone", "__t")))}, order, reverse=True)
+    zone = F.when(is_pred, F.col("__zone")).when(F.col("__next.__t") <= F.col("__hi"), F.col("__next.__zone"))
+    return x.select("vid", "__t", "__side", zone.alias("zone")).filter("zone is not null")
+
+
 def match_shots(pred: DataFrame, gt: DataFrame, tol: float = 3.0) -> DataFrame:
     """Sequential match of shot predictions to covered ground-truth shots.
 
     Predictions go in time order.  Each scans the free shots by start: a shot
     containing it replaces the current choice when its midpoint is nearer; one
-    within ``tol`` only while no containing shot has been chosen.  Independent
-    stretches (shots widened by ``tol`` that overlap) are folded separately.
+    within ``tol`` only while no containing shot has been chosen.
+
+    A zone (predictions bridged by open shots) is streamed in time order.  A shot is
+    held from ``tol`` before its start until it is taken or ``tol`` past its end, so the
+    state is what is open at one moment, whatever the length of the zone.
 
     ``pred``: ``(vid, pred_id, t)``; ``gt``: ``(vid, gt_id, start_s, end_s)``
     with ids in list order.  Returns every prediction with ``gt_id`` and
     ``match_class`` (``inside``, ``tolerance`` or null).
     """
-    g = gt.select(
-        "vid", (F.col("start_s") - tol).alias("__lo"), (F.col("end_s") + tol).alias("__hi"),
-        F.struct(F.col("start_s").cast("double").alias("s"), F.col("gt_id").alias("gt_id"), F.col("end_s").cast("double").alias("e")).alias("__g"),
-    )
-    zones = merge_spans(g, KEYS, "__lo", "__hi", 0, aggs={"__gts": ("list", F.col("__g"))})
-    zones = zones.select("vid", F.col("__lo").alias("z_lo"), F.col("__hi").alias("z_hi"), F.array_sort("__gts").alias("__gts"))
-    placed = as_of(pred, zones.select("vid", "z_lo", "z_hi"), "t", "z_lo", "__z")
-    inside_zone = F.col("__z").isNotNull() & (F.col("t") <= F.col("__z.z_hi"))
-    pid, gid = dict(pred.dtypes)["pred_id"], dict(gt.dtypes)["gt_id"]
-    groups = (
-        placed.filter(inside_zone)
-        .groupBy("vid", F.col("__z.z_lo").alias("z_lo"))
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("t").cast("double").alias("t"), "pred_id"))).alias("__ps"))
-        .join(zones, ["vid", "z_lo"])
-    )
-    none = F.expr(f"named_struct('gt_id', cast(null as {gid}), 'cls', cast(null as string), 'd', double('Infinity'))")
-
-    def choose(free, t):
-        def look(best, s):
-            d = F.abs(t - midpoint(s["s"], s["e"]))
-            within = (s["s"] <= t) & (t <= s["e"])
-            near = (s["s"] - tol <= t) & (t <= s["e"] + tol)
-            nearer = d < best["d"]
-            pick = lambda c: F.struct(s["gt_id"].alias("gt_id"), F.lit(c).alias("cls"), d.alias("d"))
-            return (
-                F.when(within & nearer, pick("inside"))
-                .when(~within & near & nearer & ~best["cls"].eqNullSafe(F.lit("inside")), pick("tolerance"))
-                .otherwise(best)
-            )
-
-        return F.aggregate(free, none, look)
-
-    def step(acc, p):
-        best = choose(F.filter("__gts", lambda s: ~F.exists(acc, lambda m: m["gt_id"].eqNullSafe(s["gt_id"]))), p["t"])
-        made = F.struct(p["pred_id"].alias("pred_id"), best["gt_id"].alias("gt_id"), best["cls"].alias("match_class"))
-        return F.array_append(acc, made)
-
-    # every prediction is appended, matched or not: gt_id null never equals a shot
-    init = F.expr(f"cast(array() as array<struct<pred_id:{pid},gt_id:{gid},match_class:string>>)")
-    folded = groups.select("vid", F.explode(F.aggregate("__ps", init, step)).alias("m")).select("vid", "m.*")
-    return pred.join(folded, ["vid", "pred_id"], "left")
+    p = pred.select("vid", "pred_id", F.col("t").cast("double").alias("t"))
+    start, end = F.col("start_s").cast("double"), F.col("end_s").cast("double")
+    g = gt.select("vid", "gt_id", start.alias("s"), end.alias("e"), (start - tol).alias("lo"), (end + tol).alias("hi")).filter("lo <= hi")
+    zones = _zones(p, g)
+    preds = p.withColumnRenamed("t", "__t").withColumn("__side", F.lit(1))
+    shots = g.select("vid", F.col("lo").alias("__t"), F.lit(0).alias("__side"), "gt_id", "s", "e", "hi")
+    rows = shots.unionByName(preds, allowMissingColumns=True).join(zones, ["vid", "__t", "__side"])
+    rows = rows.repartition("vid", "zone").sortWithinPartitions("vid", "zone", "__t", "__side", "gt_id", "pred_id").select("vid", "zone", "__t", "__side", "gt_id", "s", "e", "hi", "pred_id")
+    out = T.StructType([rows.schema["vid"], rows.schema["pred_id"], rows.schema["gt_id"], T.StructField("match_class", T.StringType())])
+    kinds = to_arrow_schema(out)
+
+    def choose(live, t):
+        best, cls, near = None, None, float("inf")
+        for shot in live:
+            d = abs(t - 0.5 * (shot[1] + shot[2]))
+            inside = shot[1] <= t <= shot[2]
+            if d < near and (inside or cls != "inside"):
+                best, cls, near = shot, "inside" if inside else "tolerance", d
+        return best, cls
+
+    def run(batches):
+        key, live = None, []
+        for batch in batches:
+            made = []
+            for vid, zone, t, side, gt_id, s, e, hi, pred_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (vid, zone) != key:
+                    key, live = (vid, zone), []
+                if side == 0:
+                    live.append((gt_id, s, e, hi))
+                    continue
+                live = [shot for shot in live if shot[3] >= t]
+                best, cls = choose(live, t)
+                if best:
+                    live.remove(best)
+                    made.append((vid, pred_id, best[0], cls))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*made, strict=True)) or [[]] * 4, kinds, strict=True)], schema=kinds)
+
+    return pred.join(rows.mapInArrow(run, out), ["vid", "pred_id"], "left")
 
 
 def shot_counts(matched: DataFrame, gt: DataFrame) -> DataFrame:
@@ -285,8 +356,6 @@ def window_counts(seg: DataFrame, ev: DataFrame, actions: Sequence[str] = ("Shot
     team's events; ``*_unfiltered`` counts keep all.  Events are reduced to
     distinct spans with a multiplicity before the range join.
     """
-    from ..functions.text import teams_match
-
     spans = ev.groupBy("vid", F.col("start_s").alias("e_s"), F.col("end_s").alias("e_e"), "team", "action").agg(F.count("*").alias("__n"))
     has_team = "target_team" in seg.columns
     keys = ["vid", "start_s", "end_s"] + (["target_team"] if has_team else [])

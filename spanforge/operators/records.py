@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..blocks import cut, merge_spans, once
+from ..blocks import BLOCK, cut, once, span_join
 from ..functions.labels import clean_enum, is_generic, normalize_conf, recover_json
 from ..functions.text import clip_id
 from ..functions.timefmt import parse_mmss
+from .matching import ROUNDS, ordered_scan
 
 
 # Fixed schema of a metrics reply.
@@ -307,62 +308,87 @@ def refine_sources(refined: DataFrame) -> DataFrame:
 # -- logged goals -------------------------------------------------------------
 
 
-def reconcile(seg: DataFrame, goals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Match logged goals to threat clips; returns ``(segments, goals)``.
+#: metrics block of a goal the detection missed
+MISSED_GOAL = (
+    "named_struct('shots', 1, 'shotsOnNet', 1, 'saves', 0, 'goals', 1, 'rebounds', 0, 'observed_goalie_side', threat_goalie_side, "
+    "'goal_criteria', cast(map() as map<string, boolean>), 'shot_timestamps', cast(array() as array<struct<timestamp: string>>))"
+)
 
-    In list order each goal claims the free clip it overlaps most (closed ends,
-    first on ties), which becomes a confirmed goal; otherwise a segment is
-    injected at the goal.  Other goal clips of a recording with logged goals
-    are flagged as unconfirmed.  ``seg``: ``vid, seg_id, start_s, end_s,
-    threat, goals``; ``goals``: ``vid, goal_no, start_time, end_time``.
-    """
-    gid, sid = dict(goals.dtypes)["goal_no"], dict(seg.dtypes)["seg_id"]
-    a, b = F.least("start_time", "end_time").cast("double"), F.greatest("start_time", "end_time").cast("double")
-    timed = goals.filter("start_time is not null and end_time is not null").select("vid", "goal_no", a.alias("a"), b.alias("b"))
-    clips = seg.filter("threat").select("vid", "seg_id", F.col("start_s").cast("double").alias("a"), F.col("end_s").cast("double").alias("b"))
-    item = F.struct(F.col("goal_no"), F.col("seg_id"), F.col("a"), F.col("b"))
-    both = timed.withColumn("seg_id", F.lit(None).cast(sid)).unionByName(clips.withColumn("goal_no", F.lit(None).cast(gid)))
-    zones = merge_spans(both.withColumn("__i", item), ["vid"], "a", "b", 0, aggs={"__items": ("list", F.col("__i"))})
-    zones = zones.filter(F.exists("__items", lambda i: i["goal_no"].isNotNull()))
-    logged = F.array_sort(F.filter("__items", lambda i: i["goal_no"].isNotNull()))
-    free = F.array_sort(
-        F.transform(
-            F.filter("__items", lambda i: i["goal_no"].isNull()), lambda i: F.struct(i["seg_id"].alias("seg_id"), i["a"].alias("a"), i["b"].alias("b"))
-        )
-    )
-    zones = zones.select("vid", logged.alias("__g"), free.alias("__c"))
-    none = F.expr(f"named_struct('seg_id', cast(null as {sid}), 'ov', cast(null as double))")
 
-    def step(acc, g):
-        def look(best, c):
-            ov = F.least(g["b"], c["b"]) - F.greatest(g["a"], c["a"])
-            open_ = (ov >= 0) & ~F.exists(acc, lambda m: m["seg_id"].eqNullSafe(c["seg_id"]))
-            return F.when(open_ & (best["seg_id"].isNull() | (ov > best["ov"])), F.struct(c["seg_id"].alias("seg_id"), ov.alias("ov"))).otherwise(best)
+def claims(goals: DataFrame, clips: DataFrame, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+    """The clip each goal claims: ``(vid, goal_no, seg_id)``, claimed goals only.
 
-        best = F.aggregate("__c", none, look)
-        return F.array_append(acc, F.struct(g["goal_no"].alias("goal_no"), best["seg_id"].alias("seg_id")))
+    Goals choose in the order of ``goal_no``, each the free clip it overlaps most (closed
+    ends, first on ties).  The serial order equals rounds of proposals: each goal proposes
+    to its best clip that has not refused it, each clip holds the earliest goal and
+    refuses later ones for good; when no clip has two proposals, all hold.  Cascades, in
+    which each refusal causes the next, are finished by an ordered scan.
 
-    init = F.expr(f"cast(array() as array<struct<goal_no:{gid},seg_id:{sid}>>)")
-    claims = cut(zones.select("vid", F.explode(F.aggregate("__g", init, step)).alias("m")).select("vid", "m.goal_no", "m.seg_id"))
+    ``goals``: ``vid, goal_no, a, b``; ``clips``: ``vid, seg_id, c, d``.
+    """
+    pairs = span_join(goals, clips, ["vid"], ("a", "b"), ("c", "d"), block)
+    overlap = F.least("b", "d") - F.greatest("a", "c")
+    rest = pairs.select("vid", "goal_no", "seg_id", F.struct((-overlap).alias("ov"), "seg_id").alias("__o"))
+    by_goal, by_clip = W.partitionBy("vid", "goal_no"), W.partitionBy("vid", "seg_id")
+    for _ in range(rounds):
+        x = rest.withColumn("__best", F.min("__o").over(by_goal) == F.col("__o"))
+        x = x.withColumn("__held", F.min(F.when(F.col("__best"), F.col("goal_no"))).over(by_clip))
+        x = x.withColumn("__many", F.count_if("__best").over(by_clip) > 1)
+        x = cut(x.filter(F.col("__held").isNull() | (F.col("goal_no") <= F.col("__held"))).drop("__held"))
+        if x.filter("__best and __many").isEmpty():
+            return x.filter("__best").select("vid", "goal_no", "seg_id")
+        rest = x.drop("__best", "__many")
+    return ordered_scan(rest.withColumn("__o", F.struct("goal_no", "__o")), "goal_no", "seg_id")
+
+
+def reconcile(seg: DataFrame, goals: DataFrame, sides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Match logged goals to threat clips; returns ``(segments, goals)``.
 
-    hit = claims.filter("seg_id is not null").select("vid", "seg_id", F.lit(True).alias("__hit"))
+    In list order each goal claims a free clip (``claims``), which becomes a confirmed
+    goal; otherwise a segment is injected at the goal, with the recording's goalie side
+    (``sides``: ``vid, goalie_side``; else ``unknown``) and a metrics block of one goal.
+    Other goal clips of a recording with logged goals are flagged as unconfirmed.  Only
+    threat clips with metrics (``has_metrics``, if the column is there) can be claimed or flagged.
+
+    ``seg``: ``vid, seg_id, start_s, end_s, threat, goals``; ``goals``: ``vid,
+    goal_no, start_time, end_time``; a goal without two finite times has no verdict.
+    """
+    sid = dict(seg.dtypes)["seg_id"]
+    times = [F.col(c).cast("double") for c in ("start_time", "end_time")]
+    finite = [t.isNotNull() & (F.abs(t) < float("inf")) for t in times]
+    timed = goals.filter(finite[0] & finite[1]).select("vid", "goal_no", F.least(*times).alias("a"), F.greatest(*times).alias("b"))
+    clip = F.col("threat") & F.col("has_metrics")
+    seg = seg if "has_metrics" in seg.columns else seg.withColumn("has_metrics", F.lit(True))
+    bounds = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("start_s", "end_s")]
+    clips = seg.filter(clip).select("vid", "seg_id", bounds[0].alias("c"), bounds[1].alias("d"))
+    won = cut(claims(timed, clips))
+
+    hit = won.select("vid", "seg_id", F.lit(True).alias("__hit"))
     any_goal = goals.select("vid").distinct().withColumn("__logged", F.lit(True))
     s = seg.join(hit, ["vid", "seg_id"], "left").join(any_goal, "vid", "left")
     claimed = F.coalesce("__hit", F.lit(False))
     kept = s.select(
         "vid", "seg_id", "start_s", "end_s", "threat", F.when(claimed, F.greatest("goals", F.lit(1))).otherwise(F.col("goals")).alias("goals"),
         F.lit(True).alias("was_ai_detected"), claimed.alias("manually_verified"),
-        (F.coalesce("__logged", F.lit(False)) & F.col("threat") & (F.col("goals") > 0) & ~claimed).alias("goal_unconfirmed"),
+        (F.coalesce("__logged", F.lit(False)) & clip & (F.col("goals") > 0) & ~claimed).alias("goal_unconfirmed"),
         F.expr("cast(array() as array<string>)").alias("source_signals"),
+        *[F.col(c) for c in ("threat_goalie_side",) if c in seg.columns],
     )
-    lost = claims.filter("seg_id is null").join(timed, ["vid", "goal_no"])
+    verdict = goals.select("vid", "goal_no").join(won.select("vid", "goal_no", F.lit(True).alias("__hit")), ["vid", "goal_no"], "left")
+    verdict = verdict.join(timed, ["vid", "goal_no"], "left").withColumn("was_ai_detected", F.when(F.col("a").isNotNull(), F.coalesce("__hit", F.lit(False))))
+    lost = verdict.filter("not was_ai_detected")
+    if sides is None:
+        lost = lost.withColumn("goalie_side", F.lit(None).cast("string"))
+    else:
+        lost = lost.join(sides.select("vid", "goalie_side"), "vid", "left")
     injected = lost.select(
         "vid", F.lit(None).cast(sid).alias("seg_id"), F.floor("a").cast("int").alias("start_s"), F.ceil("b").cast("int").alias("end_s"),
         F.lit(True).alias("threat"), F.lit(1).alias("goals"), F.lit(False).alias("was_ai_detected"), F.lit(True).alias("manually_verified"),
         F.lit(False).alias("goal_unconfirmed"), F.array(F.lit("manual_goal")).alias("source_signals"),
+        F.when(F.coalesce("goalie_side", F.lit("")) == "", "unknown").otherwise(F.col("goalie_side")).alias("threat_goalie_side"),
     )
-    verdict = claims.select("vid", "goal_no", F.col("seg_id").isNotNull().alias("was_ai_detected"))
-    return kept.unionByName(injected), goals.join(verdict, ["vid", "goal_no"], "left")
+    injected = injected.withColumn("metrics", F.expr(MISSED_GOAL))
+    return kept.unionByName(injected, allowMissingColumns=True), goals.join(verdict.select("vid", "goal_no", "was_ai_detected"), ["vid", "goal_no"], "left")
 
 
 # -- feedback replies ---------------------------------------------------------

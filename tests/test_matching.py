@@ -36,6 +36,43 @@ def test_match_iou_equals_greedy(spark):
         assert got[k] == want
 
 
+def greedy(cand):
+    """Pairs (order key, gt, pred) taken in order, each side once."""
+    ug, up, want = set(), set(), set()
+    for _, i, j in sorted(cand):
+        if i not in ug and j not in up:
+            ug.add(i), up.add(j), want.add((i, j))
+    return want
+
+
+def test_match_iou_in_a_dense_recording(spark):
+    """100,000 windows of one recording that overlap in one chain, without gathering it."""
+    rnd = random.Random(70)
+    a, b = ([(s, s + rnd.randint(4, 20)) for s in (2 * k + rnd.randint(0, 3) for k in range(50_000))] for _ in range(2))
+    g = spark.createDataFrame([(1, i, s, e) for i, (s, e) in enumerate(a)], "vid int, gt_id int, start_s int, end_s int")
+    p = spark.createDataFrame([(1, i, s, e) for i, (s, e) in enumerate(b)], "vid int, pred_id int, start_s int, end_s int")
+    cand = ((-iou(a[i], b[j]), -i, -j) for i in range(len(a)) for j in range(max(0, i - 14), min(len(b), i + 15)) if iou(a[i], b[j]) >= 0.3)
+    got = M.match_iou(g, p, 0.3)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert {(r.gt_id, r.pred_id) for r in got.collect()} == {(-i, -j) for i, j in greedy(cand)}
+
+
+def test_match_tolerance_in_a_dense_recording(spark):
+    rnd = random.Random(80)
+    a, b = (sorted(rnd.randint(0, 200_000) / 4 for _ in range(20_000)) for _ in range(2))
+    g = spark.createDataFrame([(1, i, t) for i, t in enumerate(a)], "vid int, gt_id int, t double")
+    p = spark.createDataFrame([(1, i, t) for i, t in enumerate(b)], "vid int, pred_id int, t double")
+    cand, lo = [], 0
+    for i, t in enumerate(a):
+        while lo < len(b) and b[lo] < t - 5:
+            lo += 1
+        j = lo
+        while j < len(b) and b[j] <= t + 5:
+            cand.append((abs(t - b[j]), i, j))
+            j += 1
+    assert {(r.gt_id, r.pred_id) for r in M.match_tolerance(g, p, 5.0).collect()} == greedy(cand)
+
+
 def test_match_tolerance_equals_greedy(spark):
     rnd = random.Random(8)
     data = {k: (sorted(rnd.randint(0, 80) / 2 for _ in range(rnd.randint(0, 15))), sorted(rnd.randint(0, 80) / 2 for _ in range(rnd.randint(0, 15)))) for k in range(60)}
