@@ -10,8 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..blocks import BLOCK, carry, merge_spans, point_join, span_join
-from .series import number_runs
+from ..blocks import BLOCK, carry, cut, merge_spans, point_join, span_join
+from ..machines import HOUR, Chain, run_blocks
 
 KEYS = ["vid"]
 SEG = "struct<start_s:int,end_s:int,threat:boolean,color:string>"
@@ -219,34 +219,31 @@ def cover(df: DataFrame, lengths: DataFrame, block: int | None = None) -> DataFr
     return body.unionByName(rest)
 
 
-def merge_adjacent(df: DataFrame, cap: int = 60) -> DataFrame:
+def merge_adjacent(df: DataFrame, cap: int = 60, block: int = HOUR) -> DataFrame:
     """Merge neighbours of one class; a threat may not grow beyond ``cap``.
 
-    The cap is compared with the span of the merged segment.
+    The cap is compared with the span of the merged segment.  Runs of one class are
+    found by a running aggregate per block; runs that stay within the cap are one
+    segment.  In the others each merged segment begins at the first one that would
+    have passed the cap of the one before: a chain of heads, run block by block.
     """
-    order = ["start_s", "end_s"]
+    order = ["start_s", "end_s", "threat", "color"]
     x = df.select("vid", "start_s", "end_s", "threat", "color")
-    cls = F.struct("threat", "color")
-    x = carry(x, KEYS, "start_s", {"__prev": ("last", cls), "__i": ("sum", F.lit(1))}, order)
-    opens = F.col("__prev").isNull() | ~(
-        (F.col("__prev.threat") == F.col("threat")) & F.col("__prev.color").eqNullSafe(F.col("color"))
-    )
-    x = number_runs(x, KEYS, "__i", opens)
-    runs = x.groupBy("vid", "run").agg(
-        F.array_sort(F.collect_list(F.struct("__i", "start_s", "end_s", "threat", "color"))).alias("__segs")
-    )
-
-    def step(acc, s):
-        cur, done = acc["cur"], acc["done"]
-        me = _seg(s["start_s"], s["end_s"], s["threat"], s["color"])
-        joined = _seg(cur["start_s"], F.greatest(cur["end_s"], s["end_s"]), cur["threat"], cur["color"])
-        return (
-            F.when(cur.isNull(), _state(done, me))
-            .when(s["threat"] & (s["end_s"] - cur["start_s"] > cap), _state(F.array_append(done, cur), me))
-            .otherwise(_state(done, joined))
-        )
-
-    return runs.select("vid", F.explode(_fold_segments(runs, step)).alias("s")).select("vid", "s.*")
+    x = carry(x, KEYS, "start_s", {"__prev": ("last", F.struct("threat", "color"))}, order, block)
+    opens = F.col("__prev").isNull() | ~((F.col("__prev.threat") == F.col("threat")) & F.col("__prev.color").eqNullSafe(F.col("color")))
+    me = F.struct(*order)
+    x = x.withColumn("__head", F.when(opens, me)).drop("__prev")
+    x = cut(carry(x, KEYS, "start_s", {"__run": ("last", F.col("__head"))}, order, block).select("vid", *order, F.coalesce("__head", "__run").alias("run")))
+    runs = x.groupBy("vid", "run").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
+    long = F.col("run.threat") & (F.col("end_s") - F.col("start_s") > cap)
+    whole = runs.filter(~long).select("vid", "start_s", "end_s", "run.threat", "run.color")
+    rest = x.join(runs.filter(long).select("vid", "run"), ["vid", "run"], "left_semi")
+    rest = rest.select("vid", F.to_json("run").alias("key"), F.col("start_s").alias("a"), F.col("end_s").alias("b"), F.col("start_s").alias("base"))
+    chain = Chain(cap, strict=True, out="a int, b int, base int, head_block bigint, head_no bigint, is_head boolean")
+    parts = run_blocks(rest, ["vid", "key"], "a", ["a", "b", "base"], chain, block)[0]
+    capped = parts.groupBy("vid", "key", "head_block", "head_no").agg(F.min("a").alias("start_s"), F.max("b").alias("end_s"))
+    kind = F.from_json("key", "threat boolean, color string")
+    return whole.unionByName(capped.select("vid", "start_s", "end_s", kind["threat"].alias("threat"), kind["color"].alias("color")))
 
 
 # -- splitting -------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..blocks import BLOCK, carry, islands, merge_spans, own_rows, with_halo
 from ..functions.timefmt import fmt_mmss
+from ..machines import HOUR, Chain, TwoThresholds, run_blocks
 
 KEYS = ("vid",)
 
@@ -273,24 +274,11 @@ def bursts(
     )
 
 
-def refractory(df: DataFrame, r: float, t: str = "mid") -> DataFrame:
-    """Accept an event iff it comes ``r`` or more after the last accepted one.
-
-    Chains break where two neighbours are ``r`` or more apart: whichever was
-    accepted before, the next event is far enough away.
-    """
-    pts = df.select("vid", F.col(t).cast("double").alias("t")).distinct().withColumn("__t2", F.col("t"))
-    chains = merge_spans(
-        pts, KEYS, "t", "__t2", r, inclusive=False, aggs={"__ts": ("list", F.col("t"))}, distinct=True
-    )
-    kept = F.aggregate(
-        F.array_sort("__ts"),
-        F.expr("cast(array() as array<double>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) == 0) | (x - F.element_at(acc, -1) >= r), F.array_append(acc, x)
-        ).otherwise(acc),
-    )
-    return chains.select("vid", F.explode(kept).alias("t"))
+def refractory(df: DataFrame, r: float, t: str = "mid", block: int = HOUR) -> DataFrame:
+    """Accept an event iff it comes ``r`` or more after the last accepted one."""
+    pts = df.select("vid", F.col(t).cast("double").alias("t")).distinct().withColumn("base", F.col("t"))
+    chain = Chain(r, strict=False, out="t double, base double, head_block bigint, head_no bigint, is_head boolean")
+    return run_blocks(pts, KEYS, "t", ["t", "base"], chain, block)[0].filter("is_head").select("vid", "t")
 
 
 def hysteresis(
@@ -300,57 +288,20 @@ def hysteresis(
     stop_at: float = 1.2,
     min_run: int = 8,
     max_open: int = 30,
+    block: int = HOUR,
 ) -> DataFrame:
     """Open/close windows with two thresholds.
 
     A window opens after ``min_run`` active seconds (from the run start), closes
     below ``stop_at``, is closed by force after ``max_open`` seconds (which also
-    resets the run) and at the end of the recording.
+    resets the run) and at the end of the recording.  Blocks of seconds are
+    worked on in parallel (``machines``), also within one active stretch.
     """
-    reset = min(stop_at, open_at)
     x = df.select("vid", F.col("t").cast("int").alias("t"), F.col(col).cast("double").alias("m"))
-    ends = x.groupBy("vid").agg((F.max("t") + 1).alias("__dur"))
-    # after a second below both thresholds the machine is back in its initial state
-    # (above open_at a run outlives a close), so the next one starts an independent stretch; quiet rows at the front
-    # of a stretch change nothing and only the closing one has to stay
-    x = carry(x, KEYS, "t", {"__quiet": ("last", F.col("m") < reset)})
-    x = x.filter(~((F.col("m") < reset) & F.coalesce("__quiet", F.lit(True))))
-    x = number_runs(x, KEYS, "t", F.coalesce("__quiet", F.lit(True)))
-    win = "struct<start_s:int,end_s:int,source:string>"
-    init = F.expr(
-        "named_struct('rs', cast(null as int), 'rl', 0, 'os', cast(null as int), "
-        f"'out', cast(array() as array<{win}>))"
-    )
-
-    def step(acc, s):
-        active = s["m"] >= open_at
-        rs = F.when(active, F.coalesce(acc["rs"], s["t"]))
-        rl = F.when(active, F.when(acc["rs"].isNull(), F.lit(1)).otherwise(acc["rl"] + 1)).otherwise(F.lit(0))
-        opened = F.when(acc["os"].isNull() & active & (rl >= min_run), rs).otherwise(acc["os"])
-        closed = opened.isNotNull() & (s["m"] < stop_at)
-        forced = opened.isNotNull() & ~(s["m"] < stop_at) & (s["t"] - opened >= max_open)
-        made = F.struct(
-            opened.alias("start_s"),
-            s["t"].alias("end_s"),
-            F.when(closed, F.lit("motion")).otherwise(F.lit("motion_auto_close")).alias("source"),
-        )
-        none = F.lit(None).cast("int")
-        return F.struct(
-            F.when(forced, none).otherwise(rs).alias("rs"),
-            F.when(forced, F.lit(0)).otherwise(rl).alias("rl"),
-            F.when(closed | forced, none).otherwise(opened).alias("os"),
-            F.when(closed | forced, F.array_append(acc["out"], made)).otherwise(acc["out"]).alias("out"),
-        )
-
-    folded = x.groupBy("vid", "run").agg(F.array_sort(F.collect_list(F.struct("t", "m"))).alias("__s"))
-    folded = folded.withColumn("__a", F.aggregate("__s", init, step))
-    eof = F.struct(F.col("__a.os").alias("start_s"), F.col("__dur").alias("end_s"), F.lit("motion_eof").alias("source"))
-    wins = F.when(F.col("__a.os").isNotNull(), F.array_append(F.col("__a.out"), eof)).otherwise(F.col("__a.out"))
-    return (
-        folded.join(ends, "vid")
-        .select("vid", F.explode(wins).alias("w"))
-        .select("vid", "w.start_s", "w.end_s", "w.source")
-    )
+    wins, last = run_blocks(x, KEYS, "t", ["t", "m"], TwoThresholds(open_at, stop_at, min_run, max_open, block), block)
+    ends = x.groupBy("vid").agg((F.max("t") + 1).alias("end_s"))
+    eof = last.filter(F.get("__exit", F.lit(0)) == 0).join(ends, "vid")
+    return wins.unionByName(eof.select("vid", F.get("__exit", F.lit(1)).cast("int").alias("start_s"), "end_s", F.lit("motion_eof").alias("source")))
 
 
 def side_runs(
