@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from .state import to_ms, use_store
 
 #: fixed value: a running job must report at least this often (minutes)
 STALE_MINUTES = 45
@@ -32,41 +34,61 @@ def progress_pct(stage: Column, current: Column, total: Column) -> Column:
 
 
 _OUT = "vid string, updated timestamp, status string, stalled boolean"
-_STATE = "updated_ms long, status string"
+_STATE = "updated_ms long, status string, due long"
+
+
+class Watch(StatefulProcessor):
+    """Last status of each recording and a timer on the wall clock."""
 
+    def __init__(self, limit_ms: int):
+        self.limit_ms = limit_ms
 
-def _watch(minutes: int):
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            ms, status = state.get
-            state.remove()
-            text = f"Failed: stalled (no update for {minutes} min)"
-            yield pd.DataFrame({"vid": [key[0]], "updated": [pd.Timestamp(ms, unit="ms")], "status": [text], "stalled": [True]})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("status", _STATE)
+
+    def _row(self, vid: str, ms: int, status: str, now: int | None = None) -> pd.DataFrame:
+        if now is not None:
+            status = f"Failed: stalled (no update for {(now - ms) // 60_000} min)"
+        return pd.DataFrame({"vid": [vid], "updated": [pd.Timestamp(ms, unit="ms")], "status": [status], "stalled": [now is not None]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else None
+        x = pd.concat([p for p in rows if len(p)] or [pd.DataFrame({"updated": [], "status": []})]).dropna(subset="updated")
+        if not len(x):
+            return
+        newest = x.sort_values("updated", kind="stable").iloc[-1]
+        ms, status = to_ms(newest["updated"]), newest["status"]
+        if held and ms < held[0]:
             return
-        best = state.get if state.exists else None
-        for pdf in batches:
-            if len(pdf):
-                row = pdf.loc[pdf["updated"].idxmax()]
-                ms = int(row["updated"].value // 1_000_000)
-                if best is None or ms >= best[0]:
-                    best = (ms, row["status"])
-        if best is None:
+        if held:
+            self.handle.deleteTimer(held[2])
+        now = timerValues.getCurrentProcessingTimeInMs()
+        yield self._row(key[0], ms, status)
+        # a finished run is remembered as long, so that older rows arriving late do not revive it
+        due = max(ms + self.limit_ms, now) + 1
+        self.handle.registerTimer(due)
+        self.state.update((ms, status, due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
             return
-        if str(best[1]).startswith("Processing"):
-            state.update(best)
-            due = best[0] + minutes * 60_000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"vid": [key[0]], "updated": [pd.Timestamp(best[0], unit="ms")], "status": [best[1]], "stalled": [False]})
+        ms, status, _ = self.state.get()
+        self.state.clear()
+        if str(status).startswith("Processing"):
+            yield self._row(key[0], ms, status, timerValues.getCurrentProcessingTimeInMs())
 
-    return step
+    def close(self) -> None:
+        pass
 
 
-def watch(updates: DataFrame, minutes: int = STALE_MINUTES, late: str = "5 minutes") -> DataFrame:
-    """Streaming watchdog: every change, and a stalled row once time has passed.
+def watch(updates: DataFrame, minutes: float = STALE_MINUTES) -> DataFrame:
+    """Streaming watchdog: every change, and a stalled row once ``minutes`` have passed on the clock.
 
-    State per recording is one timestamp and one status.
+    The timer runs on processing time, so a stream without any further row reports too
+    (with a trigger that keeps running).  State per recording is one timestamp, one
+    status and one timer, removed when the timer fires.
     """
-    x = updates.select(F.col("vid").cast("string").alias("vid"), "updated", "status").withWatermark("updated", late)
-    return x.groupBy("vid").applyInPandasWithState(_watch(minutes), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    use_store(updates.sparkSession)
+    x = updates.select(F.col("vid").cast("string").alias("vid"), "updated", "status")
+    return x.groupBy("vid").transformWithStateInPandas(Watch(int(minutes * 60_000)), _OUT, "append", "processingTime")
