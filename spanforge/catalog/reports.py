@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .. import views as V
@@ -104,14 +105,26 @@ def paired(spark, sf):
 query("agg16_compare_variants", sql("", SQL_VAR + " SELECT 'price' AS metric, count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(b - a), 6) AS mean_delta FROM bo"))(
     lambda s, d: r6(P.compare_variants(variants(s, d), "F", "O"), "mean_a", "mean_b", "mean_delta")
 )
+
+
+def mixed(x: str, p: str) -> str:
+    """SQL columns that scramble a 32-bit number like ``mix32``; the last one is ``<p>5``."""
+    return (
+        f"xor({x}, {x} >> 16) AS {p}1, ({p}1 * 2246822507) & 4294967295 AS {p}2, xor({p}2, {p}2 >> 13) AS {p}3, "
+        f"({p}3 * 3266489909) & 4294967295 AS {p}4, xor({p}4, {p}4 >> 16) AS {p}5"
+    )
+
+
 SQL_BOOT = SQL_VAR + """,
 ix AS (SELECT row_number() OVER (ORDER BY vid) - 1 AS i, a, b - a AS dl, count(*) OVER () AS n FROM bo),
-dr AS (SELECT rep, CAST(concat('0x', substr(md5('42:' || rep || ':' || i), 1, 8)) AS bigint) % n AS i FROM ix, (SELECT unnest(range(200)) AS rep)),
+rp AS (SELECT rep, CAST((""" + str(int(P.mix32(np.array([42], np.uint32))[0])) + """ + rep) & 4294967295 AS ubigint) AS x, """ + mixed("x", "a") + "," + mixed("a5", "b") + """ FROM (SELECT unnest(range(200)) AS rep)),
+dj AS (SELECT rep, n, CAST((b5 + j * 2654435769) & 4294967295 AS ubigint) AS y, """ + mixed("y", "c") + """ FROM rp, (SELECT i AS j, n FROM ix)),
+dr AS (SELECT rep, CAST((c5 * n) >> 32 AS bigint) AS i FROM dj),
 mn AS (SELECT rep, avg({c}) AS v FROM dr JOIN ix USING (i) GROUP BY rep), od AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM mn)"""
-query("agg17_bootstrap_ci", sql("", SQL_BOOT.format(c="a") + " SELECT round((SELECT avg(a) FROM bo), 6) AS mean, round((SELECT v FROM od WHERE r = 5), 6) AS ci_lo, round((SELECT v FROM od WHERE r = 194), 6) AS ci_hi"))(
+query("agg17_bootstrap_ci", sql("", SQL_BOOT.replace("{c}", "a") + " SELECT round((SELECT avg(a) FROM bo), 6) AS mean, round((SELECT v FROM od WHERE r = 5), 6) AS ci_lo, round((SELECT v FROM od WHERE r = 194), 6) AS ci_hi"))(
     lambda s, d: r6(P.bootstrap_ci(paired(s, d).select("vid", "a"), "a", 200), "mean", "ci_lo", "ci_hi")
 )
-query("agg18_paired_ci", sql("", SQL_BOOT.format(c="dl") + """, z AS (SELECT (SELECT avg(b - a) FROM bo) AS mean, (SELECT v FROM od WHERE r = 5) AS lo, (SELECT v FROM od WHERE r = 194) AS hi)
+query("agg18_paired_ci", sql("", SQL_BOOT.replace("{c}", "dl") + """, z AS (SELECT (SELECT avg(b - a) FROM bo) AS mean, (SELECT v FROM od WHERE r = 5) AS lo, (SELECT v FROM od WHERE r = 194) AS hi)
 SELECT round(mean, 6) AS mean, round(lo, 6) AS ci_lo, round(hi, 6) AS ci_hi, CASE WHEN lo > 0 THEN 'better' WHEN hi < 0 THEN 'worse' ELSE '~' END AS mark FROM z"""))(
     lambda s, d: r6(P.paired_ci(paired(s, d), "a", "b", 200), "mean", "ci_lo", "ci_hi")
 )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..blocks import BLOCK, cut, once, span_join
 from ..functions.labels import clean_enum, is_generic, normalize_conf, recover_json
+from ..functions.selection import medians
 from ..functions.text import clip_id
 from ..functions.timefmt import parse_mmss
 from .matching import ROUNDS, ordered_scan
@@ -290,15 +291,16 @@ def refine(df: DataFrame, pre: int = 8, post: int = 8, min_width: int = 15) -> D
 
 def refine_summary(refined: DataFrame) -> DataFrame:
     """Width changes and medians per recording, threats only."""
-    ow, rw = F.col("end_s") - F.col("start_s"), F.col("end_refined") - F.col("start_refined")
+    widths = [(F.col("end_s") - F.col("start_s")).alias("__ow"), (F.col("end_refined") - F.col("start_refined")).alias("__rw")]
+    x = cut(refined.filter("threat").select("vid", *widths, "refinement_source"))
     ok = F.col("refinement_source") == "shot_timestamps"
-    d = F.when(ok, rw - ow)
-    return refined.filter("threat").groupBy("vid").agg(
+    d = F.when(ok, F.col("__rw") - F.col("__ow"))
+    plain = x.groupBy("vid").agg(
         F.count("*").alias("n_threats"), F.count_if(ok).alias("n_refined"), F.avg(d).alias("avg_width_delta"),
         F.min(d).alias("min_width_delta"), F.max(d).alias("max_width_delta"),
-        F.median(ow).alias("orig_width_median"), F.median(rw).alias("refined_width_median"),
-        (F.median(ow) - F.median(rw)).alias("median_shrinkage"),
     )
+    both = plain.join(medians(x, "__ow", ["vid"], "orig_width_median"), "vid", "left").join(medians(x, "__rw", ["vid"], "refined_width_median"), "vid", "left")
+    return both.withColumn("median_shrinkage", F.col("orig_width_median") - F.col("refined_width_median"))
 
 
 def refine_sources(refined: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..blocks import BLOCK, cut, positions
+from ..blocks import BLOCK, cut
+from ..functions.selection import selected
 from ..functions.spans import iou, midpoint
 from ..functions.stats import f1, prf, ratio
 from ..functions.text import colors_match
@@ -198,26 +199,14 @@ def diagnose_summary(rows: DataFrame) -> DataFrame:
 
 
 def index_quantiles(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
-    """Order statistics by position ``n div 4, n div 2, 3n div 4``.
-
-    Equal values are counted first, so only distinct values are ordered: in ranges
-    over the whole table, or per group of ``by``.
-    """
+    """Order statistics by position ``n div 4, n div 2, 3n div 4``, of the whole table or per group of ``by``."""
     keys = [by] if by else []
-    distinct = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("__v")).agg(F.count("*").alias("__n"))
-    if by is None:
-        x = positions(distinct, ["__v"], F.col("__n")).withColumn("__hi", F.col("__i") + F.col("__n"))
-        x = x.crossJoin(distinct.agg(F.sum("__n").alias("__all")))  # one row
-    else:
-        run = W.partitionBy(by).orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
-        x = distinct.withColumn("__hi", F.sum("__n").over(run)).withColumn("__all", F.sum("__n").over(W.partitionBy(by)))
-    at = lambda pos: F.min(F.when(F.col("__hi") > pos, F.col("__v")))
-    n = F.col("__all")
-    out = [
-        F.max(n).alias("n"), F.min("__v").alias("min"), at(F.floor(n / 4)).alias("p25"), at(F.floor(n / 2)).alias("median"),
-        at(F.floor(n * 3 / 4)).alias("p75"), F.max("__v").alias("max"), (F.sum(F.col("__v") * F.col("__n")) / F.max(n)).alias("mean"),
-    ]
-    return x.groupBy(*keys).agg(*out)
+    x = cut(df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).alias("__v")))
+    n = F.count("*")
+    plain = x.groupBy(*keys).agg(n.alias("n"), F.min("__v").alias("min"), F.max("__v").alias("max"), F.avg("__v").alias("mean"))
+    at = selected(x, "__v", keys, {"p25": F.floor(n / 4), "median": F.floor(n / 2), "p75": F.floor(n * 3 / 4)})
+    both = plain.join(at, keys) if keys else plain.crossJoin(F.broadcast(at))  # one row each
+    return both.select(*keys, "n", "min", "p25", "median", "p75", "max", "mean")
 
 
 def fp_trace(rows: DataFrame, trace: DataFrame, block: int = BLOCK) -> DataFrame:

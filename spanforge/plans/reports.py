@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..blocks import cut, positions
+from ..blocks import carry, cut, positions
 from ..functions.stats import f1, ratio
 
+#: rows of a part when resampling
+PART = 16_384
+
 
 def _errors(d: Column, suffix: str) -> list[Column]:
     return [
@@ -73,14 +78,15 @@ def tick_prf(df: DataFrame, thr: float = 0.5, by: Sequence[str] = ("vid",)) -> D
     return x.select("*", p.alias("p"), r.alias("r"), f1(p, r).alias("f1"))
 
 
-def auc(df: DataFrame, by: str = "vid") -> DataFrame:
+def auc(df: DataFrame, by: str = "vid", step: float = 1 / 1024) -> DataFrame:
     """Rank-sum AUC per game; equal scores share their average rank.
 
-    Equal scores are counted first, so only distinct scores are ordered.
+    Equal scores are counted first.  The running count of negatives is taken in
+    score steps of ``step`` and over one sum per step, so no game is ordered as a whole.
     """
     g = df.groupBy(by, "p").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.partitionBy(by).orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    wins = F.col("pos") * (below + F.col("neg") / 2)
+    g = carry(g, [by], "p", {"__below": ("sum", F.col("neg"))}, block=step)
+    wins = F.col("pos") * (F.col("__below") + F.col("neg") / 2)
     x = g.withColumn("__w", wins).groupBy(by).agg(F.sum("__w").alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return x.select(by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("w") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
@@ -103,17 +109,55 @@ def compare_variants(long: DataFrame, a: str, b: str) -> DataFrame:
     return both.groupBy("metric").agg(F.count("*").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(F.col("b") - F.col("a")).alias("mean_delta"))
 
 
-def _draws(df: DataFrame, values: Sequence[str], reps: int, seed: int, order: str) -> DataFrame:
+def mix32(x: np.ndarray) -> np.ndarray:
+    """Scrambled 32-bit numbers."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+def drawn(part: int, parts: int, n: int, reps: int, seed: int, size: int) -> np.ndarray:
+    """Draws that fall on a part of ``size`` rows, per replicate: n rows are split in halves, and the draws with them.
+
+    A half gets a binomial share, from a generator keyed by seed and half, so each
+    part finds its own numbers alone, and those of all parts add up to n.
+    """
+    lo, hi, draws = 0, parts, np.full(reps, n, np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = (mid - lo) * size / (min(hi * size, n) - lo * size)
+        key = np.array([seed & (2**64 - 1), lo << 32 | hi], np.uint64)
+        share = np.random.Generator(np.random.Philox(key=key)).binomial(draws, left)
+        lo, hi, draws = (lo, mid, share) if part < mid else (mid, hi, draws - share)
+    return draws
+
+
+def _draws(df: DataFrame, value: str, reps: int, seed: int, order: str, size: int) -> DataFrame:
     """Means of resamples with replacement, one row per replicate.
 
-    Draw ``(rep, k)`` picks a position from a hash, so a run is repeatable and
-    every executor computes its own draws.  Samples are one per recording.
+    Rows lie in parts of ``size`` in the given order.  A part derives how many draws of
+    each replicate fall on it (``drawn``), deals them to its rows by hash and yields one
+    sum per replicate; sums combine before the shuffle.  Draws are never rows and nothing is joined.
     """
-    ids = cut(positions(df, [order]).crossJoin(df.agg(F.count("*").alias("__n"))))  # one row
-    draw = ids.select("__n", F.col("__i").alias("__k")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "rep", "__k")), 1, 8), 16, 10).cast("long")
-    picked = draw.select("rep", F.pmod(h, F.col("__n")).alias("__i"))
-    return picked.join(ids.drop("__n"), "__i").groupBy("rep").agg(*[F.avg(v).alias(v) for v in values])
+    rows = cut(positions(df.select(order, F.col(value).cast("double").alias("v")), [order]).select("__i", "v"))
+    n = rows.count()
+    parts = -(-n // size)
+
+    def part(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__i")
+        k, values = table["__part"][0].as_py(), table["v"].to_numpy()
+        there = ~np.isnan(values)
+        values, rep = np.where(there, values, 0.0), np.arange(reps, dtype=np.uint32)
+        start = mix32(mix32(mix32(np.array([seed], np.uint64).astype(np.uint32)) + rep) + np.uint32(k))
+        sums, counts = np.zeros(reps), np.zeros(reps, np.int64)
+        for r, times in enumerate(drawn(k, parts, n, reps, seed, size).tolist()):
+            hashes = mix32(start[r] + np.arange(times, dtype=np.uint32) * np.uint32(0x9E3779B9))
+            at = (hashes.astype(np.uint64) * np.uint64(len(values)) >> np.uint64(32)).astype(np.int64)
+            sums[r], counts[r] = values[at].sum(), there[at].sum()
+        return pa.table({"rep": pa.array(rep, pa.int32()), "s": sums, "n": counts})
+
+    each = rows.withColumn("__part", F.floor(F.col("__i") / size)).groupBy("__part").applyInArrow(part, "rep int, s double, n long")
+    return each.groupBy("rep").agg((F.sum("s") / F.sum("n")).alias(value))
 
 
 def _bounds(means: DataFrame, v: str, reps: int, alpha: float) -> DataFrame:
@@ -122,14 +166,14 @@ def _bounds(means: DataFrame, v: str, reps: int, alpha: float) -> DataFrame:
     return r.agg(F.max(F.when(F.col("__r") == lo, F.col(v))).alias("ci_lo"), F.max(F.when(F.col("__r") == hi, F.col(v))).alias("ci_hi"))
 
 
-def bootstrap_ci(df: DataFrame, value: str, reps: int = 2000, alpha: float = 0.05, seed: int = 42, order: str = "vid") -> DataFrame:
-    """Percentile interval of the mean; only the ``reps`` means are ordered."""
-    return df.agg(F.avg(value).alias("mean")).crossJoin(_bounds(_draws(df, [value], reps, seed, order), value, reps, alpha))  # one row each
+def bootstrap_ci(df: DataFrame, value: str, reps: int = 2000, alpha: float = 0.05, seed: int = 42, order: str = "vid", size: int = PART) -> DataFrame:
+    """Percentile interval of the mean; only the ``reps`` means are ordered.  Ids (``order``) may have any type."""
+    return df.agg(F.avg(value).alias("mean")).crossJoin(_bounds(_draws(df, value, reps, seed, order, size), value, reps, alpha))  # one row each
 
 
-def paired_ci(df: DataFrame, a: str, b: str, reps: int = 2000, alpha: float = 0.05, seed: int = 42, order: str = "vid", higher_better: bool = True) -> DataFrame:
+def paired_ci(df: DataFrame, a: str, b: str, reps: int = 2000, alpha: float = 0.05, seed: int = 42, order: str = "vid", higher_better: bool = True, size: int = PART) -> DataFrame:
     """Interval of the mean paired difference, with a mark when it excludes zero."""
-    x = bootstrap_ci(df.withColumn("__d", F.col(b) - F.col(a)).select(order, "__d"), "__d", reps, alpha, seed, order)
+    x = bootstrap_ci(df.withColumn("__d", F.col(b) - F.col(a)).select(order, "__d"), "__d", reps, alpha, seed, order, size)
     up, down = F.col("ci_lo") > 0, F.col("ci_hi") < 0
     good, bad = (up, down) if higher_better else (down, up)
     return x.withColumn("mark", F.when(good, "better").when(bad, "worse").otherwise("~"))
