@@ -6,34 +6,53 @@
 
 from __future__ import annotations
 
+import csv
+import functools
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 
 def _stem(path: Column, pattern: str = r"([^/]+?)(\.[A-Za-z0-9]+)+$") -> Column:
     """Recording id: from a folder ``vid=<id>``, as the writers make them, else from the file name."""
+    path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))  # Spark names files by encoded addresses
     folder = F.regexp_extract(path, r"/vid=([^/]+)/[^/]*$", 1)
     return F.when(folder != "", folder).otherwise(F.regexp_extract(path, pattern, 1))
 
 
+def _file(uri: str) -> str:
+    """A file's address as a path to read: decoded, and with the signs of patterns taken literally."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(uri))
+
+
 def _by_header(spark: SparkSession, path: str, sep: str, mark: str, cols: list[str], strict: bool = False) -> DataFrame:
     """Named text columns of delimited files, each read by its own header line.
 
-    A header line has a field ``mark``, which no data line has.  Lines are split once
-    and joined to the header of their file, so files may order columns differently.
-    Columns a file lacks are null; ``strict`` drops lines of another width.
+    A header line has a field ``mark``, which no data line has.  Files are grouped by
+    their header text, of which there are few; each group is one scan with that header's
+    columns, and the scans are unioned.  So files may order columns differently and have
+    any number of them, and no line is ever shuffled.  Columns a file lacks are null;
+    ``strict`` drops lines of another width; files without a header line have no rows.
     """
-    wide = ", ".join(f"c{k} string" for k in range(64))
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").filter("trim(value) <> ''")
-    x = lines.select("path", F.size(F.split("value", sep)).alias("__w"), F.from_csv("value", wide, {"sep": sep}).alias("__r"))
-    x = x.select("path", "__w", F.transform(F.array("__r.*"), lambda c: F.trim(c)).alias("__f"))
-    is_head = F.coalesce(F.array_contains("__f", mark), F.lit(False))
-    heads = x.filter(is_head).groupBy("path").agg(F.first("__f").alias("__h"), F.first("__w").alias("__hw"))
-    rows = x.filter(~is_head).join(heads, "path")
-    if strict:
-        rows = rows.filter("__w = __hw")
-    at = lambda c: F.array_position("__h", c)
-    return rows.select("path", *[F.when(at(c) > 0, F.get("__f", (at(c) - 1).cast("int"))).alias(c) for c in cols])
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").filter(F.contains("value", F.lit(mark)))
+    fields = F.transform(F.split("value", re.escape(sep)), lambda c: F.trim(F.replace(F.trim(c), F.lit('"'))))
+    first = lines.filter(F.array_contains(fields, mark)).groupBy("path").agg(F.first("value").alias("head"))
+    heads = first.groupBy("head").agg(F.collect_list("path").alias("files")).collect()  # one row a header; the driver lists the files anyway
+    scans = []
+    for head, files in heads:
+        names = [c.strip() for c in next(csv.reader([head], delimiter=sep))]
+        schema = ", ".join([*(f"c{k} string" for k in range(len(names))), "__bad string"])
+        x = spark.read.schema(schema).options(
+            sep=sep, header=True, enforceSchema=True, columnNameOfCorruptRecord="__bad", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True
+        ).csv([_file(f) for f in files])
+        x = x.filter(F.coalesce(F.col(f"c{names.index(mark)}"), F.lit("")) != mark)  # a header line again
+        x = x.filter("__bad is null") if strict else x
+        scans.append(x.select(F.col("_metadata.file_path").alias("path"), *[(F.col(f"c{names.index(c)}") if c in names else F.lit(None).cast("string")).alias(c) for c in cols]))
+    if not scans:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in ["path", *cols]))
+    return functools.reduce(DataFrame.unionByName, scans)
 
 
 def _seconds(c: Column) -> Column:
@@ -133,7 +152,7 @@ def parse_segments(docs: DataFrame) -> DataFrame:
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """One document per file ``gt_seg_<vid>.json``, or the folders ``vid=<vid>`` of ``write_segments``."""
+    """One document per file ``gt_seg_<vid>.json``; sidecars beside them are not read."""
     raw = spark.read.text(path, wholetext=True).select(_stem(F.col("_metadata.file_path"), r"gt_seg_([^/]+?)\.json$").alias("vid"), F.col("value").alias("doc"))
     return parse_segments(raw)
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import clip_id
+from .files import write_documents
 
 
-def _by_recording(df: DataFrame, parts: int = 8) -> DataFrame:
-    """Few files per recording: its rows meet in at most ``parts`` tasks, so a large one is not one task."""
-    return df.repartition("vid", F.spark_partition_id() % parts)
+def _line(sep: str, *columns: Column) -> Column:
+    """A delimited line; values with the separator, quotes or line ends are quoted."""
+    return F.concat(F.to_csv(F.struct(*columns), {"sep": sep, "escapeQuotes": "true", "nullValue": "", "emptyValue": ""}), F.lit("\n"))
 
 
-def write_candidates(df: DataFrame, path: str) -> None:
-    """Ranked candidates as CSV with a header, one folder per recording."""
-    _by_recording(df.select("vid", "rank", "t_seconds", "t_mmss", "confidence")).write.mode("overwrite").partitionBy("vid").option("header", True).csv(path)
+def write_candidates(df: DataFrame, path: str, vids: DataFrame | None = None) -> None:
+    """Ranked candidates as ``<vid>.csv`` with a header, also for a recording of ``vids`` without any."""
+    columns = ["rank", "t_seconds", "t_mmss", "confidence"]
+    write_documents(df, ["rank"], _line(",", *map(F.col, columns)), path, "{vid}.csv", ",".join(columns) + "\n", vids=vids)
 
 
 def segment_meta(df: DataFrame, method: str) -> DataFrame:
@@ -29,28 +31,36 @@ SEGMENT_FIELDS = {
 }
 
 
-def segment_rows(df: DataFrame) -> DataFrame:
-    """One JSON text per segment, in the fields ``read_segments`` reads."""
+def segment_rows(df: DataFrame, *keep: str) -> DataFrame:
+    """One JSON text per segment, in the fields ``read_segments`` reads, next to the columns to keep."""
     fields = [F.col(c).alias(k) for k, c in SEGMENT_FIELDS.items() if c in df.columns]
-    return df.select("vid", F.to_json(F.struct(*fields)).alias("value"))
+    return df.select("vid", *keep, F.to_json(F.struct(*fields)).alias("value"))
 
 
-def write_segments(df: DataFrame, path: str, method: str = "fusion") -> None:
-    """Segments as JSON lines per recording under ``segments``, sidecars under ``meta``."""
-    _by_recording(segment_rows(df)).write.mode("overwrite").partitionBy("vid").text(f"{path}/segments")
-    segment_meta(df, method).write.mode("overwrite").partitionBy("vid").json(f"{path}/meta")
+def write_segments(df: DataFrame, path: str, method: str = "fusion", vids: DataFrame | None = None) -> None:
+    """Segments as one JSON list per recording, ``gt_seg_<vid>.json``, with a sidecar ``gt_seg_<vid>_meta.json``.
+
+    A recording of ``vids`` without segments gets an empty list and a sidecar that counts none.
+    """
+    rows = segment_rows(df.withColumn("__s", F.col("start_s")).withColumn("__e", F.col("end_s")), "__s", "__e")
+    write_documents(rows, ["__s", "__e", "value"], F.concat(F.lit("\n  "), "value"), path, "gt_seg_{vid}.json", "[", ",", "\n]\n", vids)
+    meta = segment_meta(df, method)
+    if vids is not None:
+        none = F.lit(0).cast("long").alias("n_segments"), F.lit(method).alias("method"), F.current_timestamp().alias("processed_at")
+        meta = meta.unionByName(vids.select("vid").distinct().join(meta.select("vid"), "vid", "left_anti").select("vid", *none))
+    write_documents(meta, [], F.to_json(F.struct("vid", "n_segments", "method", "processed_at")), path, "gt_seg_{vid}_meta.json", tail="\n")
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
-    """Prediction CSV ``vID,start_s,end_s,confidence[,team]`` with four decimals.
+    """Prediction CSV ``vID,start_s,end_s,confidence[,team]`` with four decimals, one ``<vid>.csv`` a recording.
 
     Points ``(vid, t, confidence)`` become windows of no length.
     """
     if "t" in df.columns and "start_s" not in df.columns:
         df = df.withColumn("start_s", F.col("t")).withColumn("end_s", F.col("t"))
     team = ["team"] if "team" in df.columns else []
-    out = df.select(F.col("vid").alias("vID"), "start_s", "end_s", F.format_string("%.4f", "confidence").alias("confidence"), *team)
-    out.write.mode("overwrite").option("header", True).csv(path)
+    columns = [F.col("vid").alias("vID"), F.col("start_s"), F.col("end_s"), F.format_string("%.4f", "confidence"), *map(F.col, team)]
+    write_documents(df, ["start_s", "end_s"], _line(",", *columns), path, "{vid}.csv", ",".join(["vID", "start_s", "end_s", "confidence", *team]) + "\n")
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -64,8 +74,10 @@ def prob_rows(df: DataFrame) -> DataFrame:
     return df.select("vid", "t", F.format_string("%.4f", "p").alias("shot_max_conf"), (F.col("p") > 0.5).cast("int").alias("shot_n"), F.lit("0.0").alias("goal_max_conf"))
 
 
-def write_probs(df: DataFrame, path: str) -> None:
-    _by_recording(prob_rows(df)).write.mode("overwrite").partitionBy("vid").option("header", True).option("sep", "\t").csv(path)
+def write_probs(df: DataFrame, path: str, vids: DataFrame | None = None) -> None:
+    """One ``<vid>.tsv`` a recording, in time order."""
+    columns = ["t", "shot_max_conf", "shot_n", "goal_max_conf"]
+    write_documents(prob_rows(df), ["t"], _line("\t", *map(F.col, columns)), path, "{vid}.tsv", "\t".join(columns) + "\n", vids=vids)
 
 
 def run_log_rows(pred: DataFrame, truth: DataFrame) -> DataFrame:

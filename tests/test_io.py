@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanforge.sources import readers as RD, sinks as K
@@ -60,21 +61,40 @@ def test_features_and_reports(spark, tmp_path):
 
 
 def test_writers(spark, tmp_path):
-    d = str(tmp_path)
-    cand = spark.createDataFrame([("v", 1, 5.0, "00:05", 0.5), ("v", 2, 9.0, "00:09", 0.25)], "vid string, rank int, t_seconds double, t_mmss string, confidence double")
-    K.write_candidates(cand, d + "/cand")
-    assert spark.read.option("header", True).csv(d + "/cand").count() == 2
-    seg = spark.createDataFrame([("v", 0, 9, True, ["a", "b"], None)], "vid string, start_s int, end_s int, threat boolean, src array<string>, color string")
-    K.write_segments(seg, d + "/seg")
-    assert spark.read.json(d + "/seg/meta").first().n_segments == 1
-    K.write_tsv(seg, d + "/tsv")
-    assert spark.read.option("sep", "\t").option("header", True).csv(d + "/tsv").first().src == "a+b"
-    K.write_predictions(seg.withColumn("confidence", F.lit(0.5)), d + "/pred")
-    assert RD.read_predictions(spark, d + "/pred").first().confidence == 0.5
-    probs = spark.createDataFrame([("v", 0, 0.51239), ("v", 1, 0.2)], "vid string, t int, p double")
-    K.write_probs(probs, d + "/probs")
-    raw = spark.read.option("sep", "\t").option("header", True).csv(d + "/probs").orderBy("t").collect()
-    assert [(r.shot_max_conf, r.shot_n) for r in raw] == [("0.5124", "1"), ("0.2000", "0")]
+    cand = spark.createDataFrame([("v", 2, 9.0, "00:09", 0.25), ("v", 1, 5.0, "00:05", 0.5)], "vid string, rank int, t_seconds double, t_mmss string, confidence double")
+    vids = spark.createDataFrame([("v",), ("none",)], "vid string")
+    K.write_candidates(cand, str(tmp_path / "cand"), vids)
+    head = "rank,t_seconds,t_mmss,confidence\n"
+    assert (tmp_path / "cand/v.csv").read_text() == head + "1,5.0,00:05,0.5\n2,9.0,00:09,0.25\n"
+    assert (tmp_path / "cand/none.csv").read_text() == head
+    assert sorted(p.name for p in (tmp_path / "cand").iterdir()) == ["none.csv", "v.csv"]
+    seg = spark.createDataFrame([("v", 0, 9, True, ["a", "b"], None), ("w", 3, 4, False, ["a"], 'Red "x"')], "vid string, start_s int, end_s int, threat boolean, src array<string>, color string")
+    K.write_segments(seg, str(tmp_path / "seg"), vids=vids)
+    assert json.loads((tmp_path / "seg/gt_seg_v.json").read_text()) == [{"segmentHasThreat": True, "segment_start": 0, "segment_end": 9}]
+    assert json.loads((tmp_path / "seg/gt_seg_w.json").read_text())[0]["threat_goalie_color"] == 'Red "x"'
+    assert json.loads((tmp_path / "seg/gt_seg_none.json").read_text()) == []
+    assert [json.loads((tmp_path / f"seg/gt_seg_{v}_meta.json").read_text())["n_segments"] for v in ("v", "w", "none")] == [1, 1, 0]
+    K.write_tsv(seg, str(tmp_path / "tsv"))
+    assert sorted(r.src for r in spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "tsv")).collect()) == ["a", "a+b"]
+    K.write_predictions(seg.withColumn("confidence", F.lit(0.5)).withColumn("team", F.lit("A, B")), str(tmp_path / "pred"))
+    assert (tmp_path / "pred/v.csv").read_text() == 'vID,start_s,end_s,confidence,team\nv,0,9,0.5000,"A, B"\n'
+    probs = spark.createDataFrame([("v", 1, 0.2), ("v", 0, 0.51239)], "vid string, t int, p double")
+    K.write_probs(probs, str(tmp_path / "probs"))
+    assert (tmp_path / "probs/v.tsv").read_text() == "t\tshot_max_conf\tshot_n\tgoal_max_conf\n0\t0.5124\t1\t0.0\n1\t0.2000\t0\t0.0\n"
+    # a second write replaces documents as a whole, and no other files
+    (tmp_path / "probs/notes.txt").write_text("mine")
+    K.write_probs(probs.withColumn("vid", F.lit("w")), str(tmp_path / "probs"))
+    assert sorted(p.name for p in (tmp_path / "probs").iterdir()) == ["notes.txt", "w.tsv"]
+
+
+def test_an_aborted_write_leaves_nothing(spark, tmp_path):
+    probs = spark.createDataFrame([(f"v{k}", t, 0.5) for k in range(6) for t in range(4)], "vid string, t int, p double")
+    K.write_probs(probs, str(tmp_path / "out"))
+    before = {p.name: p.read_text() for p in (tmp_path / "out").iterdir()}
+    broken = probs.withColumn("p", F.when((F.col("vid") == "v3") & (F.col("t") == 3), F.raise_error(F.lit("lost")).cast("double")).otherwise(0.75))
+    with pytest.raises(Exception, match="lost"):
+        K.write_probs(broken, str(tmp_path / "out"))
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == before and len(before) == 6
 
 
 def test_run_log_appends_and_publish_replaces(spark, tmp_path):
@@ -114,11 +134,24 @@ def test_files_of_one_folder_may_order_columns_differently(spark, tmp_path):
     assert got == [("7", 1.0, 2.0, 0.5, "A, B"), ("8", 3.0, 4.0, None, "C")]
 
 
+def test_wide_files_of_several_headers_are_scanned_without_a_shuffle(spark, tmp_path):
+    names = [f"f{k}" for k in range(100)]
+    (tmp_path / "a b{1}.tsv").write_text("\t".join(["t", *names]) + "\n" + "\n".join("\t".join([str(t), *(str(k + t) for k in range(100))]) for t in range(3)) + "\n5\tshort\n")
+    (tmp_path / "c.tsv").write_text("\t".join([*reversed(names), "t"]) + "\n" + "\t".join([*(str(99 - k) for k in range(100)), "7"]) + "\n")
+    (tmp_path / "headless.tsv").write_text("1\t2\n")
+    (tmp_path / "empty.tsv").write_text("")
+    got = RD.read_features(spark, str(tmp_path), names)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.vid, r.t): [r[n] for n in names] for r in got.collect()}
+    assert rows == {**{("a b{1}", t): [float(k + t) for k in range(100)] for t in range(3)}, ("c", 7): [float(k) for k in range(100)]}
+    assert RD.read_features(spark, str(tmp_path / "headless.tsv"), names).count() == 0
+
+
 def test_writers_are_read_back(spark, tmp_path):
     d = str(tmp_path)
     seg = spark.createDataFrame([("v1", 0, 9, True, "Red", ["a"]), ("v1", 9, 12, False, None, None), ("v2", 3, 5, True, "Blue", ["b"])], "vid string, start_s int, end_s int, threat boolean, color string, source_signals array<string>")
     K.write_segments(seg, d + "/seg")
-    got = sorted((r.vid, r.start_s, r.end_s, r.threat, r.color) for r in RD.read_segments(spark, d + "/seg/segments").collect())
+    got = sorted((r.vid, r.start_s, r.end_s, r.threat, r.color) for r in RD.read_segments(spark, d + "/seg/gt_seg_v?.json").collect())
     assert got == [("v1", 0.0, 9.0, True, "Red"), ("v1", 9.0, 12.0, False, None), ("v2", 3.0, 5.0, True, "Blue")]
     probs = spark.createDataFrame([("v1", 0, 0.5), ("v1", 1, 0.25), ("v2", 0, 0.125)], "vid string, t int, p double")
     K.write_probs(probs, d + "/probs")
