@@ -15,7 +15,8 @@ anywhere else, in the same text or another.
     gathered: its strings are hashed to 128 bits each and counted, which combines on the map side.
 5.  The spans of each text are united and cut out.
 
-Only texts with such regions are moved, once for step 3 and once for step 5.  Nothing is
+A text is known by 128 bits of its SHA-256.  Texts are moved once, to those of their
+regions that count; texts with none are left out of all that follows.  Nothing is
 broadcast or collected.  A task holds ``BLOCK`` bytes and one key's regions, whatever
 the length of a text; a text itself is one value.
 
@@ -138,8 +139,8 @@ def _united(spans: np.ndarray) -> np.ndarray:
 
 
 def cut_texts(docs: DataFrame, length: int) -> DataFrame:
-    """``id, print, n_bytes, regions`` of each row of ``id, print, data``; the data stay behind."""
-    out = T.StructType([docs.schema["id"], *T.StructType.fromDDL(f"print string, n_bytes bigint, regions {REGION}").fields])
+    """``id, print, sha256, n_bytes, regions`` of each row of ``id, print, data``; the data stay behind."""
+    out = T.StructType([docs.schema["id"], *T.StructType.fromDDL(f"print binary, sha256 string, n_bytes bigint, regions {REGION}").fields])
     kind = to_arrow_type(out["regions"].dataType)
     parts = [kind.value_type.field(i) for i in range(kind.value_type.num_fields)]
 
@@ -152,14 +153,15 @@ def cut_texts(docs: DataFrame, length: int) -> DataFrame:
             digest = np.frombuffer(b"".join(hashlib.blake2b(whole[i:j], digest_size=8).digest() for i, j in zip(at.tolist(), (at + size).tolist(), strict=True)), np.int64)
             offsets = pa.array(np.searchsorted(text, np.arange(len(edges))), pa.int32())
             columns = [pa.array(c, f.type) for c, f in zip((key.view(np.int64), start, size, digest, twice), parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(edges)), pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=parts))], out.names)
+            sha = pa.array([hashlib.sha256(whole[i:j]).hexdigest() for i, j in zip(edges.tolist(), edges[1:].tolist(), strict=False)], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sha, pa.array(np.diff(edges)), pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=parts))], out.names)
 
     return docs.mapInArrow(run, out)
 
 
 def sorted_shards(parts: DataFrame, length: int, block: int) -> DataFrame:
     """``print, start, spans``: repeated strings of the regions ``key, digest, data`` that lie in one partition by key."""
-    out = T.StructType.fromDDL("print string, start bigint, spans array<struct<lo:bigint,hi:bigint>>")
+    out = T.StructType.fromDDL("print binary, start bigint, spans array<struct<lo:bigint,hi:bigint>>")
     kind = to_arrow_type(out["spans"].dataType)
 
     def shard(rows):
@@ -172,7 +174,7 @@ def sorted_shards(parts: DataFrame, length: int, block: int) -> DataFrame:
         spans = np.stack([lo, hi], axis=1) - (ends - sizes)[whose][:, None]
         cuts = np.searchsorted(whose, np.arange(len(rows) + 1))
         hit = np.flatnonzero(np.diff(cuts))
-        return pa.RecordBatch.from_arrays([pa.array([rows[k][2] for k in hit], pa.string()), pa.array([rows[k][3] for k in hit], pa.int64()), _spans([spans[cuts[k] : cuts[k + 1]] for k in hit], kind)], out.names)
+        return pa.RecordBatch.from_arrays([pa.array([rows[k][2] for k in hit], pa.binary()), pa.array([rows[k][3] for k in hit], pa.int64()), _spans([spans[cuts[k] : cuts[k + 1]] for k in hit], kind)], out.names)
 
     def run(batches):
         rows, total, last = [], 0, None
@@ -199,9 +201,9 @@ def counted_strings(parts: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for key, name, start, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = np.frombuffer(b"".join(hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(len(data) - length + 1)), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * (len(h) // 2), pa.string()), pa.array(start + np.arange(len(h) // 2)), pa.array(h[::2]), pa.array(h[1::2])], ["print", "at", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * (len(h) // 2), pa.binary()), pa.array(start + np.arange(len(h) // 2)), pa.array(h[::2]), pa.array(h[1::2])], ["print", "at", "a", "b"])
 
-    each = parts.select("key", "print", "start", "data").mapInArrow(run, "print string, at bigint, a bigint, b bigint")
+    each = parts.select("key", "print", "start", "data").mapInArrow(run, "print binary, at bigint, a bigint, b bigint")
     again = each.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     return each.join(again, ["a", "b"], "left_semi").select("print", F.col("at").alias("start"), F.expr(f"array(struct(0L as lo, {length}L as hi))").alias("spans"))
 
@@ -209,34 +211,35 @@ def counted_strings(parts: DataFrame, length: int) -> DataFrame:
 def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: int = LENGTH, block: int = BLOCK, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """Rows and the different texts that lose bytes.
 
-    ``id, print, n_bytes`` for each row, ``print, spans, kept`` for each text with
+    ``id, print, sha256, n_bytes`` for each row, ``print, spans, kept`` for each text with
     removed bytes: spans are its maximal removed runs (start, end), kept the remaining bytes.
     """
-    src = docs.select(F.col(f"`{ident}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string").cast("binary"), F.lit(b"")).alias("data")).select("id", F.sha2("data", 256).alias("print"), "data")
+    data = F.coalesce(F.col(f"`{text}`").cast("string").cast("binary"), F.lit(b""))
+    src = docs.select(F.col(f"`{ident}`").alias("id"), data.alias("data")).select("id", F.unhex(F.substring(F.sha2("data", 256), 1, 32)).alias("print"), "data")
     rows = written(cut_texts(src, length))
     texts = rows.where(f"n_bytes >= {length}").groupBy("print").agg(F.min(F.struct("id")).alias("one"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("regions").alias("regions"))
     texts = written(texts.select("print", "one.id", "copies", "n_bytes", "regions"))
     each = texts.select("print", "id", "copies", F.explode("regions").alias("r")).select("print", "id", "copies", "r.*")
-    kinds = written(each.groupBy("key", "digest").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min(F.struct("print", "id", "start", "size")).alias("one")))
+    kinds = written(each.groupBy("key", "digest").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min(F.struct("print", "id", "start", "size", "copies")).alias("one")))
     keys = kinds.groupBy("key").agg(F.sum(F.col("n") + F.col("twice").cast("int")).alias("total"), F.count("*").alias("kinds"), F.max("twice").alias("any"))
     compared = kinds.join(keys.where("total > 1 and (kinds > 1 or any)").select("key", "kinds"), "key")
-    wanted = compared.select("key", "digest", "kinds", "one.*").groupBy("print", "id").agg(F.collect_list(F.struct("key", "digest", "kinds", "start", "size")).alias("parts"))
-    wanted = wanted.withColumnsRenamed({"print": "print_", "id": "id_"})
-    parts = src.join(wanted, F.expr("print = print_ and id <=> id_")).select("print", "data", F.explode("parts").alias("p"))
-    parts = written(parts.select("print", "p.key", "p.digest", "p.kinds", "p.start", F.expr("substring(data, int(p.start + 1), int(p.size))").alias("data")))
-    found = sorted_shards(parts.where(F.col("kinds") <= group), length, block).unionByName(counted_strings(parts.where(F.col("kinds") > group), length))
-    found = found.select("print", F.explode(F.transform("spans", lambda s: F.struct((F.col("start") + s["lo"]).alias("lo"), (F.col("start") + s["hi"]).alias("hi")))).alias("s"))
-    whole = each.where("copies = 1").join(kinds.where("n > 1").select("key", "digest"), ["key", "digest"], "left_semi").select("print", F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi")).alias("s"))
-    spans = found.join(texts.where("copies > 1").select("print"), "print", "left_anti").unionByName(whole).groupBy("print").agg(F.collect_list("s").alias("spans"))
-    spans = spans.join(texts.select("print", "id"), "print").withColumnsRenamed({"print": "print_", "id": "id_"})
-    partly = src.join(spans, F.expr("print = print_ and id <=> id_")).select("print", "data", "spans")
+    compared = compared.select("one.print", "one.id", "one.copies", F.struct("key", "digest", "kinds", "one.start", "one.size").alias("part"))
+    whole = each.where("copies = 1").join(kinds.where("n > 1").select("key", "digest"), ["key", "digest"], "left_semi").select("print", "id", "copies", F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi")).alias("span"))
+    needed = compared.unionByName(whole, allowMissingColumns=True).groupBy("print", "id").agg(F.max("copies").alias("copies"), F.collect_list("part").alias("parts"), F.collect_list("span").alias("spans"))
+    needed = needed.withColumnsRenamed({"print": "print_", "id": "id_"})
+    near = written(src.join(needed, F.expr("print = print_ and id <=> id_")).select("print", "data", "copies", "parts", "spans"))
+    parts = near.select("print", "data", F.explode("parts").alias("p")).select("print", "p.key", "p.digest", "p.kinds", "p.start", F.expr("substring(data, int(p.start + 1), int(p.size))").alias("data"))
+    found = sorted_shards(parts.where(F.col("kinds") <= group), length, block).unionByName(counted_strings(parts.where(F.col("kinds") > group).dropDuplicates(["key", "digest"]), length))
+    found = found.groupBy("print").agg(F.flatten(F.collect_list(F.transform("spans", lambda x: F.struct((F.col("start") + x["lo"]).alias("lo"), (F.col("start") + x["hi"]).alias("hi"))))).alias("found"))
+    partly = near.where("copies = 1").select("print", "data", "spans").join(found, "print", "left")
+    partly = partly.select("print", "data", F.concat("spans", F.coalesce("found", F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)"))).alias("spans")).where("size(spans) > 0")
     copied = texts.where("copies > 1").select("print", F.expr("array(struct(0L as lo, n_bytes as hi))").alias("spans"), F.lit(b"").alias("kept"))
-    return rows.select("id", "print", "n_bytes"), cut_out(partly).dropDuplicates(["print"]).unionByName(copied)
+    return rows.select("id", "print", "sha256", "n_bytes"), cut_out(partly).unionByName(copied)
 
 
 def cut_out(texts: DataFrame) -> DataFrame:
     """``print, spans, kept`` of ``print, data, spans``: spans united, and the bytes outside."""
-    out = T.StructType.fromDDL("print string, spans array<struct<lo:bigint,hi:bigint>>, kept binary")
+    out = T.StructType.fromDDL("print binary, spans array<struct<lo:bigint,hi:bigint>>, kept binary")
     kind = to_arrow_type(out["spans"].dataType)
 
     def run(batches):
@@ -258,6 +261,7 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["hi"] - s["lo"])
     digest = written(texts.select("print", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")))
     zero = F.lit(0).cast("long")
+    # a text that loses nothing keeps the digest of its first pass
     return rows.join(digest, "print", "left").select(
-        F.col("id").alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "print").alias("kept_sha256")
+        F.col("id").alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256")
     )
