@@ -167,19 +167,25 @@ SELECT vid, field, value, median_delta, CAST(greatest(round_even(value - median_
 )
 
 # -- refinement ------------------------------------------------------------------------
-SQL_REFINE = SQL_REPLY + """,
-rs AS (SELECT seg_id, vid, seg_id % 4 <> 3 AS threat, CAST(seg_id % 3000 AS int) AS s, CAST(seg_id % 3000 + 12 + seg_id % 40 AS int) AS e, seg_id % 10 <> 9 AS has_metrics,
-   CASE WHEN seg_id % 10 = 9 THEN NULL WHEN seg_id % 10 = 8 THEN CAST([] AS varchar[]) ELSE list_transform(sl, lambda y: y.ts) END AS tl FROM rep),
+def sql_refine(pre: int, post: int, width: int) -> str:
+    """Refined bounds ``rf`` of segments ``rs`` with their shot times ``tl``."""
+    return f"""
 rt AS (SELECT *, list_transform(list_filter(tl, lambda t: CAST(split_part(t, ':', 2) AS int) < 60), lambda t: greatest(least(s + CAST(split_part(t, ':', 1) AS int) * 60 + CAST(split_part(t, ':', 2) AS int), e), s)) AS ab FROM rs),
 ru AS (SELECT *, CASE WHEN NOT threat THEN 'fallback_not_threat' WHEN NOT has_metrics THEN 'fallback_no_metrics' WHEN len(tl) = 0 THEN 'fallback_no_shots' WHEN len(ab) = 0 THEN 'fallback_unparseable' ELSE 'shot_timestamps' END AS src,
-   greatest(s, list_min(ab) - 8) AS a, least(e, list_max(ab) + 8) AS b FROM rt),
-rv AS (SELECT *, 15 - (b - a) AS lack, CAST(floor((15 - (b - a)) / 2) AS int) AS pb FROM ru),
+   greatest(s, list_min(ab) - {pre}) AS a, least(e, list_max(ab) + {post}) AS b FROM rt),
+rv AS (SELECT *, {width} - (b - a) AS lack, CAST(floor(({width} - (b - a)) / 2) AS int) AS pb FROM ru),
 rw AS (SELECT *, lack - pb AS pa, greatest(s, a - pb) AS na, least(e, b + lack - pb) AS nb FROM rv),
 rx AS (SELECT *, CASE WHEN a - na < pb THEN least(e, nb + pb - (a - na)) ELSE nb END AS nb2, CASE WHEN nb - b < pa THEN greatest(s, na - (pa - (nb - b))) ELSE na END AS na2 FROM rw),
 rf AS (SELECT seg_id, vid, threat, s AS start_s, e AS end_s, CAST(CASE WHEN src <> 'shot_timestamps' THEN s WHEN lack > 0 THEN na2 ELSE a END AS int) AS start_refined,
    CAST(CASE WHEN src <> 'shot_timestamps' THEN e WHEN lack > 0 THEN nb2 ELSE b END AS int) AS end_refined, src AS refinement_source FROM rx)"""
 
 
+SQL_REFINE = SQL_REPLY + """,
+rs AS (SELECT seg_id, vid, seg_id % 4 <> 3 AS threat, CAST(seg_id % 3000 AS int) AS s, CAST(seg_id % 3000 + 12 + seg_id % 40 AS int) AS e, seg_id % 10 <> 9 AS has_metrics,
+   CASE WHEN seg_id % 10 = 9 THEN NULL WHEN seg_id % 10 = 8 THEN CAST([] AS varchar[]) ELSE list_transform(sl, lambda y: y.ts) END AS tl FROM rep),
+""" + sql_refine(8, 8, 15)
+
+
 def refined(spark, sf):
     """Segments with their decoded shot lists; some lack metrics or shots."""
     m = replies(spark, sf).select("seg_id", "vid", F.from_json(F.regexp_replace("raw", r"\}*( Hope .*)?$", "}}"), R.METRICS)["shot_timestamps"].alias("ts"))

@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .. import views as V
-from ..operators import detections as DT, identity as D, training as T
+from ..operators import detections as DT, identity as D, records as R, training as T
 from ..plans import reports as P
 from ..sources import sinks as K
 from ..views import BLK, sql
-from .matching import SQL_SHOT_COUNTS, SQL_TC, SQL_WC, counted, shot_eval, tmap
+from .matching import SQL_MAP, SQL_SHOT_COUNTS, SQL_TC, SQL_WC, counted, shot_eval, shot_segments, sql_match, tmap
+from .records import sql_refine
 from .registry import query
 from .series import SQL_FUSE, SQL_LABELS, fused, labels, r6
 
@@ -37,17 +38,28 @@ SELECT vid, tp, fp, fn, tn, round_even(pr, 4) AS precision, round_even(rc, 4) AS
 TOT = ", ".join(f"CAST(sum({c}) AS bigint) AS {c}" for c in ("pred_shots", "gt_shots", "gt_shots_unfiltered", "pred_goals", "gt_goals", "gt_goals_unfiltered"))
 MET = "pred_shots - gt_shots AS shots_diff, round_even(pred_shots / nullif(gt_shots::double, 0), 3) AS shots_ratio, pred_goals - gt_goals AS goals_diff, pred_shots - gt_shots_unfiltered AS shots_diff_unfiltered, round_even(pred_shots / nullif(gt_shots_unfiltered::double, 0), 3) AS shots_ratio_unfiltered"
 query("agg13_metric_summary", sql("games win gt", SQL_PW + f", t AS (SELECT count(*) AS n_windows, {TOT} FROM pw) SELECT *, {MET} FROM t"))(lambda s, d: P.metric_summary(windows(s, d)))
-query("agg13_shot_summary", sql("win gt", SQL_SHOT_COUNTS + """,
+query("agg13_shot_summary", sql("win gt games", SQL_SHOT_COUNTS + """,
 t AS (SELECT count(*) AS n_videos, """ + ", ".join(f"CAST(sum({c}) AS bigint) AS {c}" for c in ("n_pred", "n_gt", "n_covered", "tp_strict", "tp_lenient", "fp", "fn", "fn_uncovered")) + """ FROM sc),
 u AS (SELECT *, tp_strict / nullif((tp_strict + fp)::double, 0) AS p, tp_strict / nullif(n_gt::double, 0) AS r, tp_strict / nullif(n_covered::double, 0) AS rw FROM t)
 SELECT * EXCLUDE (p, r, rw), round_even(p, 4) AS precision, round_even(r, 4) AS recall, round_even(rw, 4) AS recall_within_coverage, round_even(2 * p * r / (p + r), 4) AS f1, round_even(2 * p * rw / (p + rw), 4) AS f1_within_coverage FROM u"""))(
     lambda s, d: P.shot_summary(shot_eval(s, d))
 )
-query("agg14_evaluate_counts", sql("games win gt", SQL_PW + "," + SQL_SHOT_COUNTS + f""",
-t AS (SELECT vid, count(*) AS n_windows, {TOT} FROM pw GROUP BY vid), e AS (SELECT vid, {ERR} FROM pw GROUP BY vid)
-SELECT t.*, {MET}, e.* EXCLUDE (vid), tp_strict, tp_lenient, fp, fn, fn_uncovered FROM t JOIN e USING (vid) LEFT JOIN sc USING (vid)"""))(
-    lambda s, d: P.evaluate_counts(windows(s, d), shot_eval(s, d))
-)
+def evaluated_counts(spark, sf):
+    odd = V.games(spark, sf).selectExpr("vid", "vid % 2 = 0 as applied")
+    shots = R.refine(shot_segments(spark, sf).withColumn("has_metrics", F.lit(True)), 1, 1, 3)
+    return P.evaluate_counts(windows(spark, sf), shot_eval(spark, sf), P.event_totals(V.gt(spark, sf), tmap(spark, sf), odd), R.refine_summary(shots))
+
+
+query("agg14_evaluate_counts", sql("games win gt", SQL_PW + "," + SQL_SHOT_COUNTS.replace(SQL_MAP + ",", "") + f""",
+t AS (SELECT vid, count(*) AS n_windows, {TOT} FROM pw GROUP BY vid), e AS (SELECT vid, {ERR} FROM pw GROUP BY vid),
+ot AS (SELECT g.vid, count(*) FILTER (g.action = 'Shots') AS game_shots, count(*) FILTER (g.action = 'Goals') AS game_goals FROM gt g
+  LEFT JOIN games m ON m.vid = g.vid AND g.vid % 2 = 0 LEFT JOIN tm o ON o.vid = m.vid AND o.is_opponent AND NOT o.collision
+  WHERE o.vid IS NULL OR {sql_match('g.team', 'o.team')} GROUP BY g.vid),
+rs AS (SELECT win_id AS seg_id, vid, source <> 'faceoff' AS threat, start_s AS s, end_s AS e, true AS has_metrics, ['00:0' || win_id % 5, CASE WHEN win_id % 3 = 0 THEN '0:7' ELSE '00:75' END] AS tl FROM win),
+{sql_refine(1, 1, 3)},
+rm AS (SELECT vid, count(*) FILTER (refinement_source = 'shot_timestamps') AS n_refined, median(end_s - start_s) AS orig_width_median, median(end_refined - start_refined) AS refined_width_median FROM rf WHERE threat GROUP BY vid)
+SELECT t.*, {MET}, e.* EXCLUDE (vid), tp_strict, tp_lenient, fp, fn, fn_uncovered, game_shots, game_goals, n_refined, orig_width_median, refined_width_median, orig_width_median - refined_width_median AS median_shrinkage
+FROM t JOIN e USING (vid) LEFT JOIN sc USING (vid) LEFT JOIN ot USING (vid) LEFT JOIN rm USING (vid)"""))(evaluated_counts)
 
 # -- per-second scores ------------------------------------------------------------
 SQL_TICK = SQL_LABELS + "," + SQL_FUSE + ",\ntk AS (SELECT f.vid, f.t, f.p, l.label FROM fused f JOIN lab l USING (vid, t))"
@@ -175,13 +187,13 @@ query("agg38_coverage_matrix", sql("games gt clips", "SELECT vid, vid IN (SELECT
 DIAG = 700.0
 SQL_FEAT = """
 fg AS (SELECT vid, t, count(*) FILTER (cls = 'puck') AS n_puck, coalesce(max(conf) FILTER (cls = 'puck'), 0) AS puck_conf_max, coalesce(avg(conf) FILTER (cls = 'puck'), 0) AS puck_conf_mean, count(*) FILTER (cls = 'goal') AS n_goal,
-   coalesce(max(conf) FILTER (cls = 'goal'), 0) AS goal_conf_max, count(*) FILTER (cls = 'goalie') AS n_goalie, coalesce(max(conf) FILTER (cls = 'goalie'), 0) AS goalie_conf_max, count(*) FILTER (cls = 'player') AS n_player FROM det GROUP BY 1, 2),
+   coalesce(max(conf) FILTER (cls = 'goal'), 0) AS goal_conf_max, count(*) FILTER (cls = 'goalie') AS n_goalie, coalesce(max(conf) FILTER (cls = 'goalie'), 0) AS goalie_conf_max, count(*) FILTER (cls = 'player') AS n_player, count(*) FILTER (cls = 'centriod') AS n_centroid, count(*) FILTER (cls = 'faceoff') AS n_faceoff, count(*) FILTER (cls = 'referee') AS n_referee FROM det GROUP BY 1, 2),
 pp AS (SELECT a.vid, a.t, a.cls AS ac, min(sqrt(pow((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2, 2) + pow((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2, 2))) / 700 AS dist, max(CASE WHEN a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 THEN 1 ELSE 0 END) AS ins,
    max(CASE WHEN a.x1 < (b.x1 + b.x2) / 2 + (b.x2 - b.x1) AND (b.x1 + b.x2) / 2 - (b.x2 - b.x1) < a.x2 AND a.y1 < (b.y1 + b.y2) / 2 + (b.y2 - b.y1) AND (b.y1 + b.y2) / 2 - (b.y2 - b.y1) < a.y2 THEN 1 ELSE 0 END) AS ins2
   FROM det a JOIN det b ON a.vid = b.vid AND a.t = b.t AND b.cls = 'goal' AND a.cls IN ('puck','goalie') GROUP BY 1, 2, 3),
 fr AS (SELECT DISTINCT CAST(o_custkey % 10 AS bigint) AS vid, CAST(o_orderkey AS int) AS t FROM orders UNION SELECT vid, t FROM det),
 ft AS (SELECT fr.vid, fr.t, coalesce(n_puck, 0) AS n_puck, coalesce(puck_conf_max, 0.0) AS puck_conf_max, coalesce(puck_conf_mean, 0.0) AS puck_conf_mean, coalesce(n_goal, 0) AS n_goal, coalesce(goal_conf_max, 0.0) AS goal_conf_max, coalesce(n_goalie, 0) AS n_goalie,
-  coalesce(goalie_conf_max, 0.0) AS goalie_conf_max, coalesce(n_player, 0) AS n_player, CASE WHEN fg.t IS NULL THEN 0.0 ELSE p.dist END AS puck_goal_min, CASE WHEN fg.t IS NULL THEN 0.0 ELSE k.dist END AS goalie_goal_min,
+  coalesce(goalie_conf_max, 0.0) AS goalie_conf_max, coalesce(n_player, 0) AS n_player, coalesce(n_centroid, 0) AS n_centroid, coalesce(n_faceoff, 0) AS n_faceoff, coalesce(n_referee, 0) AS n_referee, CASE WHEN fg.t IS NULL THEN 0.0 ELSE p.dist END AS puck_goal_min, CASE WHEN fg.t IS NULL THEN 0.0 ELSE k.dist END AS goalie_goal_min,
   coalesce(p.ins, 0) AS puck_in_goal, coalesce(p.ins2, 0) AS puck_in_goal_ext2 FROM fr LEFT JOIN fg USING (vid, t) LEFT JOIN pp p ON p.vid = fr.vid AND p.t = fr.t AND p.ac = 'puck' LEFT JOIN pp k ON k.vid = fr.vid AND k.t = fr.t AND k.ac = 'goalie')"""
 
 

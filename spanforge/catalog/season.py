@@ -31,22 +31,33 @@ wk AS (SELECT season, side, CAST(goals > 0 AS int) AS g, 'depth' AS dimension, c
   UNION ALL SELECT season, side, CAST(goals > 0 AS int), 'squareness', coalesce(position_confidence, 3) FROM sc WHERE squareness_rank IN ('Average','Poor')
   UNION ALL SELECT season, side, CAST(goals > 0 AS int), 'rebound', coalesce(coaching_confidence, 3) FROM sc WHERE rebound_control_rank IN ('Uncontrolled into High-Danger Zone','Goal Allowed')),
 w2 AS (SELECT *, 'all' AS scope FROM wk UNION ALL SELECT *, side FROM wk WHERE side <> 'unknown'),
-cd AS (SELECT season, dimension, scope, count(*) AS n_leak, CAST(sum(g) AS bigint) AS goals_leak, sum(conf) AS c FROM w2 GROUP BY 1, 2, 3),
-lk AS (SELECT season, dimension, scope, n_leak, goals_leak, n_total, goals_total, goals_total / n_total AS base_rate, goals_leak / n_leak AS leak_rate, (goals_leak / n_leak) / greatest(goals_total / n_total, 0.05) AS rr,
+cd AS (SELECT season, dimension, scope, count(*) AS n_leak, CAST(sum(g) AS bigint) AS goals_leak, sum(conf) AS c, sum(g * conf) AS gc FROM w2 GROUP BY 1, 2, 3),
+lk AS (SELECT season, dimension, scope, n_leak, goals_leak, n_total, goals_total, goals_total / n_total AS base_rate, goals_leak / n_leak AS leak_rate, gc / c AS weighted_leak_rate, (goals_leak / n_leak) / greatest(goals_total / n_total, 0.05) AS rr,
    c / n_leak / 5 AS avg_conf, goals_leak - n_leak * (goals_total / n_total) AS excess_goals FROM cd JOIN bs USING (season)),
 lks AS (SELECT *, excess_goals * log2(rr) * avg_conf AS score, avg_conf < 0.5 AS hint FROM lk)"""
 query("sea2_leak_candidates", sql("clips", SQL_LEAKS + """
-SELECT season, dimension, scope, n_leak, goals_leak, n_total, goals_total, round(base_rate, 6) AS base_rate, round(leak_rate, 6) AS leak_rate, round(rr, 6) AS rr, round(avg_conf, 5) AS avg_conf,
+SELECT season, dimension, scope, n_leak, goals_leak, n_total, goals_total, round(base_rate, 6) AS base_rate, round(leak_rate, 6) AS leak_rate, round(weighted_leak_rate, 6) AS weighted_leak_rate, round(rr, 6) AS rr, round(avg_conf, 5) AS avg_conf,
   round(excess_goals, 6) AS excess_goals, round(score, 6) AS score, hint FROM lks"""))(
-    lambda s, d: r6(S.leaks(C(s, d)), "base_rate", "leak_rate", "rr", "excess_goals", "score").withColumn("avg_conf", F.round("avg_conf", 5))
+    lambda s, d: r6(S.leaks(C(s, d)), "base_rate", "leak_rate", "weighted_leak_rate", "rr", "excess_goals", "score").withColumn("avg_conf", F.round("avg_conf", 5))
 )
-query("sea2_leaks", sql("clips", SQL_LEAKS + """,
-ok AS (SELECT * FROM lks WHERE n_leak >= CASE WHEN scope = 'all' THEN 5 ELSE 6 END AND goals_leak >= 3 AND rr >= 1.01 AND base_rate >= 0.05),
+
+
+def leaky(spark, sf):
+    """Clips in which one weak spot costs most goals."""
+    weak = "depth_rank in ('Conservative (C)', 'Defensive (D)') or rebound_control_rank = 'Goal Allowed' and side = 'left'"
+    return C(spark, sf).withColumn("goals", F.expr(f"if({weak}, if(clip_no % 4 <> 0, greatest(goals, 1), goals), if(clip_no % 5 = 0, goals, 0))"))
+
+
+SQL_LEAKY = """
+lc AS (SELECT * REPLACE (CASE WHEN depth_rank IN ('Conservative (C)', 'Defensive (D)') OR rebound_control_rank = 'Goal Allowed' AND side = 'left' THEN CASE WHEN clip_no % 4 <> 0 THEN greatest(goals, 1) ELSE goals END
+  WHEN clip_no % 5 = 0 THEN goals ELSE 0 END AS goals) FROM clips),""" + SQL_LEAKS.replace("FROM clips WHERE", "FROM lc WHERE")
+query("sea2_leaks", sql("clips", SQL_LEAKY + """,
+ok AS (SELECT * FROM lks WHERE n_leak >= CASE WHEN scope = 'all' THEN 5 ELSE 6 END AND goals_leak >= 3 AND rr >= 1.5 AND base_rate >= 0.05),
 j AS (SELECT o.*, a.n_leak AS an, a.score AS asc_ FROM ok o LEFT JOIN ok a ON a.season = o.season AND a.dimension = o.dimension AND a.scope = 'all'),
 f AS (SELECT *, scope <> 'all' AND coalesce(n_leak / an > 0.6, false) AS near FROM j),
 k AS (SELECT * FROM f x WHERE NOT (near AND score < 0.9 * asc_) AND NOT (scope = 'all' AND EXISTS (SELECT 1 FROM f y WHERE y.season = x.season AND y.dimension = x.dimension AND y.near AND y.score >= 0.9 * y.asc_)))
 SELECT season, dimension, scope, n_leak, goals_leak, round(score, 6) AS score, CAST(rank AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY score DESC, dimension, scope) AS rank FROM k) WHERE rank <= 5"""))(
-    lambda s, d: r6(S.promoted_leaks(S.leaks(C(s, d)), min_rr=1.01), "score").select("season", "dimension", "scope", "n_leak", "goals_leak", "score", "rank")
+    lambda s, d: r6(S.promoted_leaks(S.leaks(leaky(s, d))), "score").select("season", "dimension", "scope", "n_leak", "goals_leak", "score", "rank")
 )
 CUES = "breakaway|rush|odd-man|2-on-1|3-on-2|cross-ice|royal road|backdoor|wide open|in alone"
 SQL_DANGER = f"""
@@ -88,6 +99,10 @@ t AS (SELECT sum(goals) AS al, sum(goals) FILTER (zone <> 'unknown') AS loc FROM
 SELECT zone, goals, clips, round(goals / al, 6) AS pct_all, CASE WHEN zone <> 'unknown' THEN round(goals / loc, 6) END AS pct_located, zone = top AS dominant FROM x, t, m"""))(
     lambda s, d: r6(S.beaten_map(C(s, d)), "pct_all", "pct_located")
 )
+query("sea6_zone_clips", sql("clips", """
+SELECT vid, CASE WHEN beaten_location IN ('glove_high','glove_low','blocker_high','blocker_low','five_hole','body_other') THEN beaten_location ELSE 'unknown' END AS zone, clip_no, start_s, goals,
+  CAST(row_number() OVER (PARTITION BY vid, CASE WHEN beaten_location IN ('glove_high','glove_low','blocker_high','blocker_low','five_hole','body_other') THEN beaten_location ELSE 'unknown' END ORDER BY start_s, clip_no) AS int) AS pos
+FROM clips WHERE goals > 0"""))(lambda s, d: S.zone_clips(C(s, d)))
 query("sea6_zone_ranks", sql("clips", "SELECT beaten_location AS zone, depth_rank AS rank, count(*) AS n FROM clips WHERE goals > 0 GROUP BY 1, 2"))(
     lambda s, d: S.zone_ranks(C(s, d))
 )

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from .. import views as V
+from ..blocks import shared_folder
 from ..functions import labels as L, text as TX, timefmt as TF
 from ..operators import records as R
 from ..sources import readers as RD, sinks as K
 from ..streaming import watchdog as WD
 from ..views import sql
-from .matching import sql_tok
+from .intervals import SQL_TRACE, traced
+from .matching import SQL_P, preds, sql_tok
 from .records import CONFS, DEPTHS, _arr, sql_conf, sql_enum
 from .registry import query
-from .series import SQL_FUSE, fused
+from .series import SQL_CAND, SQL_FUSE, cands, fused
 
 query("src1_parse_probs", sql("ev", "SELECT vid, t, value AS p FROM ev WHERE event_id % 7 NOT IN (0, 3)"))(
     lambda s, d: RD.parse_probs(
@@ -48,8 +52,8 @@ SELECT vid, win_id, start_s::double AS start_s, end_s::double AS end_s, win_id %
         )
     ).withColumnRenamed("vid", "win_id").join(V.win(s, d).select("win_id", "vid"), "win_id").select("vid", "win_id", "start_s", "end_s", "threat", "color")
 )
-query("src6_sidecar", sql("win games", "SELECT w.win_id, g.vid % 2 = 0 AS applied FROM win w LEFT JOIN (SELECT vid FROM games WHERE vid % 3 <> 1) g ON g.vid = w.vid"))(
-    lambda s, d: RD.with_sidecar(V.win(s, d).select("vid", "win_id"), V.games(s, d).filter("vid % 3 <> 1").selectExpr("vid", "vid % 2 = 0 as applied")).select("win_id", "applied")
+query("src6_sidecar", sql("win games", "SELECT w.win_id, g.vid % 2 = 0 AS applied FROM win w LEFT JOIN games g ON g.vid = w.vid"))(
+    lambda s, d: RD.with_sidecar(V.win(s, d).select("vid", "win_id"), V.games(s, d).selectExpr("vid", "vid % 2 = 0 as applied")).select("win_id", "applied")
 )
 query("src7_parse_games", sql("games", "SELECT CAST(vid AS varchar) AS vid, target_team, opponent_team, target_color, target_side, CAST(n_periods AS int) AS n_periods FROM games WHERE vid % 11 <> 10"))(
     lambda s, d: RD.parse_games(
@@ -107,8 +111,65 @@ query("src13_paired_ids", sql("", "SELECT c_custkey AS vid FROM customer WHERE c
 )
 
 # -- rows as written ---------------------------------------------------------------------
-query("snk5_prob_rows", sql("probs", SQL_FUSE + " SELECT vid, t, CAST(p > 0.5 AS int) AS shot_n, '0.0' AS goal_max_conf FROM fused"))(
-    lambda s, d: K.prob_rows(fused(s, d)).select("vid", "t", "shot_n", "goal_max_conf")
+query("snk5_prob_rows", sql("probs", SQL_FUSE + " SELECT vid, t, printf('%.4f', p) AS shot_max_conf, CAST(p > 0.5 AS int) AS shot_n, '0.0' AS goal_max_conf FROM fused"))(
+    lambda s, d: K.prob_rows(fused(s, d)).select("vid", "t", "shot_max_conf", "shot_n", "goal_max_conf")
+)
+
+
+# -- files written and read again ----------------------------------------------------------
+def scratch(spark) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/files-{uuid4().hex}"
+
+
+def _vid(pattern: str):
+    return F.regexp_extract("_metadata.file_name", pattern, 1).cast("bigint").alias("vid")
+
+
+def candidate_files(spark, sf):
+    K.write_candidates(cands(spark, sf), path := scratch(spark))
+    x = spark.read.option("header", True).schema("rank int, t_seconds double, t_mmss string, confidence double").csv(path)
+    return x.select(_vid(r"^(.*)\.csv$"), "*")
+
+
+def prediction_files(spark, sf):
+    p = preds(spark, sf).selectExpr("vid", "start_s", "end_s", "start_s % 97 / 100.0D as confidence", "color as team")
+    K.write_predictions(p, path := scratch(spark))
+    return RD.read_predictions(spark, path)
+
+
+def trace_files(spark, sf):
+    K.write_tsv(traced(spark, sf).select("vid", "start_s", "end_s", "source_signals", "n_overlapping_raw"), path := scratch(spark))
+    x = spark.read.option("header", True).option("sep", "\t").schema("vid bigint, start_s int, end_s int, source_signals string, n_overlapping_raw bigint").csv(path)
+    return x.withColumn("source_signals", F.coalesce("source_signals", F.lit("")))
+
+
+def prob_files(spark, sf):
+    K.write_probs(fused(spark, sf), path := scratch(spark))
+    return RD.read_probs(spark, path).select(F.col("vid").cast("bigint").alias("vid"), "t", "p")
+
+
+def segment_files(spark, sf):
+    K.write_segments(V.win(spark, sf).withColumn("threat", F.col("source") != "faceoff"), path := scratch(spark))
+    return RD.read_segments(spark, path).select(F.col("vid").cast("bigint").alias("vid"), "start_s", "end_s", "threat", "color")
+
+
+query("snk1_candidate_files", sql("probs", SQL_CAND + " SELECT vid, rank, t_seconds, t_mmss, confidence FROM cand"))(candidate_files)
+query("snk2_segment_files", sql("win", "SELECT vid, start_s::double AS start_s, end_s::double AS end_s, source <> 'faceoff' AS threat, color FROM win"))(segment_files)
+query("snk3_prediction_files", sql("probs", SQL_P + " SELECT CAST(vid AS varchar) AS vid, start_s::double AS start_s, end_s::double AS end_s, start_s % 97 / 100.0::double AS confidence, color AS team FROM pr"))(prediction_files)
+query("snk4_trace_files", sql("probs win", SQL_TRACE + " SELECT vid, start_s, end_s, array_to_string(source_signals, '+') AS source_signals, n_overlapping_raw FROM tr"))(trace_files)
+query("snk5_prob_files", sql("probs", SQL_FUSE + " SELECT vid, t, CAST(printf('%.4f', p) AS double) AS p FROM fused"))(prob_files)
+query("sca18_parse_iso", sql("", """
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 2 THEN epoch(o_orderdate)::bigint - 7200 WHEN 3 THEN epoch(o_orderdate)::bigint + 19800 WHEN 4 THEN NULL ELSE epoch(o_orderdate)::bigint END AS seconds FROM orders"""))(
+    lambda s, d: V.table(s, d, "orders").selectExpr(
+        "o_orderkey",
+        "if(o_orderkey % 5 = 4, 'soon', concat(date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\"), element_at(array('', 'Z', '+02:00', '-05:30', ''), cast(o_orderkey % 5 + 1 as int)))) as txt",
+    ).select("o_orderkey", F.unix_timestamp(TF.parse_iso_utc(F.col("txt"))).alias("seconds"))
+)
+query("sca21_ids", sql("", """
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN 'a b' || o_orderkey WHEN 3 THEN 'x/..' ELSE 'v-' || o_orderkey || '.1' END AS bare, o_orderkey % 4 < 2 AS safe FROM orders"""))(
+    lambda s, d: V.table(s, d, "orders").selectExpr(
+        "o_orderkey", "case o_orderkey % 4 when 0 then concat('gt_v-', o_orderkey, '.1.json') when 1 then concat(' v-', o_orderkey, '.1 ') when 2 then concat('gt_a b', o_orderkey) else 'x/..' end as raw",
+    ).select("o_orderkey", TX.bare_id(F.col("raw"), "gt_").alias("bare")).withColumn("safe", TX.is_safe_id(F.col("bare")))
 )
 query("snk2_segment_meta", sql("win", "SELECT vid, count(*) AS n_segments, 'fusion' AS method FROM win GROUP BY 1"))(
     lambda s, d: K.segment_meta(V.win(s, d), "fusion").select("vid", "n_segments", "method")

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.spans import box_center, boxes_overlap, expand_box
 from ..functions.stats import ratio
 
+#: counts of classes without further features; the first class is spelt as the detector spells it (fixed names)
+OTHERS = {"n_centroid": "centriod", "n_faceoff": "faceoff", "n_referee": "referee"}
+
 
 def _pairs(det: DataFrame, a: str, b: str, diag: float) -> DataFrame:
     """Nearest distance and overlap flags between two classes of a frame."""
@@ -33,13 +36,13 @@ def detection_features(det: DataFrame, frames: DataFrame, diag: float) -> DataFr
     g = det.groupBy("vid", "t").agg(
         n("puck").alias("n_puck"), F.max(conf("puck")).alias("puck_conf_max"), F.avg(conf("puck")).alias("puck_conf_mean"),
         n("goal").alias("n_goal"), F.max(conf("goal")).alias("goal_conf_max"), n("goalie").alias("n_goalie"),
-        F.max(conf("goalie")).alias("goalie_conf_max"), n("player").alias("n_player"), F.lit(True).alias("__any"),
+        F.max(conf("goalie")).alias("goalie_conf_max"), n("player").alias("n_player"), *[n(c).alias(name) for name, c in OTHERS.items()], F.lit(True).alias("__any"),
     )
     pg, kg = _pairs(det, "puck", "goal", diag), _pairs(det, "goalie", "goal", diag)
     x = frames.select("vid", "t").join(g, ["vid", "t"], "left")
     x = x.join(pg.withColumnRenamed("dist", "puck_goal_min"), ["vid", "t"], "left")
     x = x.join(kg.select("vid", "t", F.col("dist").alias("goalie_goal_min")), ["vid", "t"], "left")
-    zero = ["n_puck", "n_goal", "n_goalie", "n_player", "inside", "inside2"]
+    zero = ["n_puck", "n_goal", "n_goalie", "n_player", *OTHERS, "inside", "inside2"]
     x = x.na.fill(0, zero).na.fill(0.0, ["puck_conf_max", "puck_conf_mean", "goal_conf_max", "goalie_conf_max"])
     for c in ("puck_goal_min", "goalie_goal_min"):
         x = x.withColumn(c, F.when(F.col("__any").isNull(), F.lit(0.0)).otherwise(F.col(c)))

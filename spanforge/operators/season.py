@@ -108,17 +108,19 @@ def leaks(clips: DataFrame, by: Sequence[str] = ("season",), k: int = 5) -> Data
     )
     base = x.groupBy(*by).agg(F.count("*").alias("n_total"), F.sum("__g").alias("goals_total"))
     w = x.select(*by, "side", "__g", F.explode(rows).alias("r")).filter("r.weak").select(*by, "side", "__g", "r.dimension", "r.conf")
-    part = w.groupBy(*by, "dimension", "side").agg(F.count("*").alias("n"), F.sum("__g").alias("g"), F.sum("conf").alias("c"))
+    part = w.groupBy(*by, "dimension", "side").agg(F.count("*").alias("n"), F.sum("__g").alias("g"), F.sum("conf").alias("c"), F.sum(F.col("__g") * F.col("conf")).alias("gc"))
     both = F.array(F.lit("all"), F.when(F.col("side").isin("left", "right"), F.col("side")))
     part = part.withColumn("scope", F.explode(F.array_compact(both)))
-    cand = part.groupBy(*by, "dimension", "scope").agg(F.sum("n").alias("n_leak"), F.sum("g").alias("goals_leak"), F.sum("c").alias("__c"))
+    cand = part.groupBy(*by, "dimension", "scope").agg(F.sum("n").alias("n_leak"), F.sum("g").alias("goals_leak"), F.sum("c").alias("__c"), F.sum("gc").alias("__gc"))
     cand = cand.join(base, by)
     rate = F.col("goals_total") / F.col("n_total")
     cand = cand.withColumn("base_rate", rate).withColumn("leak_rate", F.col("goals_leak") / F.col("n_leak"))
+    # each clip counts by its confidence
+    cand = cand.withColumn("weighted_leak_rate", F.col("__gc") / F.col("__c"))
     cand = cand.withColumn("rr", F.col("leak_rate") / F.greatest("base_rate", F.lit(0.05))).withColumn("avg_conf", F.col("__c") / F.col("n_leak") / 5)
     cand = cand.withColumn("excess_goals", F.col("goals_leak") - F.col("n_leak") * F.col("base_rate"))
     cand = cand.withColumn("score", F.col("excess_goals") * F.log2("rr") * F.col("avg_conf")).withColumn("hint", F.col("avg_conf") < 0.5)
-    return cand.drop("__c")
+    return cand.drop("__c", "__gc")
 
 
 def promoted_leaks(cand: DataFrame, by: Sequence[str] = ("season",), k: int = 5, min_rr: float = 1.5) -> DataFrame:
@@ -201,6 +203,13 @@ def beaten_map(clips: DataFrame) -> DataFrame:
     )
 
 
+def zone_clips(clips: DataFrame, by: Sequence[str] = ("vid",)) -> DataFrame:
+    """The goal clips behind each zone, in time order within a scope."""
+    zone = F.when(F.col("beaten_location").isin(*ZONES), F.col("beaten_location")).otherwise("unknown")
+    x = clips.filter("goals > 0").select(*by, zone.alias("zone"), "clip_no", "start_s", "goals")
+    return x.withColumn("pos", F.row_number().over(W.partitionBy(*by, "zone").orderBy("start_s", "clip_no")))
+
+
 def zone_ranks(clips: DataFrame, rank: str = "depth_rank") -> DataFrame:
     """How a rank is distributed among the goals of each zone."""
     return clips.filter("goals > 0").groupBy(F.col("beaten_location").alias("zone"), F.col(rank).alias("rank")).agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..blocks import carry, cut, positions
 from ..functions.stats import f1, ratio
+from ..operators.identity import restrict_gt
 
 #: rows of a part when resampling
 PART = 16_384
@@ -62,10 +63,21 @@ def shot_summary(counts: DataFrame) -> DataFrame:
     )
 
 
-def evaluate_counts(win: DataFrame, shots: DataFrame) -> DataFrame:
-    """Per-game counts report: window totals and errors next to shot scores."""
+def event_totals(gt: DataFrame, tmap: DataFrame, meta: DataFrame) -> DataFrame:
+    """Shots and goals of each game; only the opponent's where the prediction was target-filtered.
+
+    ``meta`` has ``(vid, applied)``.  A game whose teams share a colour, or without a map, counts all events.
+    """
+    opponents = tmap.filter("is_opponent and not collision").select("vid", F.col("team").alias("opponent_team"))
+    x = restrict_gt(gt, opponents, meta)
+    return x.groupBy("vid").agg(F.count_if(F.col("action") == "Shots").alias("game_shots"), F.count_if(F.col("action") == "Goals").alias("game_goals"))
+
+
+def evaluate_counts(win: DataFrame, shots: DataFrame, totals: DataFrame, refined: DataFrame) -> DataFrame:
+    """Per-game counts report: window totals and errors, shot scores, game totals (``event_totals``) and refinement (``refine_summary``)."""
     w = metric_summary(win, ["vid"]).join(count_error(win, ["vid"]).drop("n"), "vid")
-    return w.join(shots.select("vid", "tp_strict", "tp_lenient", "fp", "fn", "fn_uncovered"), "vid", "left")
+    w = w.join(shots.select("vid", "tp_strict", "tp_lenient", "fp", "fn", "fn_uncovered"), "vid", "left").join(totals, "vid", "left")
+    return w.join(refined.select("vid", "n_refined", "orig_width_median", "refined_width_median", "median_shrinkage"), "vid", "left")
 
 
 def tick_prf(df: DataFrame, thr: float = 0.5, by: Sequence[str] = ("vid",)) -> DataFrame:

@@ -36,7 +36,8 @@ class Writer(DataSourceArrowWriter):
         self.job = uuid4().hex
 
     def _store(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
+        path = re.sub(r"^file:/*", "/", self.path)
+        return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
     def write(self, iterator) -> Written:
         store, base = self._store()

@@ -59,7 +59,7 @@ def write_predictions(df: DataFrame, path: str) -> None:
     if "t" in df.columns and "start_s" not in df.columns:
         df = df.withColumn("start_s", F.col("t")).withColumn("end_s", F.col("t"))
     team = ["team"] if "team" in df.columns else []
-    columns = [F.col("vid").alias("vID"), F.col("start_s"), F.col("end_s"), F.format_string("%.4f", "confidence"), *map(F.col, team)]
+    columns = [F.col("vid").alias("vID"), F.col("start_s"), F.col("end_s"), four_decimals(F.col("confidence")), *map(F.col, team)]
     write_documents(df, ["start_s", "end_s"], _line(",", *columns), path, "{vid}.csv", ",".join(["vID", "start_s", "end_s", "confidence", *team]) + "\n")
 
 
@@ -69,9 +69,24 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).option("sep", "\t").option("nullValue", "").option("emptyValue", "").csv(path)
 
 
+def four_decimals(p: Column) -> Column:
+    """A score between 0 and 1 with four decimals, rounded by its exact value, ties to the even digit.
+
+    ``format_string`` rounds the shortest decimal form half up, which goes wrong where a
+    five is the last digit.  The score is split in two parts whose products with 10,000
+    are exact, so the remainder over a half has the right sign.
+    """
+    high = F.floor(p * 2**26) / 2**26
+    y, z = high * 10_000, (p - high) * 10_000
+    n = F.floor(y)
+    over = (y - n - 0.5) + z
+    n = n + ((over > 0) | ((over == 0) & (n % 2 == 1))).cast("long")
+    return F.concat(F.floor(n / 10_000).cast("string"), F.lit("."), F.lpad((n % 10_000).cast("string"), 4, "0"))
+
+
 def prob_rows(df: DataFrame) -> DataFrame:
     """Series rows as written: four decimals and the ``p > 0.5`` flag."""
-    return df.select("vid", "t", F.format_string("%.4f", "p").alias("shot_max_conf"), (F.col("p") > 0.5).cast("int").alias("shot_n"), F.lit("0.0").alias("goal_max_conf"))
+    return df.select("vid", "t", four_decimals(F.col("p")).alias("shot_max_conf"), (F.col("p") > 0.5).cast("int").alias("shot_n"), F.lit("0.0").alias("goal_max_conf"))
 
 
 def write_probs(df: DataFrame, path: str, vids: DataFrame | None = None) -> None:

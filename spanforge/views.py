@@ -105,7 +105,8 @@ def det(spark, sf):
         "l_suppkey % 10 as vid",
         "cast(l_orderkey as int) as t",
         "l_linenumber * 10000000L + l_partkey as box_no",
-        "case l_linenumber % 4 when 0 then 'puck' when 1 then 'goal' when 2 then 'goalie' else 'player' end as cls",
+        "case l_linenumber % 4 when 0 then 'puck' when 1 then 'goal' when 2 then 'goalie' else "
+        "if(l_linenumber = 7, element_at(array('centriod', 'faceoff', 'referee', 'player'), cast(l_partkey % 4 + 1 as int)), 'player') end as cls",
         "l_discount * 10 as conf",
         "l_quantity * 10 as x1",
         "l_tax * 1000 as y1",
@@ -259,7 +260,8 @@ SQL_VIEWS = {
   SELECT DISTINCT vid, CAST(t + 0.5 AS double) AS t FROM ev WHERE event_type = 'signup' AND value > 20""",
     "det": """
   SELECT l_suppkey % 10 AS vid, CAST(l_orderkey AS int) AS t, l_linenumber::bigint * 10000000 + l_partkey AS box_no,
-         CASE l_linenumber % 4 WHEN 0 THEN 'puck' WHEN 1 THEN 'goal' WHEN 2 THEN 'goalie' ELSE 'player' END AS cls,
+         CASE l_linenumber % 4 WHEN 0 THEN 'puck' WHEN 1 THEN 'goal' WHEN 2 THEN 'goalie'
+           ELSE CASE WHEN l_linenumber = 7 THEN (['centriod', 'faceoff', 'referee', 'player'])[l_partkey % 4 + 1] ELSE 'player' END END AS cls,
          l_discount * 10 AS conf, l_quantity * 10 AS x1, l_tax * 1000 AS y1,
          l_quantity * 10 + 20 + l_linenumber AS x2, l_tax * 1000 + 30 AS y2 FROM lineitem""",
     "calls": """
