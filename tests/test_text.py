@@ -51,6 +51,24 @@ def test_summary_levels(spark):
     assert all(x == (L.SUMMARY_FAILED, "N/A") for x in out[4:])
 
 
+def test_summary_replies(spark):
+    replies = [
+        ('{"coaches_summary": "Good performance.", "coaches_overall_rating": "75%"}', "Good performance.", "75%"),
+        ('```json\n{"coaches_summary": "Good.", "coaches_overall_rating": "75%"}\n```', "Good.", "75%"),
+        ('{\n  "coaches_overall_rating": "78%",\n  "coaches_summary": "Good baseline depth, recurring issue', "Good baseline depth, recurring issue", "78%"),
+        ('{\n  "coaches_overall_rating": "78%",\n  "coaches_summary": "Good baseline depth.",\nGARBAGE', "Good baseline depth.", "78%"),
+        ('{"coaches_summary": "Line one.\\nLine two with \\"quotes\\".", "coaches_overall_rating": "70%"}', 'Line one.\nLine two with "quotes".', "70%"),
+        ('{"coaches_summary": "cut in an escape \\u00', "cut in an escape \\u00", "N/A"),
+        ('{"coaches_summary": "done", "coaches_overall_rating": "7', "done", "N/A"),
+        ('{"coaches_overall_rating": "70%"}', "", "70%"),
+        ('{"coaches_overall_rating": "70%", "coa', L.SUMMARY_FAILED, "N/A"),
+        ("this is not JSON at all", L.SUMMARY_FAILED, "N/A"), ("", L.SUMMARY_FAILED, "N/A"), (None, L.SUMMARY_FAILED, "N/A"),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(replies)], "i int, c string")
+    s, r = L.parse_summary(F.col("c"))
+    assert [(x.s, x.r) for x in df.select("i", s.alias("s"), r.alias("r")).orderBy("i").collect()] == [r[1:] for r in replies]
+
+
 def test_generic_detail(spark):
     got = run(spark, ["I believe it went in off the post", "short text here", "Number 17 beats him high glove side"], L.is_generic)
     assert got == [True, True, False]
