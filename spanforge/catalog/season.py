@@ -176,24 +176,46 @@ w AS (SELECT DISTINCT vid, season, CAST(0 AS bigint) AS rn, CAST([] AS struct(g
 SELECT q.vid, q.season, q.clip_no, q.kind, q.start_s, q.score, CAST(row_number() OVER (PARTITION BY q.vid, q.season ORDER BY CASE q.kind WHEN 'elite_save' THEN 0 WHEN 'goal' THEN 1 ELSE 2 END, q.score DESC, q.clip_no) AS int) AS pos
 FROM w JOIN q USING (vid, season, clip_no)"""))(lambda s, d: S.agenda(scored(s, d)))
 
+SQL_WEEK = SQL_INS + """,
+i2 AS (SELECT * REPLACE (round(score, 6) AS score), game::varchar AS grp FROM ins),
+c0 AS (SELECT *, row_number() OVER (PARTITION BY season, grp, kind ORDER BY score DESC, clip_no) AS g FROM i2),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY season, kind ORDER BY score DESC, clip_no) AS r FROM c0 WHERE g <= 1),
+tn AS (SELECT 1 AS p, * FROM c1 WHERE kind = 'goal' AND r <= 6 UNION ALL SELECT 2, * FROM c1 WHERE kind = 'elite_save' AND r <= 6 UNION ALL SELECT 3, * FROM c1 WHERE r <= 6),
+tq AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY p, score DESC, clip_no) AS rn FROM tn),
+pk AS (SELECT DISTINCT season, CAST(0 AS bigint) AS rn, CAST([] AS struct(c bigint, g varchar, k varchar)[]) AS st FROM tq
+  UNION ALL SELECT pk.season, q.rn, CASE WHEN len(st) < 3 AND (q.p = 3 OR len(list_filter(st, lambda s: s.k = q.kind)) < 2) AND len(list_filter(st, lambda s: s.g = q.grp)) < 1 AND len(list_filter(st, lambda s: s.c = q.clip_no)) = 0
+    THEN list_append(st, {'c': q.clip_no, 'g': q.grp, 'k': q.kind}) ELSE st END FROM pk JOIN tq q ON q.season = pk.season AND q.rn = pk.rn + 1),
+fp AS (SELECT season, unnest(arg_max(st, rn)) AS u FROM pk GROUP BY season),
+px AS (SELECT c.* FROM fp JOIN c1 c ON c.clip_no = fp.u.c AND c.season = fp.season),
+pr AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY score, clip_no DESC) AS low, count(*) OVER (PARTITION BY season) AS n, min(kind) OVER (PARTITION BY season) AS k0, max(kind) OVER (PARTITION BY season) AS k1 FROM px),
+ot AS (SELECT c.*, row_number() OVER (PARTITION BY c.season ORDER BY c.score DESC, c.clip_no) AS o FROM c1 c JOIN (SELECT DISTINCT season, k0 FROM pr WHERE k0 = k1 AND k0 <> 'other' AND n > 1) a ON a.season = c.season
+  AND c.kind = CASE a.k0 WHEN 'goal' THEN 'elite_save' ELSE 'goal' END AND c.r <= 6 AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.season = c.season AND pr.low > 1 AND pr.grp = c.grp)),
+fin AS (SELECT season, clip_no, kind, start_s, score FROM pr WHERE low > 1 OR season NOT IN (SELECT season FROM ot) UNION ALL SELECT season, clip_no, kind, start_s, score FROM ot WHERE o = 1)
+SELECT *, CAST(row_number() OVER (PARTITION BY season ORDER BY CASE kind WHEN 'elite_save' THEN 0 WHEN 'goal' THEN 1 ELSE 2 END, score DESC, clip_no) AS int) AS pos FROM fin"""
+query("sea7_pooled_agenda", sql("clips", SQL_WEEK))(lambda s, d: S.agenda(scored(s, d), 3, by=("season",), per_game=1))
+
 SQL_REEL = """
-bt AS (SELECT vid, season, game, start_s, arg_max(clip_no, {{'s': score, 'c': -clip_no}}) AS clip_no, arg_max(end_s, {{'s': score, 'c': -clip_no}}) AS end_s, max(score) AS score FROM rl GROUP BY 1, 2, 3, 4),
+bt AS (SELECT vid, season, game, start_s, arg_max(clip_no, {{'s': score, 'c': -clip_no}}) AS clip_no, arg_max(end_s, {{'s': score, 'c': -clip_no}}) AS end_s, max(score) AS score, arg_max(beaten_location, {{'s': score, 'c': -clip_no}}) AS spot FROM rl GROUP BY 1, 2, 3, 4),
 q AS (SELECT *, row_number() OVER (PARTITION BY vid, season, game ORDER BY score DESC, clip_no) AS rn FROM bt),
 w AS (SELECT DISTINCT vid, season, game, CAST(0 AS bigint) AS rn, CAST([] AS int[]) AS st, CAST(NULL AS bigint) AS clip_no FROM q
   UNION ALL SELECT w.vid, w.season, w.game, q.rn, CASE WHEN len(list_filter(w.st, lambda s: abs(s - q.start_s) <= 2)) > 0 THEN w.st ELSE list_append(w.st, q.start_s) END,
     CASE WHEN len(list_filter(w.st, lambda s: abs(s - q.start_s) <= 2)) > 0 THEN NULL ELSE q.clip_no END FROM w JOIN q ON q.vid = w.vid AND q.season = w.season AND q.game = w.game AND q.rn = w.rn + 1),
 kp AS (SELECT q.*, row_number() OVER (PARTITION BY q.vid, q.season, q.game ORDER BY q.rn) AS gr FROM w JOIN q USING (vid, season, game, clip_no)),
-rk AS (SELECT vid, season, game, clip_no, start_s, end_s - start_s AS len, score, row_number() OVER (PARTITION BY vid, season ORDER BY score DESC, clip_no) AS rank FROM kp WHERE gr <= {pg}),
+rk AS (SELECT vid, season, game, clip_no, start_s, end_s - start_s AS len, score, spot, row_number() OVER (PARTITION BY vid, season ORDER BY turn, score DESC, clip_no) AS rank
+  FROM (SELECT *, {turn} AS turn FROM kp WHERE gr <= {pg})),
 tt AS (SELECT *, sum(len) OVER (PARTITION BY vid, season ORDER BY rank) AS total_len FROM rk WHERE rank <= {cap})
-SELECT vid, season, game, clip_no, start_s, len, round(score, 6) AS score, CAST(rank AS int) AS rank, CAST(total_len AS bigint) AS total_len FROM tt WHERE total_len <= {ml} OR rank = 1"""
+SELECT vid, season, game, clip_no, start_s, len, round(score, 6) AS score, CAST(rank AS int) AS rank, CAST(total_len AS bigint) AS total_len,
+  CAST(row_number() OVER (PARTITION BY vid, season ORDER BY start_s, clip_no) AS int) AS shown{spot} FROM tt WHERE total_len <= {ml} OR rank = 1"""
 SQL_SAVES = f"""
 rl AS (SELECT *, 0.4::double * least(saves, 3) / 3 + 0.25::double * coalesce(({QA} + {QS}) / 2 / 3, 0) + 0.2::double * (position_confidence / 5::double) + 0.15::double * (coaching_confidence / 5::double) AS score
   FROM clips WHERE saves > 0 AND goals = 0 AND position_confidence >= 2),"""
 D3 = "CASE depth_rank WHEN 'Base (B)' THEN 0.0::double WHEN 'Aggressive (A)' THEN 1.0 WHEN 'Conservative (C)' THEN 2.0 ELSE 3.0 END"
 SQL_GOALS = f"""
 rl AS (SELECT *, 0.5::double * (1 - coalesce({REBO}, 1.5) / 3) + 0.3::double * (({D3} + (3 - {QA}) + (3 - {QS})) / 9) + 0.2::double * (least(coalesce(position_confidence, 3), coaching_confidence) / 5::double) AS score FROM clips WHERE goals > 0),"""
-query("sea12_saves_reel", sql("clips", SQL_SAVES + SQL_REEL.format(pg=3, cap=8, ml=90)))(lambda s, d: r6(S.reel(C(s, d), "saves"), "score"))
-query("sea12_goals_reel", sql("clips", SQL_GOALS + SQL_REEL.format(pg=10, cap=10, ml=180)))(lambda s, d: r6(S.reel(C(s, d), "goals"), "score"))
+query("sea12_saves_reel", sql("clips", SQL_SAVES + SQL_REEL.format(pg=3, cap=8, ml=90, turn="1", spot="")))(lambda s, d: r6(S.reel(C(s, d), "saves"), "score"))
+query("sea12_goals_reel", sql("clips", SQL_GOALS + SQL_REEL.format(pg=10, cap=10, ml=180, turn="1", spot="")))(lambda s, d: r6(S.reel(C(s, d), "goals"), "score"))
+TURN = "row_number() OVER (PARTITION BY vid, season, spot ORDER BY score DESC, clip_no)"
+query("sea12_goals_reel_spread", sql("clips", SQL_GOALS + SQL_REEL.format(pg=10, cap=10, ml=180, turn=TURN, spot=", spot")))(lambda s, d: r6(S.reel(C(s, d), "goals", spread="beaten_location"), "score"))
 
 # -- report card ----------------------------------------------------------------------------
 _G = {

@@ -323,26 +323,46 @@ def _spread(ordered: Column, item: str, gap: int, limit: Column | None = None) -
     )
 
 
-def agenda(scored: DataFrame, n: int = 5, by: Sequence[str] = ("vid", "season"), gap: int = 2, game: str = "game") -> DataFrame:
+def agenda(scored: DataFrame, n: int = 5, by: Sequence[str] = ("vid", "season"), gap: int = 2, game: str = "game", per_game: int | None = None) -> DataFrame:
     """Up to ``n`` clips per scope: two goals, two elite saves, then by score.
 
-    Clips of one ``game`` that start within ``gap`` show the same play; the better is kept.
+    A pool of several games may give at most ``per_game`` clips a game.  If all picks are
+    goals, or all elite saves, and the other kind is there, the lowest gives way to
+    the best of that kind.  Clips of one ``game`` that start within ``gap`` show the same
+    play; the better is kept.
 
-    Only the best ``n`` of each kind can be picked, so each scope is cut to
-    those before its few candidates are gathered.
+    Only few clips of each kind can be picked, so each scope is cut to those before
+    its candidates are gathered: the best ``per_game`` of a game and kind, and of
+    these ``n`` for each pick and game a pick may close.
     """
-    by = list(by)
+    by, cap = list(by), per_game or n
+    if per_game:
+        w0 = W.partitionBy(*by, game, "kind").orderBy(F.desc("score"), "clip_no")
+        scored = scored.withColumn("__g", F.row_number().over(w0)).filter(F.col("__g") <= cap).drop("__g")
     w = W.partitionBy(*by, "kind").orderBy(F.desc("score"), "clip_no")
-    top = scored.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n)
-    first = (F.col("kind") != "other") & (F.col("__r") <= 2)
-    w2 = W.partitionBy(*by).orderBy(F.desc("__first"), F.desc("score"), "clip_no")
-    picks = top.withColumn("__first", first.cast("int")).withColumn("__p", F.row_number().over(w2)).filter(F.col("__p") <= n)
+    top = scored.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= (n * (1 + cap) if per_game else n))
     item = F.struct(
         (-F.col("score")).alias("neg"), F.col("clip_no").alias("clip_no"), F.col(game).cast("string").alias("grp"), F.col("start_s").alias("start_s"), F.col("kind").alias("kind")
     )
-    g = picks.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("__l"))
     ty = "struct<neg:double,clip_no:bigint,grp:string,start_s:int,kind:string>"
-    kept = g.select(*by, F.explode(_spread(F.col("__l"), ty, gap)).alias("k"))
+    g = top.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("__l"))
+    of = lambda kind: F.filter("__l", lambda x: x["kind"] == kind)
+    phase = lambda items, k: F.transform(items, lambda x: F.struct(F.lit(k).alias("p"), x.alias("x")))
+    turns = F.concat(phase(of("goal"), 1), phase(of("elite_save"), 2), phase(F.col("__l"), 3))
+    room = lambda acc, x: F.size(F.filter(acc, lambda y: y["grp"] == x["grp"])) < cap
+
+    def pick(acc, turn):
+        x = turn["x"]
+        few = (turn["p"] == 3) | (F.size(F.filter(acc, lambda y: y["kind"] == x["kind"])) < 2)
+        ok = (F.size(acc) < n) & few & room(acc, x) & ~F.exists(acc, lambda y: y["clip_no"] == x["clip_no"])
+        return F.when(ok, F.array_append(acc, x)).otherwise(acc)
+
+    g = g.withColumn("__p", F.array_sort(F.aggregate(turns, F.expr(f"cast(array() as array<{ty}>)"), pick)))
+    rest = F.slice("__p", 1, F.greatest(F.size("__p") - 1, F.lit(0)))
+    other = F.when(F.forall("__p", lambda x: x["kind"] == "goal"), of("elite_save")).when(F.forall("__p", lambda x: x["kind"] == "elite_save"), of("goal"))
+    swap = F.get(F.filter(other, lambda x: F.size(F.filter(rest, lambda y: y["grp"] == x["grp"])) < cap), F.lit(0))
+    g = g.withColumn("__p", F.when((F.size("__p") > 1) & swap.isNotNull(), F.array_sort(F.array_append(rest, swap))).otherwise(F.col("__p")))
+    kept = g.select(*by, F.explode(_spread(F.col("__p"), ty, gap)).alias("k"))
     order = F.when(F.col("kind") == "elite_save", 0).when(F.col("kind") == "goal", 1).otherwise(2)
     x = kept.select(*by, "k.clip_no", "k.kind", "k.start_s", (-F.col("k.neg")).alias("score"))
     return x.withColumn("pos", F.row_number().over(W.partitionBy(*by).orderBy(order, F.desc("score"), "clip_no")))
@@ -350,7 +370,7 @@ def agenda(scored: DataFrame, n: int = 5, by: Sequence[str] = ("vid", "season"),
 
 def reel(
     clips: DataFrame, kind: str = "saves", by: Sequence[str] = ("vid", "season"), game: str = "game", gap: int = 2,
-    cap: int | None = None, per_game: int | None = None, max_len: float | None = None,
+    cap: int | None = None, per_game: int | None = None, max_len: float | None = None, spread: str | None = None,
 ) -> DataFrame:
     """Highlight reel: scored, spread over games, short enough.
 
@@ -373,21 +393,26 @@ def reel(
         pos = (scale("depth_rank", DEPTH_BEST) + (3 - scale("cover_angle_rank", QUALITY)) + (3 - scale("squareness_rank", QUALITY))) / 9
         score = 0.5 * rb + 0.3 * F.coalesce(pos, F.lit(0.5)) + 0.2 * (F.least(_conf("position_confidence"), _conf("coaching_confidence")) / 5)
         cap, per_game, max_len = cap or 10, per_game or 10, max_len or 180.0
-    x = x.withColumn("score", score)
+    x = x.withColumn("score", score).withColumn("spot", F.col(spread).cast("string") if spread else F.lit(None).cast("string"))
     item = F.struct(
-        (-F.col("score")).alias("neg"), F.col("clip_no"), F.lit(0).alias("grp"), F.col("start_s"), (F.col("end_s") - F.col("start_s")).alias("len")
+        (-F.col("score")).alias("neg"), F.col("clip_no"), F.lit(0).alias("grp"), F.col("start_s"), (F.col("end_s") - F.col("start_s")).alias("len"), F.col("spot")
     )
-    ty = "struct<neg:double,clip_no:bigint,grp:int,start_s:int,len:int>"
+    ty = "struct<neg:double,clip_no:bigint,grp:int,start_s:int,len:int,spot:string>"
     # per game: the dedupe works on start seconds, so one clip per second is enough
-    best = x.groupBy(*by, game, "start_s").agg(F.max_by(F.struct("clip_no", "end_s", "score"), F.struct("score", -F.col("clip_no"))).alias("b"))
+    best = x.groupBy(*by, game, "start_s").agg(F.max_by(F.struct("clip_no", "end_s", "score", "spot"), F.struct("score", -F.col("clip_no"))).alias("b"))
     best = best.select(*by, game, "start_s", "b.*")
     g = best.groupBy(*by, game).agg(F.array_sort(F.collect_list(item)).alias("__l"))
     kept = g.select(*by, game, F.explode(F.slice(_spread(F.col("__l"), ty, gap), 1, per_game)).alias("k"))
-    kept = kept.select(*by, game, "k.clip_no", "k.start_s", "k.len", (-F.col("k.neg")).alias("score"))
-    r = W.partitionBy(*by).orderBy(F.desc("score"), "clip_no")
+    kept = kept.select(*by, game, "k.clip_no", "k.start_s", "k.len", "k.spot", (-F.col("k.neg")).alias("score"))
+    # the best clip of each spot comes first, then the second of each, and so on
+    kept = kept.withColumn("__turn", F.row_number().over(W.partitionBy(*by, "spot").orderBy(F.desc("score"), "clip_no")) if spread else F.lit(1))
+    r = W.partitionBy(*by).orderBy("__turn", F.desc("score"), "clip_no")
     top = kept.withColumn("rank", F.row_number().over(r)).filter(F.col("rank") <= cap)
     total = F.sum("len").over(r.rowsBetween(W.unboundedPreceding, 0))
-    return top.withColumn("total_len", total).filter((F.col("total_len") <= max_len) | (F.col("rank") == 1))
+    out = top.withColumn("total_len", total).filter((F.col("total_len") <= max_len) | (F.col("rank") == 1)).drop("__turn")
+    # a single game is reviewed as it unfolded
+    out = out.withColumn("shown", F.row_number().over(W.partitionBy(*by).orderBy("start_s", "clip_no")))
+    return out if spread else out.drop("spot")
 
 
 # -- report card -------------------------------------------------------------------
