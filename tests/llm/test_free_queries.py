@@ -256,14 +256,52 @@ def test_pipeline(spark, corpus):
     clean = [r for r in rows if not any(b in (r[1] or "") for b in ("vilefool", "dirtbrain", "rotface"))]
     assert collections.Counter(map(tuple, kept.collect())) == collections.Counter(clean)
     once = p.without_near_duplicates(spark, docs, folder)
-    want = {g[0] for g in groups(rows) if g[0] == g[2] and g[0] is not None}
-    assert once.columns == docs.columns and collections.Counter(r.doc_id for r in once.collect()) == collections.Counter(want) + collections.Counter({None: 2})
+    best = {}
+    for k, (_, _, c) in enumerate(groups([(k, *r[1:]) for k, r in enumerate(rows)])):
+        best[c] = min(best.get(c, k), k, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    assert once.columns == docs.columns and collections.Counter(map(tuple, once.collect())) == collections.Counter(rows[k] for k in best.values())
     free = p.without_benchmark(spark, docs, folder)
     assert free.columns == docs.columns and docs.count() - free.count() == 60
-    assert p.mixed(spark, docs, folder).columns == docs.columns
+    # the mix takes what the SQL-checked query says; whole documents as often as they fit
+    mix = p.mixed(spark, docs, folder)
+    taken = collections.Counter()
+    for r in entry.queries()["op1_mix_sources"](spark, folder).collect():
+        taken[r.doc_id] += r.copies
+    assert mix.columns == docs.columns and collections.Counter(r.doc_id for r in mix.collect()) == +taken
+    # the last stage cuts each document into records of its own tokens, in some order of all slots
+    vocab = token_shards.vocabulary()
+    pieces, want = token_shards.Pieces(*vocab), collections.Counter()
+    for r in rows:
+        if r[1]:
+            ids = [*np.frombuffer(pieces.raw(r[1]), pieces.kind).tolist(), pieces.end]
+            ids += [pieces.end] * (-len(ids) % token_shards.SEQUENCE)
+            want.update((r[0], k // token_shards.SEQUENCE, tuple(ids[k : k + token_shards.SEQUENCE])) for k in range(0, len(ids), token_shards.SEQUENCE))
+    out = p.token_records(spark, docs, folder).collect()
+    assert collections.Counter((r.doc_id, r.part, tuple(np.frombuffer(r.tokens, pieces.kind).tolist())) for r in out) == want
+    assert sorted(r.slot for r in out) == list(range(len(out)))
     assert p.run(spark, none).count() == 0
-    out = p.run(spark, folder).select("slot", F.sha2("tokens", 256).alias("s")).collect()
-    assert sorted(r.slot for r in out) == list(range(len(out))) and len(hashlib.sha256().hexdigest()) == len(out[0].s)
+    out = p.run(spark, folder).select("slot").collect()
+    assert sorted(r.slot for r in out) == list(range(len(out)))
+
+
+def test_slots_follow_the_keyed_permutation(spark):
+    """One partition: sequences are numbered in order, and each lies at the image of its number."""
+
+    def image(x, n, key):
+        half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+        while True:
+            a, b = x >> half, x & (1 << half) - 1
+            for r in range(token_shards.ROUNDS):
+                m = (b + key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) * 0xBF58476D1CE4E5B9 % 2**64
+                m = (m ^ m >> 29) * 0x94D049BB133111EB % 2**64
+                a, b = b, a ^ (m >> 31 & (1 << half) - 1)
+            x = a << half | b
+            if x < n:
+                return x
+
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(300)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.slot for r in token_shards.training_order(docs, length=8, shard=50, key=7).collect()}
+    assert got == {k: image(k, 300, 7) for k in range(300)}
 
 
 def test_pipeline_decides_near_duplicates_by_row(spark, corpus):

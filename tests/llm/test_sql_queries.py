@@ -9,7 +9,7 @@ from pyspark.sql import functions as F, types as T
 
 import __spark_entry__ as entry
 
-NAMES = ["op1_mix_sources", "op4_decontaminate", "op5_quality_rules", "op8_url_filter", "op10_chat_format"]
+NAMES = ["op1_mix_sources", "op4_decontaminate", "op5_quality_rules", "op8_url_filter", "op10_chat_format", "op11_prefix_trie"]
 SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long, row string, size int, bucket int, id long, n_words int, stratum string",
     "benchmark": "item_id long, text string, row int",
