@@ -105,14 +105,14 @@ def derived_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Every assistant turn is taken as a call prompted by the text of its own turn and
     every user turn as the result of the call of the turn before it.  A call builds on
-    that of two turns earlier.  Tool and arguments follow from the text, so that some
+    that of two turns earlier.  Tool and arguments follow from the whole text, so that some
     calls lack an argument, have one of a wrong type or one too many.
     """
     name = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
     n, k = F.coalesce(F.length("text"), F.lit(0)), F.pmod(F.coalesce(F.length("text"), F.lit(0)), F.lit(3))
-    start = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z ]", ""), 1, 24)
-    search = F.when(n % 5 == 0, F.to_json(F.struct(n.alias("limit")))).otherwise(F.to_json(F.struct(n.alias("limit"), start.alias("query"))))
-    translate = F.when(n % 7 == 0, F.to_json(F.struct(F.lit("yes").alias("strict"), F.lit("en").alias("target"), start.alias("text")))).otherwise(F.to_json(F.struct((n % 2 == 0).alias("strict"), F.lit("en").alias("target"), start.alias("text"))))
+    whole = F.coalesce("text", F.lit(""))
+    search = F.when(n % 5 == 0, F.to_json(F.struct(n.alias("limit")))).otherwise(F.to_json(F.struct(n.alias("limit"), whole.alias("query"))))
+    translate = F.when(n % 7 == 0, F.to_json(F.struct(F.lit("yes").alias("strict"), F.lit("en").alias("target"), whole.alias("text")))).otherwise(F.to_json(F.struct((n % 2 == 0).alias("strict"), F.lit("en").alias("target"), whole.alias("text"))))
     measure = F.when(n % 11 == 0, F.to_json(F.struct(n.alias("depth"), (n / F.lit(2.0)).alias("scale"), n.alias("words")))).when(n % 13 == 0, F.lit("[]")).otherwise(F.to_json(F.struct(n.alias("words"))))
     a = turns.where("role = 'assistant'")
     calls = a.select(F.col("conv_id").alias("conv"), "turn", name(F.col("turn")).alias("call"), F.when(F.col("turn") >= 3, name(F.col("turn") - 2)).alias("parent"),
@@ -130,13 +130,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("conv").alias("conv_id"), "depth", "turn", "kind", F.col("call").alias("call_id"), "status", F.concat_ws(";", "errors").alias("errors"), "json")
 
 
-_START = "substr(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'), 1, 24)"
 SQL = f"""
-with recursive t as (select *, coalesce(length(text), 0) as n, {_START} as s from conversations),
+with recursive t as (select *, coalesce(length(text), 0) as n, to_json(coalesce(text, ''))::varchar as s from conversations),
 c as (select conv_id, turn, 'call-' || conv_id || '-' || turn as call, case when turn >= 3 then 'call-' || conv_id || '-' || (turn - 2) end as parent, n, s, n % 3 as k from t where role = 'assistant'),
 a as (select *, case k when 0 then 'search' when 1 then 'translate' else 'measure' end as tool,
-  case when k = 0 then '{{"limit":' || n || case when n % 5 = 0 then '' else ',"query":"' || s || '"' end || '}}'
-    when k = 1 then '{{"strict":' || case when n % 7 = 0 then '"yes"' when n % 2 = 0 then 'true' else 'false' end || ',"target":"en","text":"' || s || '"}}'
+  case when k = 0 then '{{"limit":' || n || case when n % 5 = 0 then '' else ',"query":' || s end || '}}'
+    when k = 1 then '{{"strict":' || case when n % 7 = 0 then '"yes"' when n % 2 = 0 then 'true' else 'false' end || ',"target":"en","text":' || s || '}}'
     when n % 11 = 0 then '{{"depth":' || n || ',"scale":' || (n // 2) || case when n % 2 = 0 then '' else '.5' end || ',"words":' || n || '}}'
     when n % 13 = 0 then '[]' else '{{"words":' || n || '}}' end as arguments,
   case when k = 0 and n % 5 = 0 then 'query: missing' when k = 1 and n % 7 = 0 then 'strict: wrong type' when k = 2 and n % 11 = 0 then 'depth: unexpected' when k = 2 and n % 13 = 0 then 'arguments: no object' else '' end as errors from c),
