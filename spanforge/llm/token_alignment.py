@@ -1,8 +1,9 @@
 """Alignment of two tokenizers' token ids over the same bytes.
 
 Each text is tokenised in full by A (byte-level BPE, over a space and the text) and by B
-(SentencePiece, which adds that space).  The joined token bytes of both are verified
-against the text.  Byte offsets where tokens of both end are *shared ends*; those whose
+(SentencePiece, which adds that space).  Both treat the parts between single blanks apart, so
+what is known of a part is not worked out again.  The joined token bytes of both are
+verified against the text.  Byte offsets where tokens of both end are *shared ends*; those whose
 next tokens both start with a space are anchors and cut the text into windows of token
 ids.  A window's alignment depends on its ids only, so it is kept in a table by the two
 id tuples and looked up the next time: most windows are words seen before.  Windows of
@@ -15,7 +16,7 @@ counts; these are summed over the corpus, and each block gets the sums of its ow
 back.  No pair is ever joined document by document, so a pair that all documents hold
 has one row a block.
 
-Bounds: the tokenizer files (broadcast, their sizes are fixed), ``MEMO`` windows a worker,
+Bounds: the tokenizer files (broadcast, their sizes are fixed), ``MEMO`` windows a worker (checked between blocks),
 one block a task (a long text is a block of its own).
 
 Defined results: null and empty texts, and texts whose token bytes differ from the text
@@ -27,6 +28,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,12 @@ from .common import read, written
 BLOCK = 8 << 20
 #: bytes of text tokenised at once
 SLICE = 1 << 20
-MEMO = 150_000
+#: windows kept by a worker, with the parts they come from
+MEMO = 350_000
 MEMO_TOKENS = 32
+#: characters of a part whose ids are kept
+PIECE = 64
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 _LOADED: dict = {}
 
@@ -71,18 +79,74 @@ class Pair:
             self.bytes_a[k] = bytes(symbol[c] for c in piece) if all(c in symbol for c in piece) else piece.encode()
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
-        self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        sizes = [[len(x) for x in t] for t in (self.bytes_a, self.bytes_b)]
+        self.size_a, self.size_b = (np.array(x, np.int64) for x in sizes)
         self.space_a, self.space_b = (np.array([x.startswith(b" ") for x in t]) for t in (self.bytes_a, self.bytes_b))
-        self.windows = Windows(self)
+        self.windows = Windows(*sizes)
+        self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
+        #: tokens of A, of B, and window numbers of a part
+        self.known: dict[str, tuple[int, int, list[int]] | None] = {}
+
+    def read(self, texts: list[str]) -> list[tuple[int, int, list[int]] | None]:
+        """Tokens of A, of B, and window numbers of each text; None where the token bytes differ from the text."""
+        split = [self.pieces(t) for t in texts]
+        known = self.known
+        new = [p for p in set().union(*split) if p not in known]
+        self.together([p for p in new if not (p[0].isspace() or p[-1].isspace())])
+        self.alone([p for p in new if p not in known])
+        out: list[tuple[int, int, list[int]] | None] = []
+        for parts in split:
+            got = [known[p] for p in parts]
+            out.append(None if None in got else (sum([x[0] for x in got]), sum([x[1] for x in got]), list(chain.from_iterable([x[2] for x in got]))))
+        for p in new:
+            if len(p) > PIECE:
+                del known[p]
+        return out
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in a], self.b.encode(texts, num_threads=1)
+    def clear(self) -> None:
+        self.known.clear()
+        self.windows.clear()
+
+    def together(self, parts: list[str]) -> None:
+        """Learn parts that are encoded as one text and cut at their ends; none if the bytes differ from that text or do not end there."""
+        if not self.apart or len(parts) < 2:
+            return
+        text = " ".join(parts)
+        a, b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+        if not self.verified(a, b, text):
+            return
+        x, y, ends = np.array(a, np.int32), np.array(b, np.int32), np.cumsum([1 + len(p.encode()) for p in parts])
+        reach = [np.cumsum(size[ids]) for size, ids in ((self.size_a, x), (self.size_b, y))]
+        at_a, at_b = (np.searchsorted(r, ends) for r in reach)
+        if (reach[0][at_a] != ends).any() or (reach[1][at_b] != ends).any():
+            return
+        cuts = self.split(x, y)
+        numbers = self.numbers(x, y, *cuts)
+        last = np.searchsorted(cuts[0], at_a + 1) + 1
+        for p, n_a, n_b, i, j in zip(parts, np.diff(at_a, prepend=-1).tolist(), np.diff(at_b, prepend=-1).tolist(), [0, *last.tolist()], last.tolist(), strict=False):
+            self.known[p] = n_a, n_b, numbers[i:j]
+
+    def alone(self, parts: list[str]) -> None:
+        """Learn parts that are encoded one by one; None where the bytes differ."""
+        for p, a, b in zip(parts, self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False), self.b.encode(parts, num_threads=1), strict=True):
+            if self.verified(a.ids, b, p):
+                x, y = np.array(a.ids, np.int32), np.array(b, np.int32)
+                self.known[p] = len(x), len(y), self.numbers(x, y, *self.split(x, y))
+            else:
+                self.known[p] = None
 
     def verified(self, a: list[int], b: list[int], text: str) -> bool:
         want = (" " + text).encode()
         return b"".join(map(self.bytes_a.__getitem__, a)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want
 
+    def pieces(self, text: str) -> list[str]:
+        """Parts between single blanks, which both tokenizers treat apart.
+
+        A starts a new word at a blank between two other characters.  B merges pieces of its
+        vocabulary only, and none of them goes on over a blank (else the text stays whole).
+        """
+        return BETWEEN.split(text) if self.apart else [text]
+
     def split(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token positions (in A, in B) after which a window ends."""
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
@@ -93,65 +157,86 @@ class Pair:
         anchor = last | (self.space_a[a[np.minimum(shared + 1, len(a) - 1)]] & self.space_b[b[np.minimum(at + 1, len(b) - 1)]])
         return shared[anchor] + 1, at[anchor] + 1
 
-    def align(self, a: list[int], b: list[int]) -> tuple[str, int, list[tuple[int, int]]]:
-        """Groups as text, their number, and the links of one window."""
-        groups, links = [], []
-        i = j = i0 = j0 = 0
-        end_a, end_b = len(self.bytes_a[a[0]]), len(self.bytes_b[b[0]])
-        while True:
-            links.append((a[i], b[j]))
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[i0:i + 1]))}|{','.join(map(str, b[j0:j + 1]))}")
-                i0, j0 = i + 1, j + 1
-                if i0 == len(a):
-                    return ";".join(groups), len(groups), links
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a:
-                i += 1
-                end_a += len(self.bytes_a[a[i]])
-            if step_b:
-                j += 1
-                end_b += len(self.bytes_b[b[j]])
+    def numbers(self, x: np.ndarray, y: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> list[int]:
+        """Numbers of the windows that end at these token positions, aligning those that are new."""
+        memo, out, a, b = self.windows, [], x.tolist(), y.tolist()
+        ha, hb = x.tobytes(), y.tobytes()
+        i = k = 0
+        for j, m in zip(ends_a.tolist(), ends_b.tolist(), strict=True):
+            key = (ha[4 * i : 4 * j], hb[4 * k : 4 * m])
+            number = memo.get(key)
+            if number is None:
+                number = memo.add(a[i:j], b[k:m], key)
+            out.append(number)
+            i, k = j, m
+        return out
 
 
 class Windows(dict):
     """Number of each aligned window by its two id tuples (as bytes), with groups and links by number."""
 
-    def __init__(self, pair: Pair):
+    def __init__(self, size_a: list[int], size_b: list[int]):
         super().__init__()
-        self.pair = pair
+        self.size_a, self.size_b = size_a, size_b
+        self.name_a, self.name_b = ([str(k) for k in range(len(x))] for x in (size_a, size_b))
         self.clear()
 
     def clear(self) -> None:
         super().clear()
-        self.pairs: dict[tuple[int, int], int] = {}
         self.texts: list[str] = []
-        self.groups, self.links, self.start = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used = np.zeros(4096, np.int32), 0
-
-    def __missing__(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(x, np.int32).tolist() for x in key)
-        text, groups, links = self.pair.align(a, b)
-        k = len(self.texts)
-        self.texts.append(text)
-        if k == len(self.groups):
-            self.groups, self.links, self.start = (np.r_[x, np.zeros(k, np.int64)] for x in (self.groups, self.links, self.start))
-        while self.used + len(links) > len(self.flat):
-            self.flat = np.r_[self.flat, np.zeros(len(self.flat), np.int32)]
-        self.groups[k], self.links[k], self.start[k] = groups, len(links), self.used
-        self.flat[self.used : self.used + len(links)] = [self.pairs.setdefault(x, len(self.pairs)) for x in links]
-        self.used += len(links)
-        if max(len(a), len(b)) <= MEMO_TOKENS:
-            self[key] = k
-        return k
+        #: links are id pairs, as A id << 32 | B id
+        self.groups, self.ends, self.flat = array("q"), array("q", [0]), array("q")
+
+    def align(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
+        """Groups as text, and links, of one window."""
+        size_a, size_b, name_a, name_b = self.size_a, self.size_b, self.name_a, self.name_b
+        x, y = a[0], b[0]
+        i = j = 0
+        end_a, end_b, of_a, of_b = size_a[x], size_b[y], name_a[x], name_b[y]
+        groups, links = [], [x << 32 | y]
+        while True:
+            if end_a == end_b:
+                groups.append(f"{of_a}|{of_b}")
+                i, j = i + 1, j + 1
+                if i == len(a):
+                    return groups, links
+                x, y = a[i], b[j]
+                end_a, end_b, of_a, of_b = end_a + size_a[x], end_b + size_b[y], name_a[x], name_b[y]
+            elif end_a < end_b:
+                i += 1
+                x = a[i]
+                end_a, of_a = end_a + size_a[x], f"{of_a},{name_a[x]}"
+            else:
+                j += 1
+                y = b[j]
+                end_b, of_b = end_b + size_b[y], f"{of_b},{name_b[y]}"
+            links.append(x << 32 | y)
+
+    def add(self, a: list[int], b: list[int], key: tuple[bytes, bytes]) -> int:
+        groups, links = self.align(a, b)
+        number = len(self.texts)
+        self.texts.append(";".join(groups))
+        self.groups.append(len(groups))
+        self.flat.extend(links)
+        self.ends.append(len(self.flat))
+        if len(a) <= MEMO_TOKENS and len(b) <= MEMO_TOKENS:
+            self[key] = number
+        return number
 
     def full(self) -> bool:
-        return len(self.texts) > MEMO or self.used > 16 * MEMO
+        return len(self.texts) > MEMO or len(self.flat) > 16 * MEMO
 
-    def linked(self, numbers: np.ndarray) -> np.ndarray:
-        """Numbers of the id pairs of all links of these windows."""
-        n = self.links[numbers]
-        return self.flat[np.repeat(self.start[numbers] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    def counted(self, texts: list[list[int]]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For each text, as window numbers: groups, links, its different pairs and how often each is linked."""
+        groups, ends, flat = (np.frombuffer(x, x.typecode) for x in (self.groups, self.ends, self.flat))
+        out = []
+        for numbers in texts:
+            w = np.array(numbers, np.int64)
+            start, n = ends[w], ends[w + 1] - ends[w]
+            total = int(n.sum())
+            own, times = np.unique(flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(total)], return_counts=True)
+            out.append((int(groups[w].sum()), total, own, times))
+        return out
 
 
 def _pair(files) -> Pair:
@@ -198,18 +283,16 @@ def in_blocks(src: DataFrame, files, groups: bool = False, block: int = BLOCK) -
     out = T.StructType([src.schema["id"], *T.StructType.fromDDL(ddl).fields])
     schema = to_arrow_schema(out)
 
-    def document(pair: Pair, a: list[int], b: list[int], text: str):
-        if not pair.verified(a, b, text):
-            return None
-        x, y = np.array(a, np.int32), np.array(b, np.int32)
-        at_a, at_b = pair.split(x, y)
-        ha, hb = x.tobytes(), y.tobytes()
-        ea, eb = (4 * at_a).tolist(), (4 * at_b).tolist()
-        windows = pair.windows
-        numbers = np.array([windows[ha[i:j], hb[k:m]] for i, j, k, m in zip([0, *ea], ea, [0, *eb], eb, strict=False)], np.int64)
-        text = ";".join(map(windows.texts.__getitem__, numbers.tolist()))
-        own, times = np.unique(windows.linked(numbers), return_counts=True)
-        return (len(a), len(b), int(windows.groups[numbers].sum()), int(times.sum())), text if groups else None, hashlib.sha256(text.encode()).hexdigest(), own, times
+    def documents(pair: Pair, texts: list[str]) -> list[tuple | None]:
+        """For each text: counts, groups, their digest, pairs and times; None where the bytes differ."""
+        got = pair.read(texts)
+        good = [k for k, x in enumerate(got) if x]
+        out: list[tuple | None] = [None] * len(texts)
+        for k, (n_groups, n_links, pairs, times) in zip(good, pair.windows.counted([got[k][2] for k in good]), strict=True):
+            n_a, n_b, numbers = got[k]
+            text = ";".join(map(pair.windows.texts.__getitem__, numbers))
+            out[k] = (n_a, n_b, n_groups, n_links), text if groups else None, hashlib.sha256(text.encode()).hexdigest(), pairs, times
+        return out
 
     def run(batches):
         pair = _pair(files)
@@ -221,8 +304,6 @@ def in_blocks(src: DataFrame, files, groups: bool = False, block: int = BLOCK) -
             many = np.concatenate([np.zeros(0, np.int64), *[d[3] for d in held if d]])
             used, first = np.unique(many, return_inverse=True)
             total = np.bincount(first, np.concatenate([np.zeros(0), *[d[4] for d in held if d]]), len(used)).astype(np.int64)
-            names = list(pair.windows.pairs)
-            named = np.array([names[k] for k in used.tolist()], np.int32).reshape(-1, 2)
             empty = ((0, 0, 0, 0), "" if groups else None, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
             cuts = np.cumsum([0, *[len(d[3]) if d else 0 for d in held]])
             docs = [d or empty for d in held]
@@ -230,22 +311,20 @@ def in_blocks(src: DataFrame, files, groups: bool = False, block: int = BLOCK) -
             columns = [
                 *[[d[0][k] for d in docs] for k in range(4)], [d[1] for d in docs], [d[2] for d in docs], [number] * len(docs),
                 [first[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], [d[4] for d in docs],
-                [named[:, 0], *nothing], [named[:, 1], *nothing], [total, *nothing],
+                [(used >> 32).astype(np.int32), *nothing], [(used & 0xFFFFFFFF).astype(np.int32), *nothing], [total, *nothing],
             ]
             got = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]], schema=schema)
             held, ids, size, number = [], [], 0, number + 1
             if pair.windows.full():
-                pair.windows.clear()
+                pair.clear()
             return got
 
         for b in batches:
             texts, done = b.column(1).to_pylist(), 0
             for part in [*_slices(texts), []]:
                 upto = part[-1] + 1 if part else len(texts)
-                made = dict.fromkeys(range(done, upto))
-                for k, x, y in zip(part, *pair.encode([texts[k] for k in part]), strict=True):
-                    made[k] = document(pair, x, y, texts[k])
-                    size += len(texts[k])
+                made = dict.fromkeys(range(done, upto)) | dict(zip(part, documents(pair, [texts[k] for k in part]), strict=True))
+                size += sum(len(texts[k]) for k in part)
                 held += made.values()
                 ids.append(b.column(0)[done:upto])
                 done = upto
