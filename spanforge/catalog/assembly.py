@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import views as V
+from ..blocks import cut
 from ..operators import attribution as A
 from ..plans import assembly as P
 from ..views import BLK, sql
@@ -77,7 +78,7 @@ att AS (SELECT vid, win_id, start_s, end_s, source, col AS color, coalesce(dside
    """ + sql_half_even("ml", 8, 3) + " AS motion_left, " + sql_half_even("mr", 8, 3) + " AS motion_right, " + sql_half_even("ratio", 6, 2) + """ AS motion_ratio,
    coalesce(dsrc, CASE WHEN n = 0 THEN 'fallback_default_a' ELSE 'fallback_inherit_prev' END) AS attribution_src FROM fc)"""
 query("jon4_attribute", sql("win sig games periods", SQL_ATTR + " SELECT * FROM att"))(
-    lambda s, d: A.attribute(V.win(s, d), V.sig(s, d), V.games(s, d), block=BLK).select(
+    lambda s, d: A.attribute(V.win(s, d), cut(V.sig(s, d)), V.games(s, d), block=BLK).select(
         "vid", "win_id", "start_s", "end_s", "source", "color", "side", "motion_left", "motion_right", "motion_ratio", "attribution_src"
     )
 )
@@ -127,7 +128,7 @@ asm AS (SELECT vid, start_s, end_s, threat, color, CASE WHEN threat AND color IS
 
 
 def assembled(spark, sf):
-    return P.assemble(V.win(spark, sf), V.sig(spark, sf), V.games(spark, sf), CFG)
+    return P.assemble(V.win(spark, sf), cut(V.sig(spark, sf)), V.games(spark, sf), CFG)
 
 
 query("int17_assemble", sql("win sig games periods", SQL_ASM + " SELECT vid, start_s, end_s, threat, color, side FROM asm WHERE threat AND color = tc"))(assembled)
@@ -135,7 +136,7 @@ query("agg28_run_meta", sql("win sig games periods", SQL_ASM + """
 SELECT vid, count(*) AS total_segments, count(*) FILTER (threat) AS threat_segments, count(*) FILTER (NOT threat) AS no_threat_segments,
   CAST(coalesce(sum(end_s - start_s) FILTER (color = 'White'), 0) AS bigint) AS white_s, CAST(coalesce(sum(end_s - start_s) FILTER (color = 'Navy Blue'), 0) AS bigint) AS navy_s FROM asm GROUP BY vid"""))(
     lambda s, d: P.run_meta(
-        P.assemble(V.win(s, d), V.sig(s, d), V.games(s, d), P.AssemblyConfig(min_threat=3, max_threat=20, min_keep=2, block=BLK, target_only=False))
+        P.assemble(V.win(s, d), cut(V.sig(s, d)), V.games(s, d), P.AssemblyConfig(min_threat=3, max_threat=20, min_keep=2, block=BLK, target_only=False))
     ).select(
         "vid", "total_segments", "threat_segments", "no_threat_segments",
         F.coalesce(F.col("threat_duration_by_color")["White"], F.lit(0)).alias("white_s"),

@@ -95,16 +95,19 @@ def motion_side(
 
 
 def attribute(
-    win: DataFrame, sig: DataFrame, games: DataFrame, net: DataFrame | None = None, block: int = BLOCK, id_block: int = 2000
+    win: DataFrame, sig: DataFrame, games: DataFrame, net: DataFrame | None = None, block: int = BLOCK, id_block: int = 2000,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
     """Colour and side for every window, best evidence first.
 
     Confident detection, clear motion, any edge in motion, the previous
     window's colour (in arrival order ``win_id``), the first colour.
     ``net`` may carry ``(vid, win_id, net_side, net_label)``.  Windows end with the
-    last second of the recording; those that start after it are dropped.
-    """
-    length = sig.groupBy("vid").agg((F.max("t") + 1).cast("int").alias("__dur"))
+    last second of the recording; those that start after it are dropped.  ``lengths``
+    (``vid, dur``) spares the pass over the signals that finds it.
+    """
+    lengths = sig.groupBy("vid").agg((F.max("t") + 1).alias("dur")) if lengths is None else lengths
+    length = lengths.select("vid", F.col("dur").cast("int").alias("__dur"))
     win = win.select("vid", "win_id", "start_s", "end_s", "source").join(length, "vid", "left")
     win = win.withColumn("end_s", F.least("end_s", "__dur")).drop("__dur").filter("end_s > start_s")
     x = _with_map(motion_side(win, sig, block=block), games)

@@ -32,13 +32,13 @@ def assemble(
     merge neighbours, split long threats, demote slivers, merge again, cut at
     period edges, assign sides and keep the target's threats.
     """
-    lengths = sig.groupBy("vid").agg((F.max("t") + 1).alias("dur"))
+    lengths = cut(sig.groupBy("vid").agg((F.max("t") + 1).alias("dur")))
     periods = games.select("vid", F.explode("periods").alias("p")).select(
         "vid", F.col("p.start").alias("p_start"), F.col("p.end").alias("p_end")
     )
     # windows and segments are tiny next to the signals they come from, and the
-    # steps below read them several times, so they are written three times
-    x = cut(A.attribute(raw, sig, games, net, cfg.block))
+    # steps below read them several times, so they are written three times, and so are the lengths
+    x = cut(A.attribute(raw, sig, games, net, cfg.block, lengths=lengths))
     x = I.min_duration(x, cfg.min_threat)
     x = I.drop_opening_fp(x, sig.filter(F.col("faceoff") >= cfg.faceoff).select("vid", "t"), cfg.opening)
     x = x.select("vid", "start_s", "end_s", F.lit(True).alias("threat"), "color", F.col("win_id").alias("ord"))
