@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: a word is a run of characters other than the six ASCII white-space characters
 WORD = r"[^\x20\x09-\x0D]+"
+#: bytes of text handled in Python at once
+SLICE = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,12 +63,22 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def by_bytes(column: pa.Array, most: int = SLICE) -> list[tuple[int, int]]:
+    """Cut a binary column into runs of rows of about so many bytes, one row at least."""
+    if not len(column):
+        return []
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    part = (offsets[:-1] - offsets[0]) // most
+    edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    return list(zip(edges, [*edges[1:], len(column)], strict=True))
+
+
 def scan(df: DataFrame, make, out_ddl: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Run Python once over a text column; the other columns travel along as struct ``row``.
 
     ``make()`` is called once per task and returns a function from a list of texts
     (bytes in UTF-8, or None) to one list per output column.  ``carry`` names the
-    columns to keep (default: all).
+    columns to keep (default: all).  Texts become Python objects ``SLICE`` bytes at a time.
     """
     keep = [F.struct("*")] if carry is None else [F.struct(*[F.col(f"`{c}`") for c in carry])]
     src = df.select(keep[0].alias("row"), F.col(f"`{text}`").cast("string").cast("binary").alias("_text"))
@@ -76,7 +89,9 @@ def scan(df: DataFrame, make, out_ddl: str, text: str = "text", carry: list[str]
     def run(batches):
         work = make()
         for b in batches:
-            cols = work(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names)
+            for lo, hi in by_bytes(b.column(1)):
+                cols = work(b.column(1)[lo:hi].to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names)
+        pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
     return src.mapInArrow(run, out)
