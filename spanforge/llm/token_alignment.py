@@ -45,7 +45,7 @@ BLOCK = 8 << 20
 #: bytes of text tokenised at once
 SLICE = 1 << 20
 #: windows kept by a worker, with the parts they come from
-MEMO = 350_000
+MEMO = 250_000
 MEMO_TOKENS = 32
 #: characters of a part whose ids are kept
 PIECE = 64
