@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import read, saved
+from .common import by_bytes, read, saved
 
 SEQUENCE = 512
 SHARD = 16_384
 ROUNDS = 6
 KEY = 20_240_229
 #: encoded pieces kept per Python worker
-CACHE = 400_000
+CACHE = 200_000
 _LOADED: dict = {}
 
 
@@ -119,7 +119,9 @@ def encoded(src: DataFrame, vocab) -> DataFrame:
         end = np.array([pieces.end], pieces.kind).tobytes()
         for b in batches:
             b = b.filter(pc.fill_null(pc.greater(pc.binary_length(b.column(1)), 0), False))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces.encode(t) + end for t in b.column(1).to_pylist()], pa.binary())], out.names)
+            for lo, hi in by_bytes(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([pieces.encode(t) + end for t in b.column(1)[lo:hi].to_pylist()], pa.binary())], out.names)
+        pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, out)
 
