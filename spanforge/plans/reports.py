@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,8 @@ from ..blocks import carry, cut, positions
 from ..functions.stats import f1, ratio
 from ..operators.identity import restrict_gt
 
-#: rows of a part when resampling
-PART = 16_384
+#: rows of a part when resampling, and draws hashed at once
+PART, DRAWS = 16_384, 1 << 21
 
 
 def _errors(d: Column, suffix: str) -> list[Column]:
@@ -147,28 +147,47 @@ def drawn(part: int, parts: int, n: int, reps: int, seed: int, size: int) -> np.
 def _draws(df: DataFrame, value: str, reps: int, seed: int, order: str, size: int) -> DataFrame:
     """Means of resamples with replacement, one row per replicate.
 
-    Rows lie in parts of ``size`` in the given order.  A part derives how many draws of
-    each replicate fall on it (``drawn``), deals them to its rows by hash and yields one
-    sum per replicate; sums combine before the shuffle.  Draws are never rows and nothing is joined.
+    Draw ``j`` of a replicate falls on the position that its hash names among all n rows, so
+    the draws do not depend on ``size``.  They are hashed in chunks of ``DRAWS``; a chunk sends
+    each part of ``size`` rows the places drawn there, packed into one binary (2 bytes a draw).
+    A part meets its draws and yields one sum per replicate: it holds ``size`` rows and some
+    ``size * reps`` draws, however many rows there are.
     """
     rows = cut(positions(df.select(order, F.col(value).cast("double").alias("v")), [order]).select("__i", "v"))
     n = rows.count()
-    parts = -(-n // size)
-
-    def part(table: pa.Table) -> pa.Table:
-        table = table.sort_by("__i")
-        k, values = table["__part"][0].as_py(), table["v"].to_numpy()
+    parts, per = -(-n // size), max(1, DRAWS // reps)
+    place = np.uint16 if size <= 1 << 16 else np.uint32
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = mix32(mix32(mix32(np.array([seed], np.uint64).astype(np.uint32)) + np.arange(reps, dtype=np.uint32)))
+        for batch in batches:
+            for chunk in batch.column(0).to_pylist():
+                j = np.arange(chunk * per, min(n, (chunk + 1) * per), dtype=np.uint64).astype(np.uint32)
+                hashes = mix32(start[:, None] + j * np.uint32(0x9E3779B9))
+                at = (hashes.astype(np.uint64) * np.uint64(n) >> np.uint64(32)).ravel()
+                part = (at // np.uint64(size)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+                by = np.argsort(part, kind="stable")  # by replicate within a part
+                places = (at[by] - part[by].astype(np.uint64) * np.uint64(size)).astype(place)
+                found, first = np.unique(part[by], return_index=True)
+                ends = [*first[1:].tolist(), len(by)]
+                spans = list(zip(first.tolist(), ends))
+                times = [np.bincount(by[a:b] // len(j), minlength=reps).astype(np.uint32).tobytes() for a, b in spans]
+                drawn_there = [places[a:b].tobytes() for a, b in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(times, pa.binary()), pa.array(drawn_there, pa.binary())], ["__part", "times", "places"])
+
+    def part(table: pa.Table, draws: pa.Table) -> pa.Table:
+        values = table.sort_by("__i")["v"].to_numpy()
         there = ~np.isnan(values)
         values, rep = np.where(there, values, 0.0), np.arange(reps, dtype=np.uint32)
-        start = mix32(mix32(mix32(np.array([seed], np.uint64).astype(np.uint32)) + rep) + np.uint32(k))
         sums, counts = np.zeros(reps), np.zeros(reps, np.int64)
-        for r, times in enumerate(drawn(k, parts, n, reps, seed, size).tolist()):
-            hashes = mix32(start[r] + np.arange(times, dtype=np.uint32) * np.uint32(0x9E3779B9))
-            at = (hashes.astype(np.uint64) * np.uint64(len(values)) >> np.uint64(32)).astype(np.int64)
-            sums[r], counts[r] = values[at].sum(), there[at].sum()
+        for times, places in zip(draws["times"], draws["places"]):
+            whose, at = np.repeat(rep, np.frombuffer(times.as_py(), np.uint32)), np.frombuffer(places.as_py(), place)
+            sums += np.bincount(whose, values[at], reps)
+            counts += np.bincount(whose[there[at]], minlength=reps)
         return pa.table({"rep": pa.array(rep, pa.int32()), "s": sums, "n": counts})
 
-    each = rows.withColumn("__part", F.floor(F.col("__i") / size)).groupBy("__part").applyInArrow(part, "rep int, s double, n long")
+    dealt = df.sparkSession.range(-(-n // per)).mapInArrow(deal, "__part long, times binary, places binary")
+    each = rows.withColumn("__part", F.floor(F.col("__i") / size)).groupBy("__part").cogroup(dealt.groupBy("__part")).applyInArrow(part, "rep int, s double, n long")
     return each.groupBy("rep").agg((F.sum("s") / F.sum("n")).alias(value))
 
 

@@ -33,6 +33,22 @@ def test_bootstrap_in_parts_of_text_ids(spark):
     assert np.allclose([*again], [*got])
 
 
+def test_draws_do_not_depend_on_parts(spark):
+    """Every replicate's mean is that of the positions its hashes name among all rows."""
+    rnd, n, reps = random.Random(7), 1000, 20
+    values = [None if k % 50 == 3 else rnd.gauss(10, 3) for k in range(n)]
+    df = spark.createDataFrame(list(enumerate(values)), "vid long, v double")
+    mix = lambda x: int(P.mix32(np.array([x & 0xFFFFFFFF], np.uint32))[0])
+    want = []
+    for rep in range(reps):
+        start = mix(mix(mix(42) + rep))
+        drawn = [values[mix(start + j * 0x9E3779B9) * n >> 32] for j in range(n)]
+        want.append(statistics.fmean(v for v in drawn if v is not None))
+    for size in (n, 64):
+        got = {r.rep: r.v for r in P._draws(df, "v", reps, 42, "vid", size).collect()}
+        assert np.allclose([got[r] for r in range(reps)], want, rtol=1e-12)
+
+
 def test_bootstrap_of_a_million_rows_without_a_join(spark):
     df = spark.range(1_000_000).select(F.col("id").alias("vid"), (F.col("id") % 101).cast("double").alias("v"))
     means = P._draws(df, "v", 50, 42, "vid", P.PART)
