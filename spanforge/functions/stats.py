@@ -12,6 +12,17 @@ def ratio(num: Column, den: Column, digits: int | None = 4, empty: float | None
     return out if digits is None else F.bround(out, digits)
 
 
+def mean_in_order(value: Column | str, *order: Column | str) -> Column:
+    """Aggregate: the mean of the doubles added up in the given order, nulls left out.
+
+    Unlike ``avg`` it gives the same double however the rows are dealt, which counts where a
+    mean meets a threshold or a rounding.  It gathers a group's values: for bounded groups.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    rows = F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct(*[F.col(c).alias(f"o{i}") if isinstance(c, str) else c.alias(f"o{i}") for i, c in enumerate(order)], v.cast("double").alias("v")))))
+    return F.aggregate(rows, F.lit(0.0), lambda acc, r: acc + r["v"]) / F.nullif(F.size(rows), F.lit(0))
+
+
 def f1(p: Column, r: Column) -> Column:
     """Harmonic mean, zero when both are zero."""
     return F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..blocks import BLOCK, carry, point_join
+from ..functions.stats import mean_in_order
 from ..functions.text import order_colors
 from .intervals import as_of
 
@@ -77,14 +78,15 @@ def motion_side(
     """Mean left/right motion from ``pre`` s before a window to its end.
 
     A side is named when the means differ by ``floor`` and by ``ratio``.
-    Windows with equal bounds are looked up once.
+    Windows with equal bounds are looked up once.  Means add up in time order, so a
+    difference right at ``floor`` falls the same way however the rows are dealt.
     """
     spans = win.filter("end_s > start_s").select("vid", "start_s", "end_s").distinct()
     spans = spans.withColumn("__a", F.greatest(F.col("start_s") - pre, F.lit(0))).withColumn("__b", F.col("end_s") - 1)
     means = (
         point_join(spans, sig.select("vid", "t", "motion_left", "motion_right"), KEYS, ("__a", "__b"), "t", block)
         .groupBy("vid", "start_s", "end_s")
-        .agg(F.avg("motion_left").alias("mean_left"), F.avg("motion_right").alias("mean_right"))
+        .agg(mean_in_order("motion_left", "t").alias("mean_left"), mean_in_order("motion_right", "t").alias("mean_right"))
     )
     x = win.join(means, ["vid", "start_s", "end_s"], "left").na.fill(0.0, ["mean_left", "mean_right"])
     l_, r = F.col("mean_left"), F.col("mean_right")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions.stats import mean_in_order
+
 #: block length used by the registered queries: timelines are 720 slots long
 BLK = 240
 
@@ -72,14 +74,14 @@ def win(spark, sf):
 
 
 def sig(spark, sf):
-    """``faceoff`` is 0.9 where the second holds an error event, else 0.1."""
+    """``faceoff`` is 0.9 where the second holds an error event, else 0.1; means add up in event order."""
     return (
         ev(spark, sf)
         .groupBy("vid", "t")
         .agg(
-            (F.avg("value") / 15).alias("motion"),
-            F.avg(F.when(F.expr("user_id % 2 = 0"), F.col("value"))).alias("motion_left"),
-            F.avg(F.when(F.expr("user_id % 2 = 1"), F.col("value"))).alias("motion_right"),
+            (mean_in_order("value", "event_id") / 15).alias("motion"),
+            mean_in_order(F.when(F.expr("user_id % 2 = 0"), F.col("value")), "event_id").alias("motion_left"),
+            mean_in_order(F.when(F.expr("user_id % 2 = 1"), F.col("value")), "event_id").alias("motion_right"),
             (F.max("value") / 500).alias("activity"),
             F.when(F.count("*") > 2, 1.0).otherwise(0.0).alias("celeb"),
             F.expr("case when max(event_id) % 2 = 0 then 'left' else 'right' end").alias("celeb_side"),

@@ -1,12 +1,16 @@
 """Resampling and order statistics against plain Python, also with one hot group."""
 
+import datetime
+import functools
 import random
 import statistics
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from spanforge import views as V
 from spanforge.functions.selection import medians, selected
+from spanforge.operators import attribution as A
 from spanforge.plans import evaluation as E, reports as P
 
 
@@ -79,3 +83,21 @@ def test_selection_refines_hot_groups(spark):
 def test_selection_of_nothing(spark):
     empty = spark.createDataFrame([], "g string, v double")
     assert selected(empty, "v", ["g"], {"a": F.lit(0)}).count() == 0
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """The same doubles from the same rows, so thresholds and roundings fall the same way."""
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    hours = [datetime.datetime(2024, 1, 1, h) for h in range(6)]
+    rows = [(k, hours[k % 6], k % 4, "view", 0.1 * (k % 7 + 1), None) for k in range(60)]
+    win = spark.createDataFrame([(0, 0, 1, 6), (0, 1, 2, 4)], "vid long, win_id long, start_s int, end_s int")
+    got = []
+    for name, order in (("up", 1), ("down", -1)):
+        spark.createDataFrame(rows[::order], schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        sig = V.sig(spark, f"{tmp_path}/{name}")
+        got.append(sorted(map(tuple, sig.collect())))
+        seconds = spark.createDataFrame([(0, t, 0.1 * (t + 1), 0.3 / (t + 1)) for t in range(6)][::order], "vid long, t int, motion_left double, motion_right double").coalesce(1)
+        got[-1] += sorted(map(tuple, A.motion_side(win, seconds).collect()))
+    assert got[0] == got[1]
+    means = {t: m for _, t, m, *_ in got[0][:6]}
+    assert means == {t: functools.reduce(lambda a, r: a + r[4], [r for r in rows if r[0] % 6 == t], 0.0) / 10 / 15 for t in range(6)}
