@@ -248,18 +248,30 @@ def parse_reports(docs: DataFrame, text: str = "value") -> DataFrame:
     return docs.select(*[c for c in docs.columns if c != text], *out)
 
 
+def _words(text: str) -> Column:
+    """Different runs of letters, digits, ``_`` and ``-``, and what is left of each if either or both of these end a word."""
+    runs = F.split(F.regexp_replace(text, "[^A-Za-z0-9_-]+", " "), " ")
+    cut = lambda w: F.concat(F.array(w), F.split(w, "_"), F.split(w, "-"), F.split(F.translate(w, "_", "-"), "-"))
+    return F.array_distinct(F.flatten(F.transform(runs, lambda w: F.when(F.contains(w, F.lit("_")) | F.contains(w, F.lit("-")), cut(w)).otherwise(F.array(w)))))
+
+
 def latest_report(reports: DataFrame, vids: DataFrame) -> DataFrame:
     """Newest report naming each recording.
 
-    ``reports``: ``(path, mtime, value)``.  Reports are cut into words once, with and
+    ``reports``: ``(path, mtime, value)``.  Reports are cut into words, with and
     without ``_`` and ``-`` as part of a word, and joined on the id, so ids are not
     searched for one by one and are found inside file names.  An id that is part of a
     longer run of letters and digits is not found.
+
+    Each word's latest time is taken first, which combines on the map side, so a word that
+    all reports hold is one row a task; then the reports of that time are looked up by hash.
     """
-    cuts = F.concat(*[F.split("value", p) for p in (r"[^A-Za-z0-9_-]+", r"[^A-Za-z0-9-]+", r"[^A-Za-z0-9_]+", r"[^A-Za-z0-9]+")])
-    words = reports.select("path", "mtime", F.explode(F.array_distinct(cuts)).alias("vid")).filter("vid <> ''")
-    hit = words.join(vids.select(F.col("vid").cast("string").alias("vid")).distinct(), "vid", "left_semi")
-    return hit.groupBy("vid").agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
+    words = reports.select("path", "mtime", F.explode(_words("value")).alias("vid")).filter("vid <> ''")
+    ids = vids.select(F.col("vid").cast("string").alias("vid")).distinct()
+    # an inner join: a semi-join would be moved before the aggregate, to all words
+    last = words.groupBy("vid").agg(F.max("mtime").alias("last")).join(ids.hint("shuffle_hash"), "vid").withColumnRenamed("vid", "id")
+    hit = words.join(last.hint("shuffle_hash"), F.expr("vid = id and mtime <=> last"))
+    return hit.groupBy("vid").agg(F.max("path").alias("path"))
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:

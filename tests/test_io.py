@@ -1,6 +1,7 @@
 """Files: readers, writers and round trips."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,18 @@ def test_report_names_an_id_inside_a_file_name(spark):
     rep = spark.createDataFrame([("old", 1, "video SX5x"), ("new", 2, "from gt_metrics_SX5x.json"), ("other", 3, "SX5xy")], "path string, mtime int, value string")
     ids = spark.createDataFrame([("SX5x",)], "vid string")
     assert [tuple(r) for r in RD.latest_report(rep, ids).collect()] == [("SX5x", "new")]
+
+
+def test_latest_report_takes_each_word_once_before_it_meets_ids(spark):
+    """Words that all reports hold are one row a task; cuts at ``_`` and ``-``, ties and missing times count as before."""
+    texts = ["all done a_b-c", "all x--y_z,a_b", "_q- all", "done c d-e_f-g", "", None, "b all"]
+    rows = [(f"p{k:02}", None if k % 5 == 0 else k % 3, texts[k % 7]) for k in range(40)]
+    reports = spark.createDataFrame(rows, "path string, mtime long, value string")
+    ids = ["a", "b", "c", "a_b", "b-c", "a_b-c", "x--y_z", "y", "z", "_q-", "q", "d-e", "e_f", "g", "none"]
+    got = RD.latest_report(reports, spark.createDataFrame([(i,) for i in [*ids, "a"]], "vid string"))
+    want = {}
+    for path, mtime, text in rows:
+        for i in {w for p in (r"[^A-Za-z0-9_-]+", r"[^A-Za-z0-9-]+", r"[^A-Za-z0-9_]+", r"[^A-Za-z0-9]+") for w in re.split(p, text or "")} & set(ids):
+            want[i] = max(want.get(i, (-1, "")), (-1 if mtime is None else mtime, path))
+    assert {r.vid: r.path for r in got.collect()} == {i: path for i, (_, path) in want.items()}
+    assert "LeftSemi" not in got._jdf.queryExecution().optimizedPlan().toString()
