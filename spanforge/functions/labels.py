@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -92,21 +93,28 @@ def is_generic(c: Column) -> Column:
 # -- JSON text ---------------------------------------------------------------
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _balanced_end(text: Column) -> Column:
     """Length up to the first ``}`` that closes every open brace, else null.
 
     Walks the pieces between closing braces, not single characters.
     """
     opens = lambda p: F.length(p) - F.length(F.replace(p, F.lit("{"), F.lit("")))
-    pieces = F.split(text, r"\}", -1)
-    body = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    steps = lambda pieces: F.transform(
+        F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))),
+        lambda p: F.struct((opens(p) - 1).alias("up"), (F.length(p) + 1).alias("n")),
+    )
     state = F.aggregate(
-        body,
+        _let(F.split(text, r"\}", -1), steps),
         F.expr("named_struct('depth', 0, 'at', 0, 'end', cast(null as int))"),
         lambda a, p: F.struct(
-            (a["depth"] + opens(p) - 1).cast("int").alias("depth"),
-            (a["at"] + F.length(p) + 1).cast("int").alias("at"),
-            F.coalesce(a["end"], F.when(a["depth"] + opens(p) - 1 == 0, a["at"] + F.length(p) + 1)).cast("int").alias("end"),
+            (a["depth"] + p["up"]).cast("int").alias("depth"),
+            (a["at"] + p["n"]).cast("int").alias("at"),
+            F.coalesce(a["end"], F.when(a["depth"] + p["up"] == 0, a["at"] + p["n"])).cast("int").alias("end"),
         ),
     )
     return state["end"]
@@ -115,9 +123,8 @@ def _balanced_end(text: Column) -> Column:
 def _is_object(text: Column) -> Column:
     """Strictly one JSON object and nothing after it."""
     bare = F.regexp_replace(F.trim(text), r'"(?:[^"\\]|\\.)*+"', '""')
-    return F.coalesce(
-        F.startswith(bare, F.lit("{")) & F.try_parse_json(text).isNotNull() & (_balanced_end(bare) == F.length(bare)), F.lit(False)
-    )
+    closed = _let(bare, lambda b: F.startswith(b, F.lit("{")) & (_balanced_end(b) == F.length(b)))
+    return F.coalesce(closed & F.try_parse_json(text).isNotNull(), F.lit(False))
 
 
 def recover_json(raw: Column) -> Column:
@@ -126,7 +133,7 @@ def recover_json(raw: Column) -> Column:
     Braces inside strings count, so some truncated texts stay lost (null).
     """
     cut = F.substring(raw, F.lit(1), _balanced_end(raw))
-    return F.when(_is_object(raw), raw).otherwise(F.when(_is_object(cut), cut))
+    return F.when(_is_object(raw), raw).otherwise(_let(cut, lambda c: F.when(_is_object(c), c)))
 
 
 # Texts reported when a summary cannot be read.

@@ -115,3 +115,11 @@ def test_prune_rules(spark):
     assert (v.pruned_required, v.pruned_disqualifier, v.pruned_no_evidence) == (1, 1, 1)
     assert (w.goals, w.saves, w.downgraded) == (0, 3, True)
     assert [s.outcome for s in w.shot_timestamps] == ["save", "save", "miss"]
+
+
+def test_json_recovery_evaluates_each_step_once(spark):
+    """The texts are recovered as before, from two copies of the costly pattern: of the whole text and of its first part."""
+    texts = {'{"a": 1}': True, '{"a": "}"} b': None, '{"a": {"b": 2}} x }': '{"a": {"b": 2}}', '{"a": "{"}': True, '{"a": 1': None, "x": None, "{}}": "{}", '{"a": 1}{': '{"a": 1}', "": None}
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "raw string").select("raw", L.recover_json(F.col("raw")).alias("got"))
+    assert {r.raw: r.got for r in df.collect()} == {None: None, **{t: t if want is True else want for t, want in texts.items()}}
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace(") == 2
