@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import read, saved
+from .common import numbered, read, saved
 
 HEAD, MEMBERS, FORMS = 2048, 64, 64
 TABLE = 1 << 19
@@ -62,15 +62,15 @@ def parts(texts: list[bytes | None], volume: int = 8 << 20) -> Iterator[tuple[li
             ends.append(len(words))
             size += len(t) + 1
             at += 1
-        number: dict[bytes, int] = {}
-        codes = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        number = numbered(words)
+        codes = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         yield list(number), codes, ends
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    return np.fromiter((xxh3_64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def word_forms(words: list[bytes]) -> np.ndarray:

@@ -100,6 +100,33 @@ def test_jaccard_join_finds_all_links(spark, corpus, monkeypatch, block):
     assert collections.Counter(map(tuple, got)) == want
 
 
+def test_jaccard_join_of_many_near_copies_verifies_few_pairs(spark, monkeypatch):
+    """Copies at the border of similarity, some of which link with none: whole sets of few pairs are compared."""
+    rng, seen, plain = np.random.default_rng(5), [], jaccard_join.verified
+
+    def counted(pairs, *args):
+        seen.append(pairs.count())
+        return plain(pairs, *args)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(400):
+        words = list(base)
+        for at in rng.choice(150, 3 if k < 300 else 8, replace=False):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets, want = [shingles(t) for _, t in rows], list(range(400))
+    for a in range(400):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and want[a] != want[b]:
+                lo, hi = sorted((want[a], want[b]))
+                want = [lo if w == hi else w for w in want]
+    assert len(set(want)) > 20 and got == dict(enumerate(want))
+    assert sum(seen) < 20 * len(rows), seen
+
+
 @pytest.mark.parametrize("percent", [50, 90])
 def test_jaccard_join_other_settings(spark, corpus, percent):
     rows = [(r[0], r[1]) for r in corpus[2][:160] if r[0] is not None and r[1]]
