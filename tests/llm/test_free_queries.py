@@ -341,3 +341,21 @@ def test_pipeline_decides_near_duplicates_by_row(spark, corpus):
     once = p.without_near_duplicates(spark, docs, "")
     assert once.columns == docs.columns
     assert collections.Counter(map(tuple, once.collect())) == collections.Counter([(3, text(3)), (5, text(5)), (None, None), (9, text(8)), (None, text(1)), (7, text(7))])
+
+
+def test_pipeline_reads_near_duplicates_where_they_lie(spark, tmp_path, monkeypatch):
+    """A table read from files is not written again; rows met twice are."""
+    import corpus_pipeline as p
+
+    made = []
+    plain = p.written
+    monkeypatch.setattr(p, "written", lambda df: made.append(df.columns) or plain(df))
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(5, text(3)), (3, text(3)), (None, text(8)), (None, text(8)), (7, text(7)), (7, text(7)), (1, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs, want = spark.read.parquet(f"{tmp_path}/docs"), [(3, text(3)), (None, text(8)), (7, text(7)), (1, None)]
+    assert collections.Counter(map(tuple, p.without_near_duplicates(spark, docs, "").collect())) == collections.Counter(want)
+    assert not made
+    twice = docs.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).drop("k")
+    assert collections.Counter(map(tuple, p.without_near_duplicates(spark, twice, "").collect())) == collections.Counter([*want, (1, None)])
+    assert len(made) == 1
