@@ -50,6 +50,7 @@ MEMO_TOKENS = 32
 #: characters of a part whose ids are kept
 PIECE = 64
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+ASCII_SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 _LOADED: dict = {}
 
@@ -91,13 +92,18 @@ class Pair:
         """Tokens of A, of B, and window numbers of each text; None where the token bytes differ from the text."""
         split = [self.pieces(t) for t in texts]
         known = self.known
-        new = [p for p in set().union(*split) if p not in known]
+        used = set().union(*split)
+        new = [p for p in used if p not in known]
         self.together([p for p in new if not (p[0].isspace() or p[-1].isspace())])
         self.alone([p for p in new if p not in known])
         out: list[tuple[int, int, list[int]] | None] = []
+        bad = {p for p in used if known[p] is None}
         for parts in split:
-            got = [known[p] for p in parts]
-            out.append(None if None in got else (sum([x[0] for x in got]), sum([x[1] for x in got]), list(chain.from_iterable([x[2] for x in got]))))
+            if bad and not bad.isdisjoint(parts):
+                out.append(None)
+                continue
+            n_a, n_b, numbers = zip(*map(known.__getitem__, parts), strict=True)
+            out.append((sum(n_a), sum(n_b), list(chain.from_iterable(numbers))))
         for p in new:
             if len(p) > PIECE:
                 del known[p]
@@ -145,7 +151,12 @@ class Pair:
         A starts a new word at a blank between two other characters.  B merges pieces of its
         vocabulary only, and none of them goes on over a blank (else the text stays whole).
         """
-        return BETWEEN.split(text) if self.apart else [text]
+        if not self.apart:
+            return [text]
+        # all blanks cut unless one is at an end or beside white space
+        if text[:1] == " " or text[-1:] == " " or any(f" {c}" in text or f"{c} " in text for c in (ASCII_SPACES if text.isascii() else filter(str.isspace, set(text)))):
+            return BETWEEN.split(text)
+        return text.split(" ")
 
     def split(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token positions (in A, in B) after which a window ends."""

@@ -229,3 +229,13 @@ def test_repeats_query(spark, tmp_path, repeated):
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter((i, *w) for (i, *_), w in zip(repeated, brute_repeats([r[1] for r in repeated]), strict=True))
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert run("op13_suffix_dedup", spark, tmp_path / "none").count() == 0
+
+
+def test_parts_between_blanks_need_no_pattern_where_blanks_stand_alone(monkeypatch):
+    pair = token_alignment.Pair.__new__(token_alignment.Pair)
+    pair.apart, plain, rng = True, token_alignment.BETWEEN, random.Random(12)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab é   \n\t\x1f\x85\u2003   x") for _ in range(rng.randint(0, 9)))
+        assert pair.pieces(text) == plain.split(text)
+    monkeypatch.setattr(token_alignment, "BETWEEN", None)
+    assert pair.pieces("a line\nand a second\u2003one é") == ["a", "line\nand", "a", "second\u2003one", "é"]
