@@ -127,6 +127,41 @@ def test_jaccard_join_of_many_near_copies_verifies_few_pairs(spark, monkeypatch)
     assert sum(seen) < 20 * len(rows), seen
 
 
+def linked(rows):
+    """Smallest number of each row's component, by all pairs."""
+    sets, want = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and want[a] != want[b]:
+                lo, hi = sorted((want[a], want[b]))
+                want = [lo if w == hi else w for w in want]
+    return want
+
+
+@pytest.mark.parametrize("block, edits", [(jaccard_join.BLOCK, (2, 4)), (7, (2, 4)), (40, (3, 3))])
+def test_jaccard_join_of_many_border_copies_lists_few_pairs(spark, monkeypatch, block, edits):
+    """Copies that share rare shingles, though many link with none: candidates are listed by class, not by pair."""
+    rng, listed, plain = np.random.default_rng(8), [], jaccard_join.far_pairs
+
+    def counted(lists, *args):
+        out = plain(lists, *args)
+        listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "far_pairs", counted)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = []
+    for k in range(300):
+        words = [f"w{n}" for n in range(120)]
+        for at in rng.choice(24, edits[k >= 150], replace=False):
+            words[at * 5] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = linked(rows)
+    assert len(set(want)) > 20 and got == dict(enumerate(want))
+    assert sum(listed) < 2 * len(rows), listed
+
+
 @pytest.mark.parametrize("percent", [50, 90])
 def test_jaccard_join_other_settings(spark, corpus, percent):
     rows = [(r[0], r[1]) for r in corpus[2][:160] if r[0] is not None and r[1]]
