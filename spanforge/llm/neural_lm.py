@@ -187,15 +187,21 @@ def pack(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _sigmoid(a: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * a) + np.float32(0.5)
+    """Of an array that is given up for it."""
+    a *= np.float32(0.5)
+    np.tanh(a, out=a)
+    a *= np.float32(0.5)
+    a += np.float32(0.5)
+    return a
 
 
 def forward(m: dict, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """States of a window (step, lane, unit) and the last one; ``keep`` collects what the backward pass needs."""
     fed, out = m["table"][x], np.empty((*x.shape, HIDDEN), np.float32)
     fresh, k = x == START, HIDDEN
+    starts = fresh.any(1)
     for t in range(len(x)):
-        if fresh[t].any():
+        if starts[t]:
             h = np.where(fresh[t][:, None], np.float32(0), h)
         g = h @ m["u"]
         zr = _sigmoid(fed[t, :, : 2 * k] + g[:, : 2 * k])
@@ -266,22 +272,28 @@ def train_on(m: dict, square: dict, docs: list[np.ndarray], rate: float = RATE)
         dhs = np.zeros((y.size, HIDDEN), np.float32)
         dhs[live] = dh_live
         dhs = dhs.reshape(*y.shape, HIDDEN)
-        dfed, dg, back = np.empty((*y.shape, 3 * HIDDEN), np.float32), np.empty((*y.shape, 3 * HIDDEN), np.float32), np.float32(0)
+        before, z, r, gn, n = (np.stack(k) for k in zip(*kept, strict=True))
+        # all factors of a state's gradient at once; only what runs back from step to step is left to the loop
+        by_fed, by_g = np.empty((*y.shape, 3, HIDDEN), np.float32), np.empty((*y.shape, 3, HIDDEN), np.float32)
+        by_n = (1 - z) * (1 - n * n)
+        by_fed[:, :, 0], by_fed[:, :, 1], by_fed[:, :, 2] = (before - n) * z * (1 - z), by_n * gn * r * (1 - r), by_n
+        by_g[:, :, :2], by_g[:, :, 2] = by_fed[:, :, :2], by_n * r
+        dg, u, fresh, back = by_g.reshape(*y.shape, 3 * HIDDEN), np.ascontiguousarray(m["u"].T), x == START, np.float32(0)
+        starts = fresh.any(1)
         for t in range(len(y) - 1, -1, -1):
-            before, z, r, gn, n = kept[t]
-            d = dhs[t] + back
-            dz, dn = d * (before - n) * z * (1 - z), d * (1 - z) * (1 - n * n)
-            dfed[t] = np.concatenate([dz, dn * gn * r * (1 - r), dn], 1)
-            dg[t] = dfed[t]
-            dg[t, :, 2 * HIDDEN :] *= r
-            back = d * z + dg[t] @ m["u"].T
-            if (x[t] == START).any():
-                back = np.where((x[t] == START)[:, None], np.float32(0), back)
-        grads["u"] = np.concatenate([k[0] for k in kept]).T @ dg.reshape(-1, 3 * HIDDEN)
+            d = dhs[t]
+            d += back
+            by_g[t] *= d[:, None]
+            back = dg[t] @ u
+            back += d * z[t]
+            if starts[t]:
+                back[fresh[t]] = 0
+        by_fed *= dhs[:, :, None]
+        grads["u"] = before.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
         ids = x.ravel()
         order = np.argsort(ids, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
-        rows, by_row = ids[order][cut], np.add.reduceat(dfed.reshape(-1, 3 * HIDDEN)[order], cut, axis=0)
+        rows, by_row = ids[order][cut], np.add.reduceat(by_fed.reshape(-1, 3 * HIDDEN)[order], cut, axis=0)
         scale = np.float32(1 / math.sqrt(max(1, int(live.sum()))))
         for name, g in grads.items():
             g = np.clip(g * scale, -5, 5).astype(np.float32)
