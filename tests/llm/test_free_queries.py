@@ -1,10 +1,12 @@
 """Queries beyond SQL against brute-force versions, round trips and held-out accuracy."""
 
 import collections
+import glob
 import hashlib
 import html as entities
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from spanforge.llm import html_extract, jaccard_join, neural_lm, token_shards, toxicity
+from spanforge.llm import common, html_extract, jaccard_join, neural_lm, token_shards, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, cls long, slot int"
 
@@ -394,3 +396,51 @@ def test_pipeline_reads_near_duplicates_where_they_lie(spark, tmp_path, monkeypa
     twice = docs.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).drop("k")
     assert collections.Counter(map(tuple, p.without_near_duplicates(spark, twice, "").collect())) == collections.Counter([*want, (1, None)])
     assert len(made) == 1
+
+
+def test_near_duplicates_leave_one_table_and_no_shuffle_files(spark, tmp_path, monkeypatch):
+    """Tables on the way and the shuffles that made them go when no step reads them any more."""
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}/shared")
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(k, f"{base} x{k // 2} y{k // 2}") for k in range(8)] + [(8, "other words"), (9, None)], "doc_id long, text string")
+    folders = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*")}
+    before = shuffles()
+    got = jaccard_join.near_duplicates(docs, links=True)
+    assert len(glob.glob(f"{tmp_path}/shared/table-*")) == 1
+    for _ in range(50):  # files go in the background
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert {(r.doc_id, r.component_id, r.n_links) for r in got.collect()} == {(k, 0, 6) for k in range(8)} | {(8, 8, 0), (9, 9, 0)}
+
+
+def test_components_go_on_with_fewer_edges(spark, monkeypatch):
+    """Smallest reachable nodes of random graphs and a long chain; edges inside a component are not met again."""
+    rng = random.Random(3)
+    chain = [(k, k + 1) for k in range(300)]
+    crowd = [(1000 + rng.randrange(200), 1000 + rng.randrange(200)) for _ in range(3000)]
+    some = [(a := 2000 + rng.randrange(400), a + rng.choice([1, 7, 50])) for _ in range(250)]
+    edges = sorted({(min(e), max(e)) for e in chain + crowd + some if e[0] != e[1]})
+    top = {}
+
+    def find(c):
+        while top.setdefault(c, c) != c:
+            c = top[c]
+        return c
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        top[b] = a
+    made, plain = [], jaccard_join.written
+
+    def counted(df):
+        out = plain(df)
+        made.append(out.count() if out.columns == ["x", "y"] else 0)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    got = {r.cls: r.comp for r in jaccard_join.components(spark.createDataFrame(edges, "x long, y long")).collect()}
+    assert got == {c: find(c) for e in edges for c in e}
+    assert sum(made) < 2.5 * len(edges)
